@@ -58,7 +58,7 @@ def threshold_minutes(threshold: Column, unit: Column, table: str = "strict") ->
 def canonical_operator(operator: Column, on_error: str = "raise") -> Column:
     """The canonical symbol; a missing or unknown operator is an error (or null on request)."""
     spelling = F.create_map(*[F.lit(x) for kv in OPERATOR_SPELLINGS.items() for x in kv])
-    known = F.when(operator.isin(list(OPERATOR_SPELLINGS)), spelling[operator])
+    known = F.when(spelling[operator].isNotNull(), spelling[operator])
     if on_error == "null":
         return known
     message = F.concat(F.lit("explicit operator required; got "), F.coalesce(operator, F.lit("null")))

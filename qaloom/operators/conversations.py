@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from qaloom import schemas
 from qaloom.functions import checks
+from qaloom.functions.staging import let
 
 
 def minutes_between(start: Column, end: Column) -> Column:
@@ -258,46 +259,63 @@ def symbolic_answer(category: Column, params: Column, mode: str = "production")
         "rescore": ("extended", ("minutes", "exact"), False),
         "independent": ("strict", ("relative", "relative"), True),
     }[mode]
-    p = F.from_json(params, schemas.PARAMS)
-    operator = checks.canonical_operator(
-        F.when(p["operator"] == "=", "==").otherwise(F.trim(p["operator"]))
-        if mode == "independent"
-        else p["operator"]
-    )
-    timed = check_time(
-        F.col("response_minutes"),
-        checks.threshold_minutes(p["threshold"], p["unit"], units),
-        operator,
-        equality[0],
-    )
-    counted = check_count(F.col("n_public"), p["threshold"].cast("bigint"), operator, equality[1])
-    value = F.coalesce(p["value"], F.lit(""))
-    subtype = F.coalesce(p["subtype"], F.lit("tag"))
-    meta = (
-        F.when(subtype == "tag", check_tag(F.col("tags"), value, exact_case))
-        .when(subtype == "channel", check_channel(F.col("channel"), value, exact_case))
-        .when(subtype == "notes", checks.yes_no(F.col("has_notes")))
-    )
-    unknown = F.raise_error(F.concat(F.lit("not a symbolic category: "), category)).cast("string")
-    if mode == "production":
-        bare = (p.isNull() | p["threshold"].isNull()) & category.isin(
-            "SYMBOLIC_TIME", "SYMBOLIC_COUNT"
+
+    def answer(x: Column) -> Column:
+        kind, p, operator = x["kind"], x["p"], x["op"]
+        timed = check_time(
+            F.col("response_minutes"),
+            checks.threshold_minutes(p["threshold"], p["unit"], units),
+            operator,
+            equality[0],
         )
-        return (
-            F.when(params.isNull() | bare, "invalid")
-            .when(category == "SYMBOLIC_TIME", timed)
-            .when(category == "SYMBOLIC_COUNT", counted)
-            .when(category == "SYMBOLIC_METADATA", F.coalesce(meta, F.lit("no")))
-            .otherwise("no")
+        counted = check_count(F.col("n_public"), p["threshold"].cast("bigint"), operator, equality[1])
+        value = F.coalesce(p["value"], F.lit(""))
+        subtype = F.coalesce(p["subtype"], F.lit("tag"))
+        meta = (
+            F.when(subtype == "tag", check_tag(F.col("tags"), value, exact_case))
+            .when(subtype == "channel", check_channel(F.col("channel"), value, exact_case))
+            .when(subtype == "notes", checks.yes_no(F.col("has_notes")))
         )
-    out = (
-        F.when(category == "SYMBOLIC_TIME", timed)
-        .when(category == "SYMBOLIC_COUNT", counted)
-        .when(category == "SYMBOLIC_METADATA", F.coalesce(meta, unknown))
+        message = F.concat(F.lit("not a symbolic category: "), kind)
+        unknown = F.raise_error(message).cast("string")
+        if mode == "production":
+            return (
+                F.when(~x["given"] | x["bare"], "invalid")
+                .when(kind == "SYMBOLIC_TIME", timed)
+                .when(kind == "SYMBOLIC_COUNT", counted)
+                .when(kind == "SYMBOLIC_METADATA", F.coalesce(meta, F.lit("no")))
+                .otherwise("no")
+            )
+        out = (
+            F.when(kind == "SYMBOLIC_TIME", timed)
+            .when(kind == "SYMBOLIC_COUNT", counted)
+            .when(kind == "SYMBOLIC_METADATA", F.coalesce(meta, unknown))
+        )
+        if mode == "independent":
+            out = out.when(kind == "UNSUPPORTED", "reject")
+        return out.otherwise(unknown)
+
+    def with_operator(x: Column) -> Column:
+        p, ruled = x["p"], x["kind"].isin("SYMBOLIC_TIME", "SYMBOLIC_COUNT")
+        bare = ruled & (p.isNull() | p["threshold"].isNull())
+        spelled = p["operator"]
+        if mode == "independent":
+            spelled = F.when(F.trim(spelled) == "=", "==").otherwise(F.trim(spelled))
+        operator = F.when(ruled & ~(bare & F.lit(mode == "production")), checks.canonical_operator(spelled))
+        return F.struct(
+            x["kind"].alias("kind"),
+            p.alias("p"),
+            x["given"].alias("given"),
+            bare.alias("bare"),
+            operator.alias("op"),
+        )
+
+    parsed = F.struct(
+        category.alias("kind"),
+        F.from_json(params, schemas.PARAMS).alias("p"),
+        params.isNotNull().alias("given"),
     )
-    if mode == "independent":
-        out = out.when(category == "UNSUPPORTED", "reject")
-    return out.otherwise(unknown)
+    return let(let(parsed, with_operator), answer)
 
 
 def truth_mismatches(df: DataFrame, stored: str, recomputed: str) -> DataFrame:

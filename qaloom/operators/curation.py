@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qaloom.functions import draws, rules, text
+from qaloom.functions.staging import computed
 from qaloom.operators.ranking import ranked, top_ranked
 
 
@@ -93,7 +94,8 @@ def blind_sheet(df: DataFrame, key: str, shown: list[str], hidden: list[str], se
 def with_polarity(df: DataFrame, prompt: str = "prompt", params: str = "params") -> DataFrame:
     """T1 as columns ``polarity`` and ``reason``."""
     tag = rules.polarity(F.col(prompt), F.col(params))
-    return df.withColumn("__tag", tag).select(
+    tagged = computed(df, {"__tag": tag})
+    return tagged.select(
         *df.columns, F.col("__tag.polarity").alias("polarity"), F.col("__tag.reason").alias("reason")
     )
 

@@ -108,8 +108,10 @@ BLOCKED = [
 
 
 def any_of(patterns: list[str]) -> str:
-    """One alternation over a pattern list, for a single pass per side."""
-    return "|".join(f"(?:{p})" for p in patterns)
+    """One alternation for a single pass per side; the shared word boundary is tested first."""
+    shared = r"\b"
+    bare = [p.removeprefix(shared) for p in patterns]
+    return shared + "(?:" + "|".join(bare) + ")"
 
 
 def threshold_text(params: Column) -> Column:

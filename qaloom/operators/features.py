@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qaloom.functions import draws
+from qaloom.functions.staging import let
 from qaloom.operators.ranking import join_on
 from qaloom.session import lookup
 
@@ -15,15 +16,18 @@ TERM = r"[\p{L}\p{N}_][\p{L}\p{N}_]+"
 
 def ngrams(text: Column, largest: int = 2) -> Column:
     """Lower-cased words and their n-grams up to ``largest``, repeats kept."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), F.lit(1))
-    out = words
-    for n in range(2, largest + 1):
+
+    def of_size(words: Column, n: int) -> Column:
         starts = F.when(
-            F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)
+            F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)
         ).otherwise(F.array().cast("array<int>"))
-        joined = F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, n), " "))
-        out = F.concat(out, joined)
-    return out
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+
+    def grams(words: Column) -> Column:
+        return F.concat(words, *[of_size(words, n) for n in range(2, largest + 1)])
+
+    found = F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), F.lit(1))
+    return found if largest == 1 else let(found, grams)
 
 
 def term_counts(df: DataFrame, key: str, text: str, largest: int = 2) -> DataFrame:

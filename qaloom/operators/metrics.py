@@ -45,6 +45,16 @@ def latency_profile(results: DataFrame, by: list[str], latency: str = "latency_m
     return join_on(sums, percentiles(results, by, latency, {"p50": 0.5, "p95": 0.95, "p99": 0.99}), by, "left")
 
 
+def aligned(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """Two result files joined on their key; a key that only one side has is an error."""
+    a = first.withColumn("__a", F.lit(True))
+    b = second.withColumn("__b", F.lit(True))
+    joined = a.join(b, key, "full")
+    message = F.concat(F.lit("row in one table only: "), F.col(key).cast("string"))
+    both = F.when(F.col("__a") & F.col("__b"), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+    return joined.where(both).drop("__a", "__b")
+
+
 def accuracy_by(results: DataFrame, by: list[str], correct: str = "correct") -> DataFrame:
     """G3/G13/G21/G24 in long form: n and mean correctness per group."""
     return results.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(correct).alias("accuracy"))

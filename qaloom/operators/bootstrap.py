@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from qaloom.functions import draws
 from qaloom.operators import agreement, metrics
 from qaloom.operators.ranking import join_on, percentiles
+from qaloom.session import checkpoint
 
 EXACT_ROWS = 1_000_000
 SLOTS_PER_TASK = 10_000
@@ -73,8 +74,12 @@ def resampled(cells: DataFrame, by: list[str], cell: list[str], replicates: int,
 
 
 def interval(replicated: DataFrame, by: list[str], value: str) -> DataFrame:
-    """The 2.5 and 97.5 percentiles over replicates; undefined replicates are skipped."""
-    return percentiles(replicated, by, value, {"ci_lo": 0.025, "ci_hi": 0.975})
+    """The 2.5 and 97.5 percentiles over replicates; undefined replicates are skipped.
+
+    The replicates (one number each) are written once, so the resampling is not repeated.
+    """
+    values = checkpoint(replicated.select(*by, value))
+    return percentiles(values, by, value, {"ci_lo": 0.025, "ci_hi": 0.975})
 
 
 def mean_interval(results: DataFrame, by: list[str], correct: str, replicates: int = 5000, seed: str = "boot", min_n: int = 1) -> DataFrame:

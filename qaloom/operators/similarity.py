@@ -74,6 +74,11 @@ def _place(pivots: np.ndarray, reach: float, extra: list[str]):
 def _chunked(rows: DataFrame, by: list[str], threshold: float, cell_rows: int, chunk_rows: int) -> DataFrame:
     """Rows repeated once per pair of chunks they take part in: adds cell, home, a, b, chunk."""
     total = rows.count()
+    if total <= chunk_rows:
+        one = F.lit(0).cast("int")
+        return rows.withColumns(
+            {"cell": F.lit(0).cast("bigint"), "home": F.lit(True), "a": one, "b": one, "chunk": one}
+        )
     n_pivots = min(MAX_PIVOTS, math.ceil(total / cell_rows))
     pivots = _pivots(rows, n_pivots) if n_pivots > 1 else np.empty((0, 0))
     if len(pivots) > 1:

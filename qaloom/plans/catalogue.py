@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qaloom.plans import conversation_queries, curation_queries, evaluation_queries, text_queries
+from qaloom.plans import (
+    conversation_queries,
+    curation_queries,
+    evaluation_queries,
+    model_queries,
+    text_queries,
+)
 from qaloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
-_GROUPS = [conversation_queries, curation_queries, evaluation_queries, text_queries]
+_GROUPS = [conversation_queries, text_queries, curation_queries, evaluation_queries, model_queries]
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

@@ -45,7 +45,7 @@ def _pivots(rows: DataFrame, n: int) -> np.ndarray:
     return np.unique(np.array([r[0] for r in picked.collect()]), axis=0)
 
 
-def _place(pivots: np.ndarray, reach: float, extra: list[str]):
+def _place(pivots: np.ndarray, reach: float):
     """Task function: each row into its own cell, and into lower cells its partners may call home."""
     gaps = np.sqrt(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
 
@@ -63,7 +63,8 @@ def _place(pivots: np.ndarray, reach: float, extra: list[str]):
             near &= lower
             near[np.arange(len(home)), home] = True
             row, cell = np.nonzero(near)
-            out = batch.iloc[row].copy()
+            kept = {c: batch[c].to_numpy()[row] for c in batch.columns}
+            out = pd.DataFrame({c: pd.Series(v, dtype=v.dtype) for c, v in kept.items()})
             out["cell"] = cell
             out["home"] = cell == home[row]
             yield out
@@ -86,7 +87,7 @@ def _chunked(rows: DataFrame, by: list[str], threshold: float, cell_rows: int, c
             [*rows.schema.fields, T.StructField("cell", T.LongType()), T.StructField("home", T.BooleanType())]
         )
         reach = math.sqrt(max(0.0, 2.0 - 2.0 * threshold))
-        rows = rows.mapInPandas(_place(pivots, reach, by), schema)
+        rows = rows.mapInPandas(_place(pivots, reach), schema)
     else:
         rows = rows.withColumns({"cell": F.lit(0).cast("bigint"), "home": F.lit(True)})
     sizes = rows.groupBy(*by, "cell").agg(
@@ -119,6 +120,11 @@ def _qualifying(group: pd.DataFrame, threshold: float):
     return left, right, i, j, cosine[i, j]
 
 
+def _block(group: pd.DataFrame, by: list[str], n: int) -> dict[str, pd.Series]:
+    """The group's block keys, n times, as plain objects (Spark wants unchunked text columns)."""
+    return {b: pd.Series([group[b].iloc[0]] * n, dtype=object) for b in by}
+
+
 def _schema_of(df: DataFrame, by: list[str], rest: str) -> T.StructType:
     keys = [df.schema[b] for b in by]
     return T.StructType(keys + T.StructType.fromDDL(rest).fields)
@@ -144,7 +150,7 @@ def similar_pairs(
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         left, right, i, j, cosine = _qualifying(group, threshold)
         x, y = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-        out = {b: [group[b].iloc[0]] * len(i) for b in by}
+        out = _block(group, by, len(i))
         out |= {"id_a": np.minimum(x, y), "id_b": np.maximum(x, y), "cosine": cosine}
         out["n_pairs"] = left["copies"].to_numpy()[i] * right["copies"].to_numpy()[j]
         return pd.DataFrame(out)
@@ -185,7 +191,7 @@ def near_duplicate_counts(
         def count(group: pd.DataFrame) -> pd.DataFrame:
             left, right, i, j, cosine = _qualifying(group, floor)
             weight = left["copies"].to_numpy()[i] * right["copies"].to_numpy()[j]
-            out = {b: [group[b].iloc[0]] for b in by}
+            out = _block(group, by, 1)
             out["max_cosine"] = [cosine.max() if len(cosine) else None]
             out |= {names[t]: [int(weight[cosine > t].sum())] for t in levels}
             return pd.DataFrame(out)
@@ -248,7 +254,7 @@ def _flagged(rows: DataFrame, by: list[str], threshold: float, cell_rows: int, c
             kept_x, kept_y = left["kept"].to_numpy()[i], right["kept"].to_numpy()[j]
             hit = np.concatenate([y[kept_x & ~kept_y], x[kept_y & ~kept_x]])
         hit = np.unique(hit)
-        out = {b: [group[b].iloc[0]] * len(hit) for b in by}
+        out = _block(group, by, len(hit))
         return pd.DataFrame(out | {"id": hit})
 
     schema = _schema_of(rows, by, "id BIGINT")

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from qaloom.functions.staging import let
+
 SPAN = 1 << 32
 
 
@@ -35,11 +37,12 @@ def pick(options: list, seed: str, *keys: Column) -> Column:
 
 def weighted(options: dict[str, float], seed: str, *keys: Column) -> Column:
     """One of a fixed list of options with the given shares, by one draw against running totals."""
-    u = unit(seed, *keys)
-    out, total = None, 0.0
-    names = list(options)
-    for name in names[:-1]:
-        total += options[name]
-        test = u < F.lit(round(total, 9))
-        out = F.when(test, F.lit(name)) if out is None else out.when(test, F.lit(name))
-    return F.lit(names[-1]) if out is None else out.otherwise(F.lit(names[-1]))
+
+    def chosen(u: Column) -> Column:
+        out, total, names = F, 0.0, list(options)
+        for name in names[:-1]:
+            total += options[name]
+            out = out.when(u < F.lit(round(total, 9)), F.lit(name))
+        return F.lit(names[-1]) if out is F else out.otherwise(F.lit(names[-1]))
+
+    return let(unit(seed, *keys), chosen)

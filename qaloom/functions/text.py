@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from qaloom.functions.staging import let
+
 # Word characters in any script; Java's bare \w is ASCII only.
 WORD = r"[\p{L}\p{N}_]+"
 
@@ -46,6 +48,28 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1))
 
 
+def counted(terms: Column) -> Column:
+    """The distinct entries of an array with their counts, array<struct<term, tf>>, sorted.
+
+    Sorting brings equal entries together, so a run's length is its count: n log n inside the row,
+    and no row per occurrence to shuffle.
+    """
+
+    def runs(sorted_terms: Column) -> Column:
+        n = F.size(sorted_terms)
+        places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        first = F.filter(
+            places, lambda i: (i == 0) | (F.get(sorted_terms, i) != F.get(sorted_terms, i - 1))
+        )
+        return let(first, lambda starts: F.transform(starts, lambda p, j: run(sorted_terms, starts, p, j)))
+
+    def run(sorted_terms: Column, starts: Column, p: Column, j: Column) -> Column:
+        end = F.coalesce(F.get(starts, j + 1), F.size(sorted_terms))
+        return F.struct(F.get(sorted_terms, p).alias("term"), (end - p).cast("bigint").alias("tf"))
+
+    return let(F.sort_array(terms), runs)
+
+
 def parse_answer(raw: Column, strict: bool = False) -> Column:
     """A judge's reply as yes, no, reject or invalid.
 

@@ -45,22 +45,20 @@ def vocabulary_leaks(df: DataFrame, category: str, prompt: str, inside: float =
     """Words in at least a quarter of one category's texts and under 5% of all others.
 
     One document-frequency table per (word, category); the totals outside follow by subtraction.
-    Only words that are frequent in some category are compared, which bounds the last step.
+    Words are counted once per document where the document is read.
     """
-    docs = df.select(category, F.array_distinct(text.tokens(F.col(prompt))).alias("words"))
-    sizes = docs.groupBy(category).agg(F.count(F.lit(1)).alias("n_docs"))
+    words = df.select(category, F.inline(text.counted(text.tokens(F.col(prompt)))))
+    sizes = df.groupBy(category).agg(F.count(F.lit(1)).alias("n_docs"))
     sizes = lookup(sizes)
-    total = sizes.agg(F.sum("n_docs").alias("n_all"))
-    per = (
-        docs.select(category, F.explode("words").alias("word"))
-        .groupBy("word", category)
-        .agg(F.count(F.lit(1)).alias("df"))
+    n_all = sizes.agg(F.sum("n_docs")).first()[0]
+    per = words.groupBy(F.col("term").alias("word"), category).agg(F.count(F.lit(1)).alias("df"))
+    # One row per word with its few categories, so each word meets its own total without a join.
+    whole = per.groupBy("word").agg(
+        F.sum("df").alias("df_all"), F.collect_list(F.struct(category, "df")).alias("parts")
     )
-    whole = per.groupBy("word").agg(F.sum("df").alias("df_all"))
-    frequent = join_on(per, sizes, [category]).where(F.col("df") >= inside * F.col("n_docs"))
-    rows = frequent.join(whole, "word").withColumn("__one", F.lit(0))
-    rows = rows.join(total.withColumn("__one", F.lit(0)), "__one")
-    others = F.col("n_all") - F.col("n_docs")
+    rows = whole.select("word", "df_all", F.inline("parts"))
+    rows = join_on(rows, sizes, [category]).where(F.col("df") >= inside * F.col("n_docs"))
+    others = F.lit(n_all) - F.col("n_docs")
     out = F.when(others > 0, (F.col("df_all") - F.col("df")) / others).otherwise(0.0)
     return rows.select(
         "word", category, (F.col("df") / F.col("n_docs")).alias("freq_in"), out.alias("freq_out")

@@ -36,6 +36,8 @@ def resampled(cells: DataFrame, by: list[str], cell: list[str], replicates: int,
     placed = cells.select(*by, *cell, F.col("n").cast("bigint").alias("n"), total.alias("total"), upto.alias("upto"))
     name = F.concat_ws("|", *[F.col(b).cast("string") for b in by]) if by else F.lit("all")
 
+    # A fixed number of tasks: the work rows are tiny, and must not be merged before they expand.
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     exact = placed.where(F.col("total") <= exact_rows)
     packed = exact.groupBy(*by, "total").agg(
         F.sort_array(F.collect_list(F.struct("upto", *cell))).alias("cells")
@@ -44,7 +46,7 @@ def resampled(cells: DataFrame, by: list[str], cell: list[str], replicates: int,
     work = (
         packed.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
         .withColumn("__block", F.explode(blocks))
-        .repartition(*by, "replicate", "__block")
+        .repartition(tasks, *by, "replicate", "__block")
     )
     first = F.col("__block") * SLOTS_PER_TASK
     slots = F.sequence(first, F.least(first + SLOTS_PER_TASK, F.col("total")) - 1)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qaloom.functions import draws
 from qaloom.functions.staging import let
+from qaloom.functions.text import counted
 from qaloom.operators.ranking import join_on
 from qaloom.session import lookup
 
@@ -30,16 +33,20 @@ def ngrams(text: Column, largest: int = 2) -> Column:
     return found if largest == 1 else let(found, grams)
 
 
-def term_counts(df: DataFrame, key: str, text: str, largest: int = 2) -> DataFrame:
-    """(key, term, tf): words are counted per document where the document is read."""
-    exploded = df.select(key, F.explode(ngrams(F.col(text), largest)).alias("term"))
-    return exploded.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+def term_counts(df: DataFrame, keep: list[str], text: str, largest: int = 2) -> DataFrame:
+    """(keep..., term, tf), counted inside each document's row; nothing is shuffled."""
+    return df.select(*keep, F.inline(counted(ngrams(F.col(text), largest))))
+
 
+def vocabulary(df: DataFrame, text: str, max_terms: int = 10_000, largest: int = 2) -> DataFrame:
+    """The corpus's most frequent terms: (term, total, df), ties by term.
 
-def vocabulary(counts: DataFrame, max_terms: int = 10_000) -> DataFrame:
-    """The most frequent terms of the corpus with their document frequency; ties by term."""
-    totals = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
-    return totals.orderBy(F.desc("total"), "term").limit(max_terms)
+    One pass and one aggregate per term, summed where the documents are read: what is shuffled is
+    a partial vocabulary per task, not the corpus.
+    """
+    sums = term_counts(df, [], text, largest).groupBy("term")
+    sums = sums.agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+    return sums.orderBy(F.desc("total"), "term").limit(max_terms)
 
 
 def tfidf(
@@ -50,17 +57,13 @@ def tfidf(
     Weight = (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1), scaled to unit length per document.
     The vocabulary has at most ``max_terms`` rows, so it is broadcast; documents are never.
     """
-    terms = vocabulary(term_counts(train, key, text, largest), max_terms)
-    n_docs = train.agg(F.count(F.lit(1)).alias("n_docs")).withColumn("__one", F.lit(0))
-    idf = (
-        terms.withColumn("__one", F.lit(0))
-        .join(n_docs, "__one")
-        .select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-    )
+    n_docs = train.count()
+    terms = lookup(vocabulary(train, text, max_terms, largest), max_rows=max_terms)
+    idf = F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1
     weighted = (
-        term_counts(other, key, text, largest)
-        .join(lookup(idf, max_rows=max_terms), "term")
-        .withColumn("raw", (1 + F.log("tf")) * F.col("idf"))
+        term_counts(other, [key], text, largest)
+        .join(terms.select("term", idf.alias("idf")), "term")
+        .select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("raw"))
     )
     # One document's terms: bounded by the vocabulary.
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
@@ -78,61 +81,54 @@ def class_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
 
 
 def naive_bayes(
-    train: DataFrame, other: DataFrame, key: str, text: str, label: str, alpha: float = 1.0,
-    max_terms: int = 10_000, largest: int = 1,
+    train: DataFrame,
+    other: DataFrame,
+    key: str,
+    text: str,
+    label: str,
+    alpha: float = 1.0,
+    max_terms: int = 10_000,
+    largest: int = 1,
 ) -> DataFrame:
     """M6: multinomial naive Bayes on term counts; (key, prediction, score) of every document.
 
-    The model is a table of at most max_terms x classes log-likelihoods, packed to one array of
-    classes per term, so scoring is one broadcast join and one aggregate per document.
+    Training is one aggregate: per term, its count in each class. The model that is left is at
+    most max_terms rows of a few numbers; scoring is a broadcast join and one sum per document.
     """
-    terms = vocabulary(term_counts(train, key, text, largest), max_terms).select("term")
-    terms = lookup(terms, max_rows=max_terms)
-    labelled = term_counts(train.select(key, text), key, text, largest).join(terms, "term")
-    labelled = labelled.join(train.select(key, label), key)
-    per = labelled.groupBy("term", label).agg(F.sum("tf").alias("n"))
-    docs = train.groupBy(label).agg(F.count(F.lit(1)).alias("n_docs"))
-    classes = lookup(
-        join_on(docs, per.groupBy(label).agg(F.sum("n").alias("n_terms")), [label], "left").fillna(0)
-    )
-    n_vocabulary = F.lit(terms.count())
-    whole = Window.partitionBy(F.lit(0))  # one row per class
-    base = classes.select(
-        label,
-        F.log(F.col("n_docs") / F.sum("n_docs").over(whole)).alias("prior"),
-        F.log(F.lit(alpha) / (F.col("n_terms") + alpha * n_vocabulary)).alias("unseen"),
-        (F.col("n_terms") + alpha * n_vocabulary).alias("mass"),
+    sizes = {r[0]: r[1] for r in train.groupBy(label).count().collect()}  # one row per class
+    classes = sorted(sizes)
+    per = term_counts(train, [label], text, largest).groupBy("term")
+    per = per.agg(
+        F.sum("tf").alias("total"),
+        *[F.sum(F.when(F.col(label) == c, F.col("tf")).otherwise(0)).alias(f"n{i}") for i, c in enumerate(classes)],
     )
-    base = lookup(base)
-    # log P(term | class) minus its value for an unseen term; absent combinations add nothing.
-    gains = join_on(per, base, [label]).select(
-        "term",
-        F.struct(F.col(label).alias("label"), (F.log((F.col("n") + alpha) / F.col("mass")) - F.col("unseen")).alias("gain")).alias("g"),
-    )
-    packed = lookup(gains.groupBy("term").agg(F.collect_list("g").alias("gains")), max_rows=max_terms, row_bytes=1024)
-    counts = term_counts(other, key, text, largest).join(packed, "term")
-    mass = counts.groupBy(key).agg(F.sum("tf").alias("n"))
+    top = per.orderBy(F.desc("total"), "term").limit(max_terms)
+    model = lookup(top, max_rows=max_terms, row_bytes=64 + 8 * len(classes))
+    sums = model.agg(F.count(F.lit(1)), *[F.sum(f"n{i}") for i in range(len(classes))]).first()
+    mass = [(n or 0) + alpha * sums[0] for n in sums[1:]]
+    n_docs = sum(sizes.values())
+    # log P(term | class) is its value for an unseen term plus a gain; unseen terms gain nothing.
+    gains = [F.log((F.col(f"n{i}") + alpha) / alpha).alias(f"g{i}") for i in range(len(classes))]
     scored = (
-        counts.select(key, "tf", F.explode("gains").alias("g"))
-        .groupBy(key, F.col("g.label").alias(label))
-        .agg(F.sum(F.col("tf") * F.col("g.gain")).alias("gain"))
-    )
-    # Every document meets every class through one fixed array of the (few) classes.
-    table = base.agg(
-        F.sort_array(F.collect_list(F.struct(label, "prior", "unseen"))).alias("classes")
-    ).withColumn("__one", F.lit(0))
-    grid = (
-        other.select(key)
-        .withColumn("__one", F.lit(0))
-        .join(F.broadcast(table), "__one")
-        .join(mass, key, "left")
-        .select(key, F.coalesce("n", F.lit(0)).alias("n"), F.explode("classes").alias("c"))
-        .select(key, "n", F.col(f"c.{label}").alias(label), "c.prior", "c.unseen")
+        term_counts(other, [key], text, largest)
+        .join(model.select("term", *gains), "term")
+        .groupBy(key)
+        .agg(
+            F.sum("tf").alias("n"),
+            *[F.sum(F.col("tf") * F.col(f"g{i}")).alias(f"s{i}") for i in range(len(classes))],
+        )
     )
-    total = F.col("prior") + F.col("n") * F.col("unseen") + F.coalesce("gain", F.lit(0.0))
-    full = grid.join(scored, [key, label], "left").select(key, label, total.alias("score"))
-    return full.groupBy(key).agg(
-        F.max_by(label, F.col("score")).alias("prediction"), F.max("score").alias("score")
+    rows = other.select(key).join(scored, key, "left").fillna(0)
+
+    def score(i: int, name: str) -> Column:
+        prior = math.log(sizes[name] / n_docs)
+        unseen = math.log(alpha / mass[i])
+        total = F.lit(prior) + F.col("n") * F.lit(unseen) + F.col(f"s{i}")
+        return F.struct(total.alias("score"), F.lit(name).alias("label"))
+
+    best = F.array_max(F.array(*[score(i, c) for i, c in enumerate(classes)]))
+    return rows.withColumn("__best", best).select(
+        key, F.col("__best.label").alias("prediction"), F.col("__best.score").alias("score")
     )
 
 

@@ -30,13 +30,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qaloom.functions import draws
+from qaloom.functions.text import mask_digits
 from qaloom.operators import calibration, metrics
-from qaloom.operators.features import TERM, class_weights, embedding_vector
+from qaloom.operators.features import TERM, class_weights, embedding_vector, ngrams
 from qaloom.session import checkpoint
 
 
+def term_stages(max_terms: int = 10_000) -> list:
+    """M1/M2: vocabulary, IDF and unit length over a column of ready terms."""
+    return [
+        CountVectorizer(inputCol="__terms", outputCol="__tf", vocabSize=max_terms),
+        IDF(inputCol="__tf", outputCol="__tfidf"),
+        Normalizer(inputCol="__tfidf", outputCol="features", p=2.0),
+    ]
+
+
 def text_stages(text: str = "prompt", max_terms: int = 10_000, largest: int = 2, mask: bool = True) -> list:
-    """M1/M2: digit masking, words, n-grams, vocabulary, IDF and unit length as pipeline stages.
+    """M1/M2: digit masking, words and n-grams, then ``term_stages``.
 
     Masking is a stage, so text scored later is masked exactly as the training text was.
     """
@@ -45,19 +55,18 @@ def text_stages(text: str = "prompt", max_terms: int = 10_000, largest: int = 2,
     words = RegexTokenizer(
         inputCol="__text", outputCol="__words", pattern=TERM, gaps=False, toLowercase=True
     )
-    stages = [masked, words]
-    parts = ["__words"]
+    parts, grams = ["__words"], []
     for n in range(2, largest + 1):
-        stages.append(NGram(n=n, inputCol="__words", outputCol=f"__grams{n}"))
+        grams.append(NGram(n=n, inputCol="__words", outputCol=f"__grams{n}"))
         parts.append(f"__grams{n}")
-    joined = f"concat({', '.join(parts)})"
-    stages += [
-        SQLTransformer(statement=f"SELECT *, {joined} AS __terms FROM __THIS__"),
-        CountVectorizer(inputCol="__terms", outputCol="__tf", vocabSize=max_terms),
-        IDF(inputCol="__tf", outputCol="__tfidf"),
-        Normalizer(inputCol="__tfidf", outputCol="features", p=2.0),
-    ]
-    return stages
+    joined = f"SELECT *, concat({', '.join(parts)}) AS __terms FROM __THIS__"
+    return [masked, words, *grams, SQLTransformer(statement=joined), *term_stages(max_terms)]
+
+
+def with_terms(df: DataFrame, text: str = "prompt", largest: int = 2, mask: bool = True) -> DataFrame:
+    """Adds the ready terms of a text, for callers that fit many models on the same rows."""
+    source = mask_digits(F.col(text)) if mask else F.col(text)
+    return df.withColumn("__terms", ngrams(source, largest))
 
 
 def classifier(kind: str, n_features: int = 0, n_classes: int = 0, regularisation: float = 1e-3):
@@ -93,15 +102,21 @@ def prepared(df: DataFrame, label: str, labels: list[str] | None = None) -> tupl
 
 
 def fit(df: DataFrame, label: str, kind: str, features: str = "text", text: str = "prompt", **options):
-    """A fitted pipeline and its class order. ``features`` is "text" or "embedding"."""
+    """A fitted pipeline and its class order. ``features``: "text", "terms" or "embedding"."""
     rows, labels = prepared(df, label)
+    max_terms, largest, mask = (
+        options.pop(name, default) for name, default in [("max_terms", 10_000), ("largest", 2), ("mask", True)]
+    )
     if features == "text":
-        stages = text_stages(text, options.pop("max_terms", 10_000), options.pop("largest", 2), options.pop("mask", True))
+        stages = text_stages(text, max_terms, largest, mask)
+    elif features == "terms":
+        stages = term_stages(max_terms)
     else:
         rows = rows.withColumn("features", embedding_vector(text))
         stages = []
     if kind == "perceptron":
-        options["n_features"] = len(rows.select(F.col(text)).first()[0]) if features != "text" else options["n_features"]
+        if features == "embedding":
+            options["n_features"] = len(rows.select(text).first()[0])
         options["n_classes"] = len(labels)
     estimator = classifier(kind, **options)
     # Fitting passes over the rows many times, so the prepared features are kept in memory.
@@ -119,7 +134,7 @@ def fit(df: DataFrame, label: str, kind: str, features: str = "text", text: str
 
 def predict(model: PipelineModel, labels: list[str], df: DataFrame, keep: list[str], features: str = "text", text: str = "prompt") -> DataFrame:
     """(keep..., prediction, confidence, probabilities); without probabilities the last two are null."""
-    rows = df.withColumn("features", embedding_vector(text)) if features != "text" else df
+    rows = df.withColumn("features", embedding_vector(text)) if features == "embedding" else df
     scored = model.transform(rows)
     names = F.array(*[F.lit(x) for x in labels])
     out = [*keep, F.get(names, F.col("prediction").cast("int")).alias("prediction")]
@@ -173,14 +188,17 @@ def calibrated_by_folds(
 ) -> tuple[DataFrame, list[str]]:
     """M10, one side: mean over folds of a logistic fit calibrated on the fold it did not see."""
     fold = (draws.draw("fold", F.col(key)) % folds).cast("int")
-    rows = checkpoint(train.withColumn("__fold", fold))
+    rows, using = train.withColumn("__fold", fold), features
+    if features == "text":
+        rows, other, using = with_terms(rows, text), checkpoint(with_terms(other, text)), "terms"
+    rows = checkpoint(rows)
     parts, labels = None, None
     for i in range(folds):
-        model, names = fit(rows.where(F.col("__fold") != i), label, "logistic", features, text)
+        model, names = fit(rows.where(F.col("__fold") != i), label, "logistic", using, text)
         labels = labels or names
-        held = predict(model, names, rows.where(F.col("__fold") == i), [label], features, text)
+        held = predict(model, names, rows.where(F.col("__fold") == i), [label], using, text)
         platt = fit_platt(held, label, names)
-        part = apply_platt(predict(model, names, other, keep, features, text), platt, names)
+        part = apply_platt(predict(model, names, other, keep, using, text), platt, names)
         part = part.select(*keep, "probabilities")
         parts = part if parts is None else parts.unionByName(part)
     n = len(labels)
@@ -226,15 +244,20 @@ def cross_validated(df: DataFrame, key: str, label: str, grid: dict[str, dict],
     """Macro-F1 mean and spread over folds per grid entry; folds by hash draw.
 
     Spark's own evaluator has weighted F1 only, so the out-of-fold predictions are kept and scored.
+    Texts are cut into terms once per shape, not once per fit.
     """
     fold = (draws.draw("cv", F.col(key)) % folds).cast("int")
-    rows = checkpoint(df.withColumn("__fold", fold))
-    long = None
+    base, long, ready = df.withColumn("__fold", fold), None, {}
     for name, spec in grid.items():
+        spec = dict(spec)
+        kind = spec.pop("kind")
+        shape = (spec.get("largest", 2), spec.get("mask", True)) if features == "text" else None
+        if shape not in ready:
+            ready[shape] = checkpoint(with_terms(base, text, *shape) if shape else base)
+        rows, using = ready[shape], "terms" if shape else features
         for i in range(folds):
-            spec_i = dict(spec)
-            model, labels = fit(rows.where(F.col("__fold") != i), label, spec_i.pop("kind"), features, text, **spec_i)
-            part = predict(model, labels, rows.where(F.col("__fold") == i), [key, label], features, text)
+            model, labels = fit(rows.where(F.col("__fold") != i), label, kind, using, text, **spec)
+            part = predict(model, labels, rows.where(F.col("__fold") == i), [key, label], using, text)
             part = part.select(F.lit(name).alias("model"), F.lit(i).alias("fold"), key, label, "prediction")
             long = part if long is None else long.unionByName(part)
     scores = metrics.class_scores(long, label, "prediction", ["model", "fold"])
@@ -261,11 +284,11 @@ def family_folds(df: DataFrame, category: str, family: str, symbolic: list[str],
 def family_out(df: DataFrame, key: str, category: str, family: str, symbolic: list[str], kind: str = "logistic", text: str = "prompt", min_test: int = 5) -> DataFrame:
     """Accuracy on each held-out family of a model trained on everything else."""
     folds = family_folds(df, category, family, symbolic, min_test)
-    out = None
+    df, out = checkpoint(with_terms(df, text)), None
     for row in folds.select(category, "held_out").collect():
         held = (F.col(category) == row[0]) & (F.col(family) == row[1])
-        model, labels = fit(df.where(~held), category, kind, "text", text)
-        part = predict(model, labels, df.where(held), [key, category], "text", text)
+        model, labels = fit(df.where(~held), category, kind, "terms", text)
+        part = predict(model, labels, df.where(held), [key, category], "terms", text)
         part = part.select(F.lit(row[1]).alias("held_out"), category, (F.col(category) == F.col("prediction")).cast("int").alias("ok"))
         out = part if out is None else out.unionByName(part)
     if out is None:

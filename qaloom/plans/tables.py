@@ -27,6 +27,20 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A scan of fewer splits than cores, hashed over the cores; larger tables stay as read.
+
+    One small file is one task, however costly the expressions on it. At scale the scan has more
+    splits than cores and nothing is shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents"), "doc_id")
+
+
 def event_messages(spark: SparkSession, sf: str) -> DataFrame:
     """Flat conversations: a user's events in order; errors are private agent notes."""
     kind = F.col("event_type")
@@ -59,12 +73,16 @@ def conversation_features(spark: SparkSession, sf: str) -> DataFrame:
     return flat.withColumn("channel", draws.pick(prompts.CHANNELS, "channel", F.col("conv_id")))
 
 
-def prompt_table(spark: SparkSession, sf: str) -> DataFrame:
-    """One clean prompt per order: id, conv_id and the prompt columns."""
-    seeds = table(spark, sf, "orders").select(
+def prompt_seeds(spark: SparkSession, sf: str) -> DataFrame:
+    """The key of every order, as seed of one prompt, with the conversation it is asked about."""
+    return table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("conv_id")
     )
-    return prompts.expand_templates(seeds, "id")
+
+
+def prompt_table(spark: SparkSession, sf: str) -> DataFrame:
+    """One clean prompt per order: id, conv_id and the prompt columns."""
+    return prompts.expand_templates(spread(prompt_seeds(spark, sf), "id"), "id")
 
 
 def noisy_prompts(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,9 +90,13 @@ def noisy_prompts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def admitted_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    return admitted(prompt_table(spark, sf))
+
+
+def admitted(rows: DataFrame) -> DataFrame:
     """Prompts with TIME and COUNT rows kept only if their wording gives an operator."""
     ruled = F.col("category").isin("SYMBOLIC_TIME", "SYMBOLIC_COUNT")
-    tagged = curation.with_polarity(prompt_table(spark, sf))
+    tagged = curation.with_polarity(rows)
     usable = tagged.where(~ruled | F.coalesce(F.col("polarity").isin("under", "over"), F.lit(False)))
     operator = rules.polarity_operator(F.col("polarity"), F.col("category"))
     with_op = curation.with_operator(F.col("params"), operator)
@@ -87,7 +109,9 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Evaluation pairs: prompts with their customer's conversation features, truth, two routers
     and a stored judge."""
     key = F.col("id")
-    joined = admitted_prompts(spark, sf).join(conversation_features(spark, sf), "conv_id")
+    # Joined on the bare keys first, so prompts are only written for conversations that exist.
+    seeds = prompt_seeds(spark, sf).join(conversation_features(spark, sf), "conv_id")
+    joined = admitted(prompts.expand_templates(seeds, "id"))
     symbolic = F.col("category").startswith("SYMBOLIC")
     judged = F.when(draws.unit("judged", key) < 0.6, "yes").otherwise("no")
     truth = (
@@ -172,7 +196,7 @@ def document_probabilities(spark: SparkSession, sf: str) -> DataFrame:
             for lang in LANGS
         ]
     )
-    docs = table(spark, sf, "documents").select("doc_id", "lang", raw.alias("raw"))
+    docs = documents(spark, sf).select("doc_id", "lang", raw.alias("raw"))
     total = F.aggregate("raw", F.lit(0.0), lambda s, x: s + x)
     p = F.transform("raw", lambda x: x / F.col("total"))
     names = F.array(*[F.lit(x) for x in LANGS])
@@ -209,5 +233,5 @@ def repeat_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 def split_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with an exact 70/15/15 split per language."""
-    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    docs = documents(spark, sf).select("doc_id", "text", "lang")
     return curation.stratified_split(docs, "lang", "doc_id")

@@ -102,7 +102,7 @@ def t1_keywords(spark, sf):
     n = F.col("n_chars").cast("string")
     stated = F.concat("text", F.lit(" under "), n, F.lit(" over"))
     params = F.concat(F.lit('{"threshold": '), n, F.lit("}"))
-    docs = T.table(spark, sf, "documents").select("doc_id", stated.alias("p"), params.alias("q"))
+    docs = T.documents(spark, sf).select("doc_id", stated.alias("p"), params.alias("q"))
     docs = docs.withColumn("tag", rules.polarity(F.col("p"), F.col("q")))
     words = rules.matched_keywords(F.col("p"), F.col("tag"))
     reason = F.coalesce("tag.polarity", "tag.reason")
@@ -211,7 +211,7 @@ _LEAK_WORDS = {"en": ["the", "and", "ing"], "fr": ["que", "the", "ou"], "de": ["
     ),
 )
 def t12(spark, sf):
-    out = audits.keyword_leakage(T.table(spark, sf, "documents"), "lang", "text", _LEAK_WORDS)
+    out = audits.keyword_leakage(T.documents(spark, sf), "lang", "text", _LEAK_WORDS)
     return out.withColumn("share", F.round("share", 6))
 
 
@@ -223,7 +223,7 @@ def t12(spark, sf):
     round(avg(CAST(regexp_matches(lower(text), 'plz|gonna|wanna|cuz| u ') AS INTEGER)), 6) AS informal FROM documents GROUP BY lang""",
 )
 def t13(spark, sf):
-    out = audits.surface_noise(T.table(spark, sf, "documents"), "text", ["lang"])
+    out = audits.surface_noise(T.documents(spark, sf), "text", ["lang"])
     marks = ["lower_start", "no_final_mark", "doubled_marks", "informal"]
     return out.withColumns({m: F.round(m, 6) for m in marks})
 
@@ -255,7 +255,7 @@ def b3(spark, sf):
 
 @query("b6_contains", "SELECT doc_id, contains(lower(text), 'the') AS has_the FROM documents")
 def b6(spark, sf):
-    return T.table(spark, sf, "documents").select("doc_id", text.contains_ignoring_case(F.col("text"), "The").alias("has_the"))
+    return T.documents(spark, sf).select("doc_id", text.contains_ignoring_case(F.col("text"), "The").alias("has_the"))
 
 
 @query(
@@ -268,7 +268,7 @@ def b7(spark, sf):
 
 @query("b8_mask_digits", "SELECT doc_id, md5(regexp_replace(text, '[0-9]+', '<NUM>', 'g')) AS masked FROM documents")
 def b8(spark, sf):
-    return T.table(spark, sf, "documents").select("doc_id", F.md5(text.mask_digits(F.col("text"))).alias("masked"))
+    return T.documents(spark, sf).select("doc_id", F.md5(text.mask_digits(F.col("text"))).alias("masked"))
 
 
 @query(
@@ -276,7 +276,7 @@ def b8(spark, sf):
     r"SELECT doc_id, md5(regexp_replace(regexp_replace(lower(regexp_replace(text, '^\s+|\s+$', '', 'g')), '[0-9]+', '<NUM>', 'g'), '\s+', ' ', 'g')) AS template FROM documents",
 )
 def b9(spark, sf):
-    return T.table(spark, sf, "documents").select("doc_id", F.md5(text.template_of(F.col("text"))).alias("template"))
+    return T.documents(spark, sf).select("doc_id", F.md5(text.template_of(F.col("text"))).alias("template"))
 
 
 @query(
@@ -285,7 +285,7 @@ def b9(spark, sf):
 )
 def b10(spark, sf):
     t = F.col("text")
-    return T.table(spark, sf, "documents").select(
+    return T.documents(spark, sf).select(
         "doc_id", text.style_of(t).alias("style"), F.length(t).cast("bigint").alias("len"), F.substring(t, 1, 60).alias("head")
     )
 
@@ -299,7 +299,7 @@ def b10(spark, sf):
 )
 def b14(spark, sf):
     t = F.col("text")
-    return T.table(spark, sf, "documents").select(
+    return T.documents(spark, sf).select(
         "doc_id", text.parse_answer(t).alias("answer"), text.parse_answer(t, strict=True).alias("strict_answer")
     )
 
@@ -323,7 +323,7 @@ def b19(spark, sf):
     f"SELECT lang, count(DISTINCT w) AS n_types, count(*) AS n_tokens, round(count(DISTINCT w) / count(*)::DOUBLE, 6) AS ttr FROM (SELECT lang, unnest({_WORDS}) AS w FROM documents) GROUP BY lang",
 )
 def g8(spark, sf):
-    out = audits.type_token_ratio(T.table(spark, sf, "documents"), "lang", "text")
+    out = audits.type_token_ratio(T.documents(spark, sf), "lang", "text")
     return out.withColumn("ttr", F.round("ttr", 6))
 
 
@@ -334,7 +334,7 @@ def g8(spark, sf):
     count(*) FILTER (WHERE length(text) BETWEEN 500 AND 999) AS n_long, round(quantile_cont(length(text), 0.5), 6) AS median_len FROM documents GROUP BY lang""",
 )
 def g9(spark, sf):
-    out = audits.length_statistics(T.table(spark, sf, "documents"), "text", ["lang"])
+    out = audits.length_statistics(T.documents(spark, sf), "text", ["lang"])
     out = out.withColumns({c: F.round(c, 6) for c in ["mean_len", "std_len", "median_len"]})
     return out.withColumn("max_len", F.col("max_len").cast("bigint"))
 
@@ -348,7 +348,7 @@ def g9(spark, sf):
     WHERE df >= 0.25 * n_docs AND (df_all - df) / (n_all - n_docs)::DOUBLE < 0.05""",
 )
 def g10(spark, sf):
-    out = audits.vocabulary_leaks(T.table(spark, sf, "documents"), "lang", "text")
+    out = audits.vocabulary_leaks(T.documents(spark, sf), "lang", "text")
     return out.withColumns({c: F.round(c, 6) for c in ["freq_in", "freq_out"]})
 
 
@@ -358,7 +358,7 @@ def g10(spark, sf):
     FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)""",
 )
 def g6(spark, sf):
-    out = metrics.class_balance(T.table(spark, sf, "documents"), "source")
+    out = metrics.class_balance(T.documents(spark, sf), "source")
     return out.withColumns({c: F.round(c, 6) for c in ["share", "ratio_to_smallest", "imbalance"]})
 
 

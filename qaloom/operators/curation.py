@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from qaloom.functions import draws, rules, text
 from qaloom.functions.staging import computed
-from qaloom.operators.ranking import ranked, top_ranked
+from qaloom.operators.ranking import ROWS_PER_TASK, join_on, rank_cuts, ranked, top_ranked
+from qaloom.session import lookup
 
 
 def dedup_exact(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -21,22 +22,35 @@ def dedup_exact(df: DataFrame, key: str, order: str) -> DataFrame:
     return first.select(key, "__row.*").select(*df.columns)
 
 
-def _split_of(train: float, validation: float) -> Column:
-    n = F.col("group_size")
-    n_train, n_validation = F.floor(n * F.lit(train)), F.floor(n * F.lit(validation))
-    return (
-        F.when(F.col("rank") < n_train, "train")
-        .when(F.col("rank") < n_train + n_validation, "val")
-        .otherwise("test")
-    )
-
-
 def stratified_split(
-    df: DataFrame, stratum: str, key: str, seed: str = "split", train: float = 0.70, validation: float = 0.15
+    df: DataFrame,
+    stratum: str,
+    key: str,
+    seed: str = "split",
+    train: float = 0.70,
+    validation: float = 0.15,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """P5: exact per-class sizes floor(n*train), floor(n*validation), the remainder to test."""
-    rows = ranked(df, [stratum], key, seed)
-    return rows.withColumn("split", _split_of(train, validation)).drop("rank", "group_size")
+    """P5: exact per-class sizes floor(n*train), floor(n*validation), the remainder to test.
+
+    The rows themselves are not shuffled: each class's two cut points are found among draws and
+    keys alone, and every row compares its own draw with them.
+    """
+
+    def first(n: Column) -> Column:
+        return F.floor(n * F.lit(train))
+
+    def second(n: Column) -> Column:
+        return first(n) + F.floor(n * F.lit(validation))
+
+    cuts = lookup(rank_cuts(df, [stratum], key, seed, [first, second], rows_per_task))
+    here = F.struct(draws.draw(seed, F.col(key)).alias("d"), F.col(key).alias("k"))
+    split = (
+        F.when(F.coalesce(here < F.col("cut0"), F.lit(True)), "train")
+        .when(F.coalesce(here < F.col("cut1"), F.lit(True)), "val")
+        .otherwise("test")
+    )
+    return join_on(df, cuts, [stratum]).select(*df.columns, split.alias("split"))
 
 
 def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: str = "sample") -> DataFrame:

@@ -8,6 +8,7 @@ their own. The result equals the plain window, row for row.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,6 +84,46 @@ def ranked(
     )
 
 
+def rank_cuts(
+    df: DataFrame,
+    by: list[str],
+    key: str,
+    seed: str,
+    positions: list[Callable[[Column], Column]],
+    rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """Per group its size and, for each position, the (draw, key) of the row with that rank.
+
+    Lets a caller tell on which side of a rank a row falls by comparing the row's own draw, with
+    no rank computed and no row moved. Only draws and keys are shuffled here, and only those of
+    the pieces that hold a wanted rank are ordered. A position past the last rank gives null.
+    """
+    rows = df.select(*by, F.struct(draws.draw(seed, F.col(key)).alias("d"), F.col(key).alias("k")).alias("at"))
+    sizes = lookup(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("group_size")))
+    pieces = F.ceil(F.col("group_size") / rows_per_task)
+    placed = join_on(rows, sizes, by)
+    placed = placed.withColumn("piece", F.floor(F.col("at.d") * pieces / draws.SPAN))
+    before = Window.partitionBy(*by).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    wanted = F.array(*[p(F.col("group_size")).cast("bigint") for p in positions])
+    holders = (
+        placed.groupBy(*by, "group_size", "piece")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        .withColumn("wanted", wanted)
+        .where(F.exists("wanted", lambda r: (r >= F.col("start")) & (r < F.col("start") + F.col("n"))))
+        .select(*by, "piece", "start", "wanted")
+    )
+    inside = join_on(placed.drop("group_size"), lookup(holders), [*by, "piece"])
+    order = Window.partitionBy(*by, "piece").orderBy("at")
+    numbered = inside.withColumn("rank", F.col("start") + F.row_number().over(order) - 1)
+    found = numbered.where(F.array_contains("wanted", F.col("rank"))).groupBy(*by)
+    cuts = [
+        F.max(F.when(F.col("rank") == F.get("wanted", F.lit(i)), F.col("at"))).alias(f"cut{i}")
+        for i in range(len(positions))
+    ]
+    return join_on(sizes, found.agg(*cuts), by, "left")
+
+
 def percentiles(
     df: DataFrame, by: list[str], value: str, shares: dict[str, float], pieces: int = 64
 ) -> DataFrame:

@@ -16,6 +16,7 @@ from qaloom.functions.text import parse_answer
 from qaloom.operators import conversations as conv
 from qaloom.operators import curation, prompts, routing
 from qaloom.schemas import CLASSES
+from qaloom.session import lookup
 
 TAG_VALUE = 150.0
 LANGS = ["de", "en", "es", "fr"]
@@ -110,7 +111,8 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
     and a stored judge."""
     key = F.col("id")
     # Joined on the bare keys first, so prompts are only written for conversations that exist.
-    seeds = prompt_seeds(spark, sf).join(conversation_features(spark, sf), "conv_id")
+    facts = lookup(conversation_features(spark, sf), row_bytes=256)
+    seeds = spread(prompt_seeds(spark, sf), "id").join(facts, "conv_id")
     joined = admitted(prompts.expand_templates(seeds, "id"))
     symbolic = F.col("category").startswith("SYMBOLIC")
     judged = F.when(draws.unit("judged", key) < 0.6, "yes").otherwise("no")

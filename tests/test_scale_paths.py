@@ -130,7 +130,7 @@ def test_split_sizes_are_exact(spark):
         assert sizes[g, "train"] == int(n * 0.70)
         assert sizes[g, "val"] == int(n * 0.15)
         assert sizes[g, "test"] == n - int(n * 0.70) - int(n * 0.15)
-    other = curation.stratified_split(df.repartition(11), "g", "id")
+    other = curation.stratified_split(df.repartition(11), "g", "id", rows_per_task=50)
     assert sorted(split.collect()) == sorted(other.collect())
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from qaloom import schemas
 from qaloom.functions import checks
 from qaloom.functions.staging import let
+from qaloom.session import lookup
 
 
 def minutes_between(start: Column, end: Column) -> Column:
@@ -137,10 +138,11 @@ def first_response_flat(
     """C1 on one row per message: (conv, asked_at, answered_at, response_minutes).
 
     "First" means first in sequence. Both steps are mergeable aggregates; the join in between
-    carries one narrow row per conversation, and only later public agent messages meet it.
+    carries one narrow row per conversation, written once and broadcast only if small, and only
+    later public agent messages pass it.
     """
     public = messages.where(F.col("is_public")).select(conv, seq, ts, "role")
-    asked = (
+    asked = lookup(
         public.where(F.col("role") == "customer")
         .groupBy(conv)
         .agg(F.min_by(ts, seq).alias("asked_at"))

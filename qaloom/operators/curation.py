@@ -12,14 +12,20 @@ from qaloom.session import lookup
 
 
 def dedup_exact(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row per key value, "first" by the order column.
+    """The first row per key value, "first" by the (unique) order column.
 
-    A mergeable aggregate rather than a window: copies collapse where they are read, so a text
-    that makes up a third of the table is no hot task.
+    Rows are told apart by the SHA-256 of the key. Only digests and order values are shuffled, and
+    counted where they are read, so a text that makes up a third of the table is no hot task. The
+    rows themselves then meet a table of the repeated digests alone.
     """
-    rest = [c for c in df.columns if c != key]
-    first = df.groupBy(key).agg(F.min_by(F.struct(*rest), F.col(order)).alias("__row"))
-    return first.select(key, "__row.*").select(*df.columns)
+    marked = df.withColumn("__digest", F.unhex(F.sha2(F.col(key), 256)))
+    groups = marked.groupBy("__digest").agg(
+        F.min(order).alias("__first"), F.count(F.lit(1)).alias("__n")
+    )
+    repeated = lookup(groups.where(F.col("__n") > 1).select("__digest", "__first"))
+    joined = join_on(marked, repeated, ["__digest"], "left")
+    keep = F.col("__first").isNull() | (F.col("__first") == F.col(order))
+    return joined.where(keep).select(*df.columns)
 
 
 def stratified_split(

@@ -9,6 +9,7 @@ from qaloom.operators import agreement, audits, curation, metrics, ranking, simi
 from qaloom.plans import sql as Q
 from qaloom.plans import tables as T
 from qaloom.plans.registry import query
+from qaloom.session import checkpoint
 
 # The test vectors are spread out: this threshold leaves enough pairs to check.
 SIMILAR = 0.3
@@ -218,7 +219,8 @@ bench AS (SELECT *, row_number() OVER (ORDER BY CASE category WHEN 'SYMBOLIC_TIM
       WHEN category = 'UNSUPPORTED' THEN 'unanswerable' ELSE 'standard' END AS scenario FROM bench""",
 )
 def p10(spark, sf):
-    rows = T.prompt_table(spark, sf).withColumnRenamed("category", "top_category")
+    # The prompt table is a stored table in practice; here it is written once and read as one.
+    rows = checkpoint(T.prompt_table(spark, sf).withColumnRenamed("category", "top_category"))
     split = curation.stratified_split(rows, "top_category", "id")
     out = curation.assemble_benchmark(split.where(F.col("split") == "test"), rows, "id")
     out = out.withColumn("conversation_idx", F.col("conversation_idx").cast("bigint"))

@@ -116,11 +116,16 @@ def m9(spark, sf):
 
 @query("m10_ensemble")
 def m10(spark, sf):
-    """Average of two calibrated logistic models: unigrams-and-bigrams, and unigrams of other draws."""
-    train, _, test = _documents(spark, sf)
+    """Average of two calibrated logistic models, one on texts and one on stored embeddings."""
+    vectors = T.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    docs = T.split_documents(spark, sf).withColumnRenamed("text", "prompt").join(vectors, "doc_id")
+    docs = checkpoint(docs)
+    train, test = docs.where(F.col("split") == "train"), docs.where(F.col("split") == "test")
     keep = ["doc_id", "lang"]
     first, labels = models.calibrated_by_folds(train, test, "doc_id", "lang", keep)
-    second, _ = models.calibrated_by_folds(train, test, "doc_id", "lang", keep, folds=2)
+    second, _ = models.calibrated_by_folds(
+        train, test, "doc_id", "lang", keep, features="embedding", text="embedding"
+    )
     scored = models.ensemble(first, second, keep, labels)
     return metrics.class_scores(scored, "lang", "prediction").drop("tp")
 

@@ -9,6 +9,7 @@ from qaloom.operators import audits, curation, features, gates, metrics, prompts
 from qaloom.plans import sql as Q
 from qaloom.plans import tables as T
 from qaloom.plans.registry import query
+from qaloom.session import checkpoint
 
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 
@@ -382,7 +383,7 @@ _TEMPLATE = r"regexp_replace(regexp_replace(lower(regexp_replace(prompt, '^\s+|\
     UNION ALL SELECT 'ALL', count(DISTINCT template), count(DISTINCT template) FILTER (WHERE seen), round(100.0::DOUBLE * count(DISTINCT template) FILTER (WHERE seen) / count(DISTINCT template), 6) FROM test""",
 )
 def g27(spark, sf):
-    rows = curation.stratified_split(T.prompt_table(spark, sf), "category", "id")
+    rows = curation.stratified_split(checkpoint(T.prompt_table(spark, sf)), "category", "id")
     out = audits.template_overlap(
         rows.where(F.col("split") == "train"), rows.where(F.col("split") == "test"), "category", "prompt"
     )

@@ -158,7 +158,7 @@ def fit_platt(scored: DataFrame, truth: str, labels: list[str]) -> list[tuple[fl
             F.when(F.col(truth) == name, 1.0).otherwise(0.0).alias("label"),
             array_to_vector(F.array(F.get("probabilities", F.lit(i)))).alias("features"),
         )
-        model = LogisticRegression(maxIter=100, regParam=0.0, standardization=False).fit(one)
+        model = LogisticRegression(maxIter=30, regParam=0.0).fit(one)
         out.append((float(model.coefficients[0]), float(model.intercept)))
     rows.unpersist()
     return out

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from qaloom.functions import tails
-from qaloom.operators import agreement, calibration, metrics, repeats, routing, significance
+from qaloom.operators import agreement, bootstrap, calibration, metrics, repeats, routing, significance
 
 
 def value(spark, column):
@@ -34,8 +34,8 @@ def test_mcnemar_edges(spark):
 
     assert chi2(0, 0) == 0.0
     assert chi2(5, 5) == pytest.approx(0.1)
-    # Published: 88 routed-only against 0 judge-only right answers gives 86.011.
-    assert chi2(89, 0) == pytest.approx(88**2 / 89)
+    # The published comparison of the deployed router with the judge has this statistic.
+    assert chi2(88, 0) == pytest.approx(86.011, abs=1e-3)
 
 
 def test_holm_is_monotone(spark):
@@ -140,3 +140,38 @@ def test_repeat_runs(spark):
     items = repeats.answer_counts(runs, ["model", "idx"], "answer", "correct")
     row = repeats.inconsistency(items, ["model"]).first()
     assert (row.n_items, row.n_inconsistent, row.accuracy) == (2, 1, 0.75)
+
+
+# Label-pair counts of the published annotation study (120 prompts, two raters and the key).
+H, S, C, M, T, U = "HYBRID SEMANTIC SYMBOLIC_COUNT SYMBOLIC_METADATA SYMBOLIC_TIME UNSUPPORTED".split()
+BETWEEN = [
+    (H, H, 13), (H, S, 3), (H, C, 2), (H, U, 3), (S, H, 1), (S, S, 28), (S, C, 2), (S, M, 1), (S, U, 3),
+    (C, S, 1), (C, C, 13), (C, M, 1), (C, U, 1), (M, M, 17), (T, T, 17), (U, S, 2), (U, U, 12),
+]
+FIRST = [
+    (H, H, 15), (H, S, 1), (H, C, 2), (H, U, 3), (S, H, 4), (S, S, 19), (S, C, 5), (S, M, 1), (S, T, 3),
+    (S, U, 3), (C, C, 13), (C, M, 2), (C, U, 1), (M, M, 17), (T, T, 17), (U, H, 1), (U, U, 13),
+]
+SECOND = [
+    (H, H, 14), (S, H, 6), (S, S, 20), (S, C, 3), (S, M, 1), (S, T, 3), (S, U, 1), (C, C, 17), (M, M, 19),
+    (T, T, 17), (U, U, 19),
+]
+
+
+def rows_of(spark, counts):
+    rows = [(a, b) for a, b, n in counts for _ in range(n)]
+    return spark.createDataFrame(rows, "a string, b string")
+
+
+@pytest.mark.parametrize("counts, expected", [(BETWEEN, 0.796), (FIRST, 0.74), (SECOND, 0.86)])
+def test_published_kappas(spark, counts, expected):
+    assert agreement.kappa(rows_of(spark, counts), "a", "b").first().kappa == pytest.approx(expected, abs=5e-4)
+
+
+def test_published_agreement_and_interval(spark):
+    rows = rows_of(spark, BETWEEN)
+    row = agreement.kappa(rows, "a", "b").first()
+    assert row.agreement == pytest.approx(0.8333, abs=5e-5) and row.band == "Substantial"
+    interval = bootstrap.kappa_interval(rows, "a", "b", replicates=1500).first()
+    assert interval.ci_lo == pytest.approx(0.707, abs=0.015)
+    assert interval.ci_hi == pytest.approx(0.8704, abs=0.015)

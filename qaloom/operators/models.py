@@ -6,6 +6,8 @@ predictions end in one long table (id, truth, prediction, probabilities) for the
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -25,7 +27,7 @@ from pyspark.ml.feature import (
     SQLTransformer,
     StringIndexerModel,
 )
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,7 +76,7 @@ def classifier(kind: str, n_features: int = 0, n_classes: int = 0, regularisatio
     shared = {"featuresCol": "features", "labelCol": "label"}
     if kind == "logistic":
         return LogisticRegression(
-            **shared, weightCol="weight", maxIter=50, regParam=regularisation, family="multinomial"
+            **shared, weightCol="weight", maxIter=50, tol=1e-4, regParam=regularisation, family="multinomial"
         )
     if kind == "svm":
         base = LinearSVC(featuresCol="features", weightCol="weight", maxIter=30, regParam=regularisation)
@@ -149,19 +151,55 @@ def predict(model: PipelineModel, labels: list[str], df: DataFrame, keep: list[s
     return scored.select(*out)
 
 
-def fit_platt(scored: DataFrame, truth: str, labels: list[str]) -> list[tuple[float, float]]:
-    """M9: (slope, intercept) per class of a one-feature logistic fit of outcome on probability."""
-    rows = scored.select(truth, "probabilities").persist()
-    out = []
-    for i, name in enumerate(labels):
-        one = rows.select(
-            F.when(F.col(truth) == name, 1.0).otherwise(0.0).alias("label"),
-            array_to_vector(F.array(F.get("probabilities", F.lit(i)))).alias("features"),
-        )
-        model = LogisticRegression(maxIter=30, regParam=0.0).fit(one)
-        out.append((float(model.coefficients[0]), float(model.intercept)))
-    rows.unpersist()
-    return out
+def fit_platt(
+    scored: DataFrame, truth: str, labels: list[str], rounds: int = 60, tolerance: float = 1e-9
+) -> list[tuple[float, float]]:
+    """M9: (slope, intercept) per class of a sigmoid of the class's probability.
+
+    Newton's method with Platt's smoothed targets, all classes together: one aggregate of a few
+    sums per round, so the data is passed over a handful of times whatever the number of classes.
+    """
+    rows = checkpoint(scored.select(truth, "probabilities"))
+    k = range(len(labels))
+    counts = rows.agg(F.count(F.lit(1)), *[F.count_if(F.col(truth) == c) for c in labels]).first()
+    n, positive = counts[0], counts[1:]
+    high = [(positive[i] + 1.0) / (positive[i] + 2.0) for i in k]
+    low = [1.0 / (n - positive[i] + 2.0) for i in k]
+
+    def sums(params: list[tuple[float, float]]) -> list[tuple[float, ...]]:
+        facts = []
+        for i in k:
+            x = F.get("probabilities", F.lit(i))
+            z = F.lit(params[i][0]) * x + F.lit(params[i][1])
+            p = 1.0 / (1.0 + F.exp(-z))
+            t = F.when(F.col(truth) == labels[i], high[i]).otherwise(low[i])
+            loss = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - t * z
+            w = p * (1.0 - p)
+            facts += [F.sum(c) for c in (loss, (p - t) * x, p - t, w * x * x, w * x, w)]
+        row = rows.agg(*facts).first()
+        return [tuple(row[6 * i : 6 * i + 6]) for i in k]
+
+    params = [(0.0, math.log((positive[i] + 1.0) / (n - positive[i] + 1.0))) for i in k]
+    state, share = sums(params), [1.0 for _ in k]
+    for _ in range(rounds):
+        step = []
+        for _, g1, g0, h11, h10, h00 in state:
+            h11, h00 = h11 + 1e-12, h00 + 1e-12
+            det = h11 * h00 - h10 * h10
+            step.append(((h00 * g1 - h10 * g0) / det, (h11 * g0 - h10 * g1) / det))
+        tried = [(a - share[i] * step[i][0], b - share[i] * step[i][1]) for i, (a, b) in enumerate(params)]
+        found = sums(tried)
+        moved = 0.0
+        for i in k:
+            if found[i][0] <= state[i][0]:
+                moved = max(moved, state[i][0] - found[i][0])
+                params[i], state[i], share[i] = tried[i], found[i], 1.0
+            else:
+                share[i] /= 2.0
+                moved = max(moved, tolerance if share[i] < 1e-6 else 1.0)
+        if moved <= tolerance * max(1, n):
+            break
+    return params
 
 
 def apply_platt(scored: DataFrame, fits: list[tuple[float, float]], labels: list[str]) -> DataFrame:

@@ -66,9 +66,14 @@ def routed_deployed(predicted: Column, category: Column, prompt: Column, params:
     )
 
 
+def unjudged(predicted: Column) -> Column:
+    """R2: routes that never ask the judge, and so cost neither tokens nor judge latency."""
+    return predicted.isin(*SYMBOLIC, "UNSUPPORTED")
+
+
 def used_tokens(predicted: Column, tokens: Column) -> Column:
     """R2: only judged rows cost tokens."""
-    return F.when(predicted.isin([*SYMBOLIC, "UNSUPPORTED"]), F.lit(0)).otherwise(tokens)
+    return F.when(unjudged(predicted), F.lit(0)).otherwise(tokens)
 
 
 def routing_accuracy(df: DataFrame, router: str, predicted: str, confidence: str, category: str, tau: Column) -> DataFrame:

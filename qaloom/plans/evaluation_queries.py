@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from qaloom.functions import draws
+from qaloom.functions import draws, rules
 from qaloom.operators import (
     agreement,
     bootstrap,
@@ -29,30 +29,45 @@ def _rounded(df, columns, digits=6):
 
 # ---- accuracy, latency, tables --------------------------------------------------------------
 
+_FREE_SQL = {
+    "judge": "false",
+    "routed": "conf_learned >= 0.5 AND (starts_with(pred_learned, 'SYMBOLIC') OR pred_learned = 'UNSUPPORTED')",
+    "keyword": "starts_with(pred_keyword, 'SYMBOLIC') OR pred_keyword = 'UNSUPPORTED'",
+    "strict": "starts_with(pred_learned, 'SYMBOLIC') OR pred_learned = 'UNSUPPORTED'",
+    "deployed": f"pred_learned = 'UNSUPPORTED' OR (starts_with(pred_learned, 'SYMBOLIC') AND pred_learned = category AND {Q._IN_TEXT})",
+}
 _POLICY_ROWS = " UNION ALL ".join(
-    f"""SELECT '{p}' AS system, category, truth_source, {p}_correct AS correct,
-    CASE WHEN '{p}' <> 'judge' AND (starts_with(pred_learned, 'SYMBOLIC') OR pred_learned = 'UNSUPPORTED') THEN 0 ELSE judge_tokens END AS tokens,
-    CASE WHEN '{p}' <> 'judge' AND (starts_with(pred_learned, 'SYMBOLIC') OR pred_learned = 'UNSUPPORTED') THEN 0.0::DOUBLE ELSE judge_latency_ms END AS latency_ms FROM routed_pairs"""
-    for p in _POLICIES
+    f"""SELECT '{p}' AS system, category, truth_source, {p}_correct AS correct, CASE WHEN {free} THEN 0 ELSE judge_tokens END AS tokens,
+    CASE WHEN {free} THEN 0.0::DOUBLE ELSE judge_latency_ms END AS latency_ms FROM routed_pairs"""
+    for p, free in _FREE_SQL.items()
 )
 
 
 def policy_results(spark, sf):
-    """One row per (pair, policy) with correctness, tokens and stored latency."""
-    skip = F.col("pred_learned").isin(*routing.SYMBOLIC, "UNSUPPORTED")
-    rows = []
-    for p in _POLICIES:
-        free = skip & F.lit(p != "judge")
-        rows.append(
+    """One row per (pair, policy) with correctness and, where the judge was asked, its cost."""
+    learned, category = F.col("pred_learned"), F.col("category")
+    fallback = routing.with_fallback(learned, F.col("conf_learned"), 0.5)
+    text_gives = rules.literally_extractable(F.col("prompt"), category, F.col("params"))
+    computed_deployed = learned.isin(*routing.SYMBOLIC) & (learned == category) & text_gives
+    free = {
+        "judge": F.lit(False),
+        "routed": routing.unjudged(fallback),
+        "keyword": routing.unjudged(F.col("pred_keyword")),
+        "strict": routing.unjudged(learned),
+        "deployed": (learned == "UNSUPPORTED") | computed_deployed,
+    }
+    rows = F.array(
+        *[
             F.struct(
                 F.lit(p).alias("system"),
                 F.col(f"{p}_correct").alias("correct"),
-                F.when(free, F.lit(0)).otherwise(F.col("judge_tokens")).alias("tokens"),
-                F.when(free, F.lit(0.0)).otherwise(F.col("judge_latency_ms")).alias("latency_ms"),
+                F.when(f, F.lit(0)).otherwise(F.col("judge_tokens")).alias("tokens"),
+                F.when(f, F.lit(0.0)).otherwise(F.col("judge_latency_ms")).alias("latency_ms"),
             )
-        )
-    pairs = T.routed_pairs(spark, sf)
-    return pairs.select("id", "category", "truth_source", F.inline(F.array(*rows)))
+            for p, f in free.items()
+        ]
+    )
+    return T.routed_pairs(spark, sf).select("id", "category", "truth_source", F.inline(rows))
 
 
 @query(

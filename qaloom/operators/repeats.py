@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qaloom.operators.ranking import join_on, percentiles
@@ -67,7 +67,7 @@ def item_accuracy(runs: DataFrame, keys: list[str], model: str, models: list[str
 def win_lose(items: DataFrame, first: str, second: str, models: list[str], high=0.8, low=0.2) -> DataFrame:
     """Adds the verdicts first_wins, second_wins, all_wrong and all_right per item."""
 
-    def every(test) -> F.Column:
+    def every(test) -> Column:
         out = F.lit(True)
         for m in models:
             out = out & test(F.col(m))

@@ -24,7 +24,7 @@ from qaloom.session import checkpoint, lookup
 
 CHUNK_ROWS = 1024
 CELL_ROWS = 8192
-MAX_PIVOTS = 256
+MAX_PIVOTS = 2048
 _SLACK = 1e-6
 
 
@@ -47,14 +47,17 @@ def _pivots(rows: DataFrame, n: int) -> np.ndarray:
 
 def _place(pivots: np.ndarray, reach: float):
     """Task function: each row into its own cell, and into lower cells its partners may call home."""
-    gaps = np.sqrt(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
 
     def place(batches):
+        # Distances between pivots, never too small: rounding may only add candidates.
+        squared = (pivots**2).sum(axis=1)
+        gaps = squared[:, None] + squared[None, :] - 2.0 * (pivots @ pivots.T)
+        gaps = np.sqrt(np.maximum(gaps, 0.0)) + _SLACK
         for batch in batches:
             if batch.empty:
                 continue
             vectors = np.stack(batch["vec"].to_numpy())
-            squares = 2.0 - 2.0 * (vectors @ pivots.T) + ((pivots**2).sum(axis=1) - 1.0)
+            squares = 1.0 + squared[None, :] - 2.0 * (vectors @ pivots.T)
             home = squares.argmin(axis=1)
             best = squares[np.arange(len(home)), home]
             excess = squares - best[:, None]
@@ -209,8 +212,9 @@ def near_duplicate_counts(
         F.max(F.when(n > 1, F.lit(1.0))).alias("__copy"),
     )
     own = checkpoint(own)
-    out, floor, todo = None, levels[0], rows
-    for floor in [levels[0], min(0.0, levels[0] - 1e-9), -1.1]:
+    out, todo = None, rows
+    # Lower by small steps: a block's largest cosine is usually near, where most is still pruned.
+    for floor in [levels[0] - step for step in (0.0, 0.05, 0.15, 0.35)] + [-1.1]:
         counted = _chunked(todo, by, floor, cell_rows, chunk_rows)
         counted = counted.groupBy(*by, "cell", "a", "b").applyInPandas(counter(floor), schema)
         counted = counted.groupBy(*by).agg(

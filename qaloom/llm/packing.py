@@ -32,8 +32,8 @@ END_ID = 1
 WINDOW = 2048  # pieces a task holds open at once
 CARRIED = 512  # pieces left open when a window is packed, so that the next one has a choice
 LEAST_CUT = 16  # gaps of fewer tokens are padded instead of cutting a piece
-CACHED_CHUNKS = 400_000
-CACHED_LENGTH = 128
+CACHED = 300_000  # entries of one generation of a cache
+CACHED_LENGTH = 96
 
 PIECES = (
     "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint,"
@@ -41,35 +41,84 @@ PIECES = (
 )
 # Python splits at these, the tokenizer does not.
 _UNEQUAL_SPACE = re.compile("[\x1c-\x1f]")
+# Chunks that need no Unicode normalisation, and in which no added token can stand.
+_PLAIN = re.compile("(?:(?!<\\|)[\x21-\x7e\xa1-\xac\xae-\xff])+")
 
 
-class ChunkIds(dict):
-    """Ids (little-endian unsigned 32 bit) of the text between white space; encodes what it has not seen.
+class Cache(dict):
+    """Two generations of ``CACHED`` entries: what was used since the last change of generation survives it."""
 
-    The tokenizer drops white space and no token crosses it, so ids of a text are those of its chunks in a row.
-    """
+    def __init__(self):
+        super().__init__()
+        self.old: dict = {}
+
+    def keep(self, key, value):
+        if len(self) >= CACHED:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class PretokenIds(Cache):
+    """Ids (little-endian unsigned 32 bit) of pre-tokens, the units no token crosses."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-    def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer = Tokenizer.from_file(path)
 
     def encode(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def __missing__(self, pretoken: str) -> bytes:
+        return self.keep(pretoken, self.old.get(pretoken) or self.encode(pretoken))
+
+
+class ChunkIds(Cache):
+    """Ids of the text between white space, which the tokenizer drops; so a text's ids are those of its chunks in a row.
+
+    Plain chunks are cut on into pre-tokens as the tokenizer cuts them, all others are encoded whole.
+    """
+
+    # Fixed value: the tokenizer's rule for pre-tokens.
+    RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+    def __init__(self, path: str):
+        import regex
+
+        super().__init__()
+        self.cut = regex.compile(self.RULE).findall
+        self.pretokens = PretokenIds(path)
+
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.encode(chunk)
-        if len(chunk) <= CACHED_LENGTH:
-            if len(self) >= CACHED_CHUNKS:
-                self.clear()
-            self[chunk] = ids
-        return ids
+        if len(chunk) > CACHED_LENGTH:
+            return self.pretokens.encode(chunk)
+        ids = self.old.get(chunk)
+        if ids is None:
+            if _PLAIN.fullmatch(chunk):
+                ids = b"".join(map(self.pretokens.__getitem__, self.cut(chunk.lower())))
+            else:
+                ids = self.pretokens.encode(chunk)
+        return self.keep(chunk, ids)
 
     def of(self, text: str) -> bytes:
         if _UNEQUAL_SPACE.search(text):
-            return self.encode(text)
+            return self.pretokens.encode(text)
         return b"".join(map(self.__getitem__, text.split()))
 
 
+_chunks: dict[str, ChunkIds] = {}
+
+
+def chunk_ids(path: str) -> ChunkIds:
+    """The worker's own cache for a tokenizer file; it lives on from task to task."""
+    if path not in _chunks:
+        _chunks[path] = ChunkIds(path)
+    return _chunks[path]
+
+
 class Bins:
     """Packs pieces as they come; ``full`` gathers the rows of closed sequences."""
 
@@ -163,7 +212,7 @@ def pack(
 ) -> DataFrame:
     """Pieces of all documents with their ids and their place in a sequence.
 
-    ``tokenizer`` is the path of a tokenizer file whose tokens never cross white space. ``prompt_tokens`` names a column
+    ``tokenizer`` is the path of a tokenizer file with the rule of ``ChunkIds``. ``prompt_tokens`` names a column
     with the number of leading ids of a document that bear no loss (null: none). ``max_loss`` limits the others.
     """
     limits = (max_tokens, max_segments, max_tokens if max_loss is None else max_loss)
@@ -175,9 +224,7 @@ def pack(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        chunks = ChunkIds(Tokenizer.from_file(tokenizer))
+        chunks = chunk_ids(tokenizer)
         end = np.asarray([end_id], "<u4").tobytes()
         bins = Bins(TaskContext.get().partitionId() << 40, limits)
         for batch in batches:

@@ -34,6 +34,7 @@ CACHED = 500_000
 
 _RUNS = re.compile(" *[^ ]+| +")
 _models: dict[str, object] = {}
+_lengths: dict[tuple, Lengths] = {}
 
 
 def model(path: str):
@@ -53,6 +54,8 @@ def pretokens(text: str) -> list[str]:
     """Pre-tokens without their first space (the one the model puts before a text included)."""
     if not text:
         return []
+    if "▁" in text:  # the model writes a space as this character
+        text = text.replace("▁", " ")
     if text[0] != " " and "  " not in text:
         return text.split(" ")
     return [run[1:] for run in _RUNS.findall(" " + text)]
@@ -76,6 +79,14 @@ class Lengths(dict):
         return n
 
 
+def worker_lengths(path: str, table) -> Lengths:
+    """The worker's lookup for a broadcast table; it lives on from task to task."""
+    if (path, table.id) not in _lengths:
+        _lengths.clear()
+        _lengths[path, table.id] = Lengths(path, table.value)
+    return _lengths[path, table.id]
+
+
 def frequent(docs: DataFrame, path: str, size: int = TABLE_SIZE) -> dict[str, int]:
     """The table of frequent pre-tokens of all documents with their token counts."""
 
@@ -107,7 +118,7 @@ def count(docs: DataFrame, path: str, limit: int = 4096, size: int = TABLE_SIZE)
     table = docs.sparkSession.sparkContext.broadcast(frequent(docs, path, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = Lengths(path, table.value)
+        lengths = worker_lengths(path, table)
         for batch in batches:
             counts = [sum(map(lengths.__getitem__, pretokens(text))) for text in texts(batch)]
             size = pc.fill_null(pc.binary_length(batch.column("text").cast(pa.binary())), 0)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
-from qaloom.llm import decontaminate, licenses, packing, token_counts
+from qaloom.llm import decontaminate, language, licenses, packing, quality, simhash, token_counts
 from qaloom.llm.common import read
 
 
@@ -21,11 +21,28 @@ def op4_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.count(read(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = read(spark, sf, "documents")
+    return quality.score(docs, quality.fit(docs, read(spark, sf, "labels")))
+
+
 def op6_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark windows found in every document."""
     return decontaminate.digest(decontaminate.scan(read(spark, sf, "documents"), read(spark, sf, "benchmark")))
 
 
+def op7_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.digest(simhash.classes(read(spark, sf, "documents")))
+
+
+def op8_language(spark: SparkSession, sf: str) -> DataFrame:
+    """Language and score of every document."""
+    docs = read(spark, sf, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
 def op10_pack(spark: SparkSession, sf: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
     return packing.digest(packing.pack(read(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json")))
@@ -34,7 +51,10 @@ def op10_pack(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": op3_license_scan,
     "op4_token_counts": op4_token_counts,
+    "op5_quality": op5_quality,
     "op6_decontaminate": op6_decontaminate,
+    "op7_simhash": op7_simhash,
+    "op8_language": op8_language,
     "op10_pack": op10_pack,
 }
 ORACLES: dict[str, str] = {"op6_decontaminate": decontaminate.ORACLE}

@@ -5,11 +5,11 @@ the classifier minimises  p E_pos[l(f)] + max(0, E_unl[l(-f)] - p E_pos[l(-f)])
 term falls below zero, the step goes against it. The prior is estimated from the labels of all training rows: their
 share of positives, smoothed.
 
-Features are the square roots of the shares of byte pairs of the whole text, hashed into ``BUCKETS``; lang, source and doc_id are
-no features. The fit takes at most ``POSITIVES`` positive and ``UNLABELLED`` unlabelled rows (a documented bound, by a hash of
+Features of the whole text are square roots of shares: of pairs of byte classes (a-z, A-Z, digits, non-ASCII, space,
+other white space, each punctuation mark) and of repeated words and lines; lang, source and doc_id are no features. The fit takes at most ``POSITIVES`` positive and ``UNLABELLED`` unlabelled rows (a documented bound, by a hash of
 their key); only their feature vectors come to the driver. Scoring is one map without a shuffle.
 
-Rows: null and empty texts have no byte pairs and get the score of empty features; a null ``doc_id`` is neither held out nor learned
+Rows: null and empty texts have no pairs and get the score of empty features; a null ``doc_id`` is neither held out nor learned
 from; repeated rows are scored each for itself, and of contradicting labels the larger counts; without any positive the score is the
 prior; an empty table gives no rows; further columns are not read.
 """
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -26,28 +27,45 @@ from pyspark.sql import functions as F
 
 from qaloom.llm.common import doc_texts, map_batches, utf8
 
-BUCKETS = 1024
 POSITIVES = 4096
 UNLABELLED = 8192
 FOLDS, HELD_FOLD = 5, 0
 STEPS = 400
-RATE = 0.02
-DECAY = 1e-4
+RATE = 0.05
+DECAY = 1e-3
 THRESHOLD = 0.3
 SLICE = 1 << 20
+SCALE = 4.0
 
-_pairs = np.arange(1 << 16, dtype=np.uint32) * np.uint32(2654435761)
-_BUCKET_OF = ((_pairs ^ (_pairs >> np.uint32(15))) * np.uint32(2246822519) >> np.uint32(22)).astype(np.int64)
+_FOUND_BY_RANGE = ((0x61, 0x7B), (0x41, 0x5B), (0x30, 0x3A), (0x80, 0x100), (0x20, 0x21), (0x00, 0x20))
+_CLASS_OF = np.zeros(256, np.int64)
+for _class, (_low, _high) in enumerate(_FOUND_BY_RANGE):
+    _CLASS_OF[_low:_high] = _class
+_MARKS = [b for b in range(0x21, 0x80) if not any(low <= b < high for low, high in _FOUND_BY_RANGE)]
+_CLASS_OF[_MARKS] = len(_FOUND_BY_RANGE) + np.arange(len(_MARKS))
+CLASSES = len(_FOUND_BY_RANGE) + len(_MARKS)
+PAIRS = CLASSES * CLASSES
+WIDTH = PAIRS + 4
+
+
+def _repeats(parts: list[bytes]) -> tuple[float, float]:
+    """Share of parts that equal the one before, and of the parts that are not the first of their kind among 100."""
+    if len(parts) < 2:
+        return 0.0, 0.0
+    near = sum(map(eq, parts, parts[1:])) / (len(parts) - 1)
+    again = 1 - sum(len(set(parts[i : i + 100])) for i in range(0, len(parts), 100)) / len(parts)
+    return near, again
 
 
 def features(text: bytes) -> np.ndarray:
-    """Square roots of the shares of hashed byte pairs."""
-    counts = np.zeros(BUCKETS)
+    """Square roots of the shares of class pairs, of repeated words and of repeated lines."""
+    counts = np.zeros(PAIRS)
     codes = np.frombuffer(text, np.uint8)
     for at in range(0, len(codes) - 1, SLICE):
-        part = codes[at : at + SLICE + 1].astype(np.uint16)
-        counts += np.bincount(_BUCKET_OF[(part[:-1] << np.uint16(8)) | part[1:]], minlength=BUCKETS)
-    return np.sqrt(counts / max(1.0, counts.sum())).astype(np.float32)
+        part = _CLASS_OF[codes[at : at + SLICE + 1]]
+        counts += np.bincount(part[:-1] * CLASSES + part[1:], minlength=PAIRS)
+    shares = counts / max(1.0, counts.sum())
+    return np.sqrt(np.append(shares, [*_repeats(text.split()), *_repeats(text.splitlines())])).astype(np.float32)
 
 
 @dataclass(frozen=True)
@@ -63,8 +81,7 @@ class Model:
 def minimise(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS) -> Model:
     """Adam on the non-negative risk of a linear classifier."""
     mean = unlabelled.mean(axis=0)
-    scale = 1 / np.maximum(unlabelled.std(axis=0), 1e-3)
-    p, u = (positive - mean) * scale, (unlabelled - mean) * scale
+    p, u = SCALE * (positive - mean), SCALE * (unlabelled - mean)
     w = np.zeros(p.shape[1] + 1)
     w[-1] = np.log(prior / (1 - prior))
     first, second = np.zeros_like(w), np.zeros_like(w)
@@ -83,7 +100,7 @@ def minimise(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
         slope = np.append(gp @ p + gu @ u + DECAY * w[:-1], gp.sum() + gu.sum())
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
         w -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    weights = w[:-1] * scale
+    weights = SCALE * w[:-1]
     return Model(weights.astype(np.float32), float(w[-1] - mean @ weights), prior)
 
 
@@ -119,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     got = map_batches(sample, run, "doc_id bigint, positive boolean, only_positive boolean, vector binary")
     got = got.orderBy("doc_id", "vector").collect()
     if not any(r["positive"] for r in got):
-        return Model(np.zeros(BUCKETS, np.float32), float(np.log(prior / (1 - prior))), prior)
+        return Model(np.zeros(WIDTH, np.float32), float(np.log(prior / (1 - prior))), prior)
     vectors = np.stack([np.frombuffer(r["vector"], np.float16) for r in got]).astype(np.float32)
     positive = np.array([r["positive"] for r in got])
     background = np.array([not r["only_positive"] for r in got])

@@ -16,6 +16,7 @@ itself; an empty table gives no rows; further columns are not read.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,7 +35,7 @@ CACHED = 500_000
 
 _RUNS = re.compile(" *[^ ]+| +")
 _models: dict[str, object] = {}
-_lengths: dict[tuple, Lengths] = {}
+_lengths: dict[str, Lengths] = {}
 
 
 def model(path: str):
@@ -79,12 +80,12 @@ class Lengths(dict):
         return n
 
 
-def worker_lengths(path: str, table) -> Lengths:
-    """The worker's lookup for a broadcast table; it lives on from task to task."""
-    if (path, table.id) not in _lengths:
+def worker_lengths(path: str, run: str, table) -> Lengths:
+    """The worker's lookup for the table of a run; it lives on from task to task."""
+    if run not in _lengths:
         _lengths.clear()
-        _lengths[path, table.id] = Lengths(path, table.value)
-    return _lengths[path, table.id]
+        _lengths[run] = Lengths(path, table.value)
+    return _lengths[run]
 
 
 def frequent(docs: DataFrame, path: str, size: int = TABLE_SIZE) -> dict[str, int]:
@@ -115,10 +116,11 @@ def frequent(docs: DataFrame, path: str, size: int = TABLE_SIZE) -> dict[str, in
 
 def count(docs: DataFrame, path: str, limit: int = 4096, size: int = TABLE_SIZE) -> DataFrame:
     """Bytes and tokens of every whole text, and whether the tokens exceed ``limit``."""
+    name = uuid.uuid4().hex
     table = docs.sparkSession.sparkContext.broadcast(frequent(docs, path, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = worker_lengths(path, table)
+        lengths = worker_lengths(path, name, table)
         for batch in batches:
             counts = [sum(map(lengths.__getitem__, pretokens(text))) for text in texts(batch)]
             size = pc.fill_null(pc.binary_length(batch.column("text").cast(pa.binary())), 0)

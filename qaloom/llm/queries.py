@@ -5,10 +5,32 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
-from qaloom.llm import decontaminate, language, licenses, packing, quality, simhash, token_counts
-from qaloom.llm.common import read
+from qaloom.llm import decontaminate, language, licenses, lm_score, packing, quality, resharding, simhash, token_counts
+from qaloom.llm.common import new_folder, read
+
+
+OLD_SHARDS = 16
+
+
+def op2_reshard(spark: SparkSession, sf: str) -> DataFrame:
+    """Shard and slot of every document, from 16 old shards of input files to 8 new ones with equal counts."""
+    docs = read(spark, sf, "documents")
+    old = F.pmod(F.crc32(F.col("_metadata.file_name")), F.lit(OLD_SHARDS))
+    placed, plan = resharding.place(resharding.prepare(docs, old), 8)
+    rows = resharding.rewrite(placed, plan, new_folder(spark, "op2-shards"))
+    return rows.select(
+        "doc_id",
+        "size",
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        F.col("old").alias("old_shard"),
+    )
 
 
 def op3_license_scan(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,18 +65,26 @@ def op8_language(spark: SparkSession, sf: str) -> DataFrame:
     return language.identify(docs, language.fit(docs))
 
 
+def op9_cross_entropy(spark: SparkSession, sf: str) -> DataFrame:
+    """Cross-entropy difference of every document: conversations are the target, documents the background."""
+    docs = read(spark, sf, "documents")
+    return lm_score.score(docs, lm_score.train(read(spark, sf, "conversations"), docs))
+
+
 def op10_pack(spark: SparkSession, sf: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
     return packing.digest(packing.pack(read(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_reshard": op2_reshard,
     "op3_license_scan": op3_license_scan,
     "op4_token_counts": op4_token_counts,
     "op5_quality": op5_quality,
     "op6_decontaminate": op6_decontaminate,
     "op7_simhash": op7_simhash,
     "op8_language": op8_language,
+    "op9_cross_entropy": op9_cross_entropy,
     "op10_pack": op10_pack,
 }
 ORACLES: dict[str, str] = {"op6_decontaminate": decontaminate.ORACLE}

@@ -34,13 +34,14 @@ CARRIED = 512  # pieces left open when a window is packed, so that the next one
 LEAST_CUT = 16  # gaps of fewer tokens are padded instead of cutting a piece
 CACHED = 300_000  # entries of one generation of a cache
 CACHED_LENGTH = 96
+GROUP_CHARS = 1 << 19
 
 PIECES = (
     "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint,"
     " loss_tokens bigint"
 )
 # Python splits at these, the tokenizer does not.
-_UNEQUAL_SPACE = re.compile("[\x1c-\x1f]")
+_UNEQUAL_SPACES = "\x1c\x1d\x1e\x1f"
 # Chunks that need no Unicode normalisation, and in which no added token can stand.
 _PLAIN = re.compile("(?:(?!<\\|)[\x21-\x7e\xa1-\xac\xae-\xff])+")
 
@@ -60,53 +61,85 @@ class Cache(dict):
         return value
 
 
-class PretokenIds(Cache):
-    """Ids (little-endian unsigned 32 bit) of pre-tokens, the units no token crosses."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-
-    def encode(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, pretoken: str) -> bytes:
-        return self.keep(pretoken, self.old.get(pretoken) or self.encode(pretoken))
-
-
 class ChunkIds(Cache):
-    """Ids of the text between white space, which the tokenizer drops; so a text's ids are those of its chunks in a row.
+    """Ids (little-endian unsigned 32 bit) of the text between white space.
 
-    Plain chunks are cut on into pre-tokens as the tokenizer cuts them, all others are encoded whole.
+    The tokenizer drops white space, so a text's ids are those of its chunks in a row. New chunks of a group of texts are
+    cut into pre-tokens, as the tokenizer cuts them, and new pre-tokens are encoded in one call: the last id of a
+    pre-token is a word end, and only that one. Chunks that are not plain are encoded whole.
     """
 
-    # Fixed value: the tokenizer's rule for pre-tokens.
+    # The tokenizer's rule for pre-tokens, and its mark of word ends.
     RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    WORD_END = "</w>"
 
     def __init__(self, path: str):
         import regex
+        from tokenizers import Tokenizer
 
         super().__init__()
         self.cut = regex.compile(self.RULE).findall
-        self.pretokens = PretokenIds(path)
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(chunk) > CACHED_LENGTH:
-            return self.pretokens.encode(chunk)
-        ids = self.old.get(chunk)
-        if ids is None:
-            if _PLAIN.fullmatch(chunk):
-                ids = b"".join(map(self.pretokens.__getitem__, self.cut(chunk.lower())))
+        self.tokenizer = Tokenizer.from_file(path)
+        self.pretokens = Cache()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(self.WORD_END)]] = True
+
+    def encode(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode_pretokens(self, pretokens: list[str]) -> dict[str, bytes]:
+        if not pretokens:
+            return {}
+        ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(pretokens)], add_special_tokens=False)[0].ids, "<u4")
+        after = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(after) != len(pretokens):
+            raise ValueError("this tokenizer does not end each pre-token with a word end")
+        line = ids.tobytes()
+        return {t: line[a:b] for t, a, b in zip(pretokens, [0, *after], after, strict=False)}
+
+    def learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Keeps the ids of short chunks, and returns those of long ones, which are not kept."""
+        cuts, own, long = {}, {}, {}
+        for chunk in chunks:
+            if len(chunk) > CACHED_LENGTH:
+                long[chunk] = self.encode(chunk)
+            elif (ids := self.old.get(chunk)) is not None:
+                own[chunk] = ids
+            elif _PLAIN.fullmatch(chunk):
+                cuts[chunk] = self.cut(chunk.lower())
             else:
-                ids = self.pretokens.encode(chunk)
-        return self.keep(chunk, ids)
+                own[chunk] = self.encode(chunk)
+        known = {}
+        for pretoken in set().union(*cuts.values()):
+            known[pretoken] = self.pretokens.get(pretoken) or self.pretokens.old.get(pretoken)
+        known |= self.encode_pretokens([t for t, ids in known.items() if ids is None])
+        for pretoken, ids in known.items():
+            self.pretokens.keep(pretoken, ids)
+        for chunk, parts in cuts.items():
+            own[chunk] = b"".join([known[t] for t in parts])
+        if len(self) + len(own) > CACHED:
+            self.old = dict(self)
+            self.clear()
+        self.update(own)
+        return long
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text of a group."""
+        parts = [None if any(c in text for c in _UNEQUAL_SPACES) else text.split() for text in texts]
+        chunks = set().union(*(p for p in parts if p))
+        long = self.learn(chunks - self.keys())
+        if len(self) < len(chunks) - len(long):
+            # A change of generation dropped chunks of this very group.
+            self.update((c, self.old[c]) for c in chunks - self.keys() - long.keys())
+        if not long:
+            one = self.__getitem__
+        else:
 
-    def of(self, text: str) -> bytes:
-        if _UNEQUAL_SPACE.search(text):
-            return self.pretokens.encode(text)
-        return b"".join(map(self.__getitem__, text.split()))
+            def one(chunk: str) -> bytes:
+                return long[chunk] if chunk in long else self[chunk]
+
+        return [self.encode(text) if p is None else b"".join(map(one, p)) for text, p in zip(texts, parts, strict=True)]
 
 
 _chunks: dict[str, ChunkIds] = {}
@@ -201,6 +234,19 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
+def _groups(batch: pa.RecordBatch) -> Iterator[list[tuple]]:
+    """The rows of a batch in groups of some ``GROUP_CHARS`` characters."""
+    rows, size = [], 0
+    for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "prompt")), strict=True):
+        rows.append(row)
+        size += len(row[1] or "")
+        if size >= GROUP_CHARS:
+            yield rows
+            rows, size = [], 0
+    if rows:
+        yield rows
+
+
 def pack(
     docs: DataFrame,
     tokenizer: str,
@@ -228,13 +274,14 @@ def pack(
         end = np.asarray([end_id], "<u4").tobytes()
         bins = Bins(TaskContext.get().partitionId() << 40, limits)
         for batch in batches:
-            for doc_id, text, n in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "prompt")), strict=True):
-                bins.add(doc_id, chunks.of(text or "") + end, n)
-                if len(bins.open) >= WINDOW:
-                    bins.pack(CARRIED)
-                if len(bins.rows) >= 2000:
-                    yield _batch(bins.rows)
-                    bins.rows = []
+            for rows in _groups(batch):
+                for (doc_id, _, n), ids in zip(rows, chunks.of([text or "" for _, text, _ in rows]), strict=True):
+                    bins.add(doc_id, ids + end, n)
+                    if len(bins.open) >= WINDOW:
+                        bins.pack(CARRIED)
+                    if len(bins.rows) >= 2000:
+                        yield _batch(bins.rows)
+                        bins.rows = []
         bins.pack(0)
         if bins.rows:
             yield _batch(bins.rows)

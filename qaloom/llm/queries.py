@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from qaloom.llm import decontaminate, language, licenses, lm_score, packing, quality, resharding, simhash, token_counts
+from qaloom.llm import decontaminate, language, licenses, lm_score, nearest, packing, quality, resharding, simhash, token_counts
 from qaloom.llm.common import new_folder, read
 
 
+def op1_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth vector."""
+    vectors = read(spark, sf, "embeddings")
+    return nearest.nearest(vectors, vectors.select("vec_id").filter("vec_id % 20 = 0"))
+
+
 OLD_SHARDS = 16
 
 
@@ -77,6 +83,7 @@ def op10_pack(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nearest": op1_nearest,
     "op2_reshard": op2_reshard,
     "op3_license_scan": op3_license_scan,
     "op4_token_counts": op4_token_counts,

@@ -3,76 +3,61 @@
 Accuracy, F1 and kappa depend on the data only through a handful of counts: how many rows fall in
 each cell (right/wrong, a confusion cell, a label pair). Drawing n rows with replacement is
 drawing those counts from a multinomial, so the data is read once and the resampling runs on the
-cells. Up to ``exact_rows`` rows per group every draw is made one by one from a hash of (seed,
-group, replicate, slot); above, the counts come from the multinomial's normal limit, whose error
-at that size is far below the spread it measures.
+cells. Counts are drawn exactly (conditional binomials), by the same rule at every size; the cost does
+not depend on the number of rows. Draws are a function of (seed, group, block of replicates).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
-from qaloom.functions import draws
 from qaloom.operators import agreement, metrics
 from qaloom.operators.ranking import join_on, percentiles
 from qaloom.session import checkpoint
 
-EXACT_ROWS = 1_000_000
-SLOTS_PER_TASK = 10_000
+BLOCK = 250
+
+
+@F.pandas_udf(ArrayType(ArrayType(LongType())))
+def _multinomial(key: pd.Series, counts: pd.Series) -> pd.Series:
+    """``BLOCK`` draws of the counts, for each row; the generator is seeded by the key."""
+
+    def draw(name: str, n: np.ndarray) -> list:
+        seed = int.from_bytes(hashlib.blake2b(name.encode(), digest_size=16).digest(), "little")
+        n = np.asarray(n, np.int64)
+        rows = np.random.Generator(np.random.Philox(key=seed)).multinomial(n.sum(), n / n.sum(), size=BLOCK)
+        return list(rows)
+
+    return pd.Series([draw(k, n) for k, n in zip(key, counts, strict=True)])
 
 
-def resampled(cells: DataFrame, by: list[str], cell: list[str], replicates: int, seed: str = "boot", exact_rows: int = EXACT_ROWS) -> DataFrame:
+def resampled(cells: DataFrame, by: list[str], cell: list[str], replicates: int, seed: str = "boot") -> DataFrame:
     """Resampled counts: one row per (group, replicate, cell) with ``n`` as DOUBLE.
 
     ``cells`` has the group keys, the cell keys and a count ``n``. A group's cells are as many as
-    its label combinations, so the window over a group is small. Cells drawn zero times are left
-    out of the exact form.
+    its label combinations, so they fit a row. Cells drawn zero times are left out.
     """
-    group = Window.partitionBy(*(by or [F.lit(0)]))
-    running = group.orderBy(*cell).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("n").over(group).cast("bigint")
-    upto = F.sum("n").over(running).cast("bigint")
-    placed = cells.select(*by, *cell, F.col("n").cast("bigint").alias("n"), total.alias("total"), upto.alias("upto"))
-    name = F.concat_ws("|", *[F.col(b).cast("string") for b in by]) if by else F.lit("all")
-
-    # A fixed number of tasks: the work rows are tiny, and must not be merged before they expand.
-    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    exact = placed.where(F.col("total") <= exact_rows)
-    packed = exact.groupBy(*by, "total").agg(
-        F.sort_array(F.collect_list(F.struct("upto", *cell))).alias("cells")
-    )
-    blocks = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("total") - 1) / SLOTS_PER_TASK))
-    work = (
-        packed.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-        .withColumn("__block", F.explode(blocks))
-        .repartition(tasks, *by, "replicate", "__block")
-    )
-    first = F.col("__block") * SLOTS_PER_TASK
-    slots = F.sequence(first, F.least(first + SLOTS_PER_TASK, F.col("total")) - 1)
-    at = draws.draw(seed, name, F.col("replicate"), F.col("__slot")) % F.col("total")
-    hit = F.get(F.filter("cells", lambda c: c["upto"] > F.col("__at")), F.lit(0))
-    drawn = (
-        work.withColumn("__slot", F.explode(slots))
-        .withColumn("__at", at)
-        .withColumn("__hit", hit)
-        .select(*by, "replicate", *[F.col(f"__hit.{c}").alias(c) for c in cell])
-        .groupBy(*by, "replicate", *cell)
-        .agg(F.count(F.lit(1)).cast("double").alias("n"))
-    )
-
-    large = placed.where(F.col("total") > exact_rows)
-    p = F.col("n") / F.col("total")
-    z = draws.normal(seed, name, F.col("replicate"), *[F.col(c) for c in cell])
-    together = Window.partitionBy(*by, "replicate")
-    shared = F.sum(F.sqrt(p) * F.col("__z")).over(together)
-    count = F.col("n") + F.sqrt(F.col("n").cast("double")) * (F.col("__z") - F.sqrt(p) * shared)
-    limit = (
-        large.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-        .withColumn("__z", z)
-        .select(*by, "replicate", *cell, F.greatest(F.lit(0.0), count).alias("n"))
+    name = F.concat_ws("|", F.lit(seed), *[F.coalesce(F.col(b).cast("string"), F.lit("")) for b in by])
+    packed = (
+        cells.where(F.col("n") > 0)
+        .groupBy(*by)
+        .agg(F.sort_array(F.collect_list(F.struct(*cell, F.col("n").cast("bigint").alias("n")))).alias("cells"))
     )
-    return drawn.unionByName(limit)
+    blocks = F.sequence(F.lit(0), F.lit((replicates - 1) // BLOCK))
+    work = packed.withColumn("__block", F.explode(blocks))
+    counts = F.transform("cells", lambda c: c["n"])
+    work = work.withColumn("__drawn", _multinomial(F.concat_ws("#", name, F.col("__block")), counts))
+    rows = work.select(*by, "cells", "__block", F.posexplode("__drawn").alias("__at", "__n"))
+    rows = rows.withColumn("replicate", F.col("__block") * BLOCK + F.col("__at")).where(F.col("replicate") < replicates)
+    pairs = F.inline(F.arrays_zip(F.col("cells").alias("c"), F.col("__n").alias("m")))
+    rows = rows.select(*by, "replicate", pairs)
+    return rows.select(*by, "replicate", *[F.col(f"c.{x}").alias(x) for x in cell], F.col("m").cast("double").alias("n")).where("n > 0")
 
 
 def interval(replicated: DataFrame, by: list[str], value: str) -> DataFrame:

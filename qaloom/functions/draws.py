@@ -9,13 +9,19 @@ from pyspark.sql import functions as F
 
 from qaloom.functions.staging import let
 
-SPAN = 1 << 32
+# As many bits as a DOUBLE holds exactly: unit draws stay below 1, and remainders reach every row of a large table.
+SPAN = 1 << 52
+
+
+def of_text(text: Column) -> Column:
+    """A BIGINT in [0, SPAN) that is a function of the text only."""
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
 
 
 def draw(seed: str, *keys: Column) -> Column:
-    """A BIGINT in [0, 2**32) that is a function of the seed and the key columns only."""
+    """A BIGINT in [0, 2**52) that is a function of the seed and the key columns only."""
     text = F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    return of_text(text)
 
 
 def unit(seed: str, *keys: Column) -> Column:

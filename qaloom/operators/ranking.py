@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qaloom.functions import draws
-from qaloom.session import lookup
+from qaloom.session import checkpoint, lookup
 
 ROWS_PER_TASK = 200_000
-MAX_CUTS = 1024
+SKETCH = 10_000  # accuracy of quantile sketches: ranks are right to one in so many
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -62,10 +62,10 @@ def ranked(
         return rows.withColumn("rank", F.row_number().over(window) - 1).drop("__order", "__all")
     if seed is not None:
         pieces = F.ceil(F.col("group_size") / rows_per_task)
-        rows = rows.withColumn("__piece", F.floor(F.col("__order") * pieces / draws.SPAN))
+        rows = rows.withColumn("__piece", F.floor(F.col("__order") / F.lit(float(draws.SPAN)) * pieces))
     else:
-        pieces = min(MAX_CUTS, math.ceil(largest / rows_per_task))
-        cuts = F.percentile_approx("__order", _cut_positions(pieces), F.lit(10_000))
+        pieces = math.ceil(largest / rows_per_task)
+        cuts = F.percentile_approx("__order", _cut_positions(pieces), F.lit(max(SKETCH, 10 * pieces)))
         table = lookup(rows.groupBy(*by).agg(cuts.alias("__cuts")), row_bytes=8 * pieces)
         rows = join_on(rows, table, by)
         rows = rows.withColumn("__piece", _piece_of(F.col("__order"), "__cuts")).drop("__cuts")
@@ -102,7 +102,7 @@ def rank_cuts(
     sizes = lookup(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("group_size")))
     pieces = F.ceil(F.col("group_size") / rows_per_task)
     placed = join_on(rows, sizes, by)
-    placed = placed.withColumn("piece", F.floor(F.col("at.d") * pieces / draws.SPAN))
+    placed = placed.withColumn("piece", F.floor(F.col("at.d") / F.lit(float(draws.SPAN)) * pieces))
     before = Window.partitionBy(*by).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     wanted = F.array(*[p(F.col("group_size")).cast("bigint") for p in positions])
     holders = (
@@ -124,65 +124,59 @@ def rank_cuts(
     return join_on(sizes, found.agg(*cuts), by, "left")
 
 
-def percentiles(
-    df: DataFrame, by: list[str], value: str, shares: dict[str, float], pieces: int = 64
-) -> DataFrame:
+def percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Exact linear-interpolation percentiles per group: one column per entry of ``shares``.
 
-    Each group is cut at approximate quantiles (a mergeable sketch), the pieces are counted, and
-    only the pieces that hold a wanted rank are looked at again. Equal values are collapsed to one
-    counted row, so a value that makes up a third of the data costs nothing extra.
+    A mergeable sketch first bounds the interval around each wanted rank (its rank error is known); one more
+    read counts the rows below each interval and collapses equal values inside it to counted rows. Only those are
+    ordered: a few in ten thousand of a large group, and all distinct values of a small one. The input is evaluated
+    once; what is read twice are its keys and values.
     """
     by = by or ["__all"]
     rows = df.withColumn("__all", F.lit(0)) if by == ["__all"] else df
-    rows = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"))
-    cuts = F.percentile_approx("__v", _cut_positions(pieces), F.lit(10_000))
-    stats = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), cuts.alias("__cuts"))
-    stats = lookup(stats, row_bytes=8 * pieces)
-    placed = join_on(rows, stats, by).withColumn("__piece", _piece_of(F.col("__v"), "__cuts"))
-    placed = placed.select(*by, "__n", "__piece", "__v")
-
-    wanted = []
+    rows = checkpoint(rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v")))
+    edges = []
     for share in shares.values():
-        at = F.lit(share) * (F.col("__n") - 1)
-        wanted += [F.floor(at), F.ceil(at)]
-    before = (
-        Window.partitionBy(*by).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+        edges += [max(0.0, share - 2 / SKETCH), min(1.0, share + 2 / SKETCH)]
+    near = F.percentile_approx("__v", F.array(*[F.lit(e) for e in edges]), F.lit(SKETCH))
+    stats = rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("__n"), near.alias("__near"), F.min("__v").alias("__min"), F.max("__v").alias("__max")
     )
-    holders = (
-        placed.groupBy(*by, "__n", "__piece")
-        .agg(F.count(F.lit(1)).alias("__m"))
-        .withColumn("__start", F.coalesce(F.sum("__m").over(before), F.lit(0)))
-        .withColumn("__wanted", F.array_distinct(F.array(*wanted)))
-        .where(
-            F.exists(
-                "__wanted",
-                lambda k: (k >= F.col("__start")) & (k < F.col("__start") + F.col("__m")),
-            )
-        )
-        .select(*by, "__piece", "__start")
-    )
-    inner = (
-        Window.partitionBy(*by, "__piece").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    values = (
-        join_on(placed, lookup(holders), [*by, "__piece"])
-        .groupBy(*by, "__n", "__piece", "__start", "__v")
-        .agg(F.count(F.lit(1)).alias("__m"))
-        .withColumn("__end", F.col("__start") + F.sum("__m").over(inner))
-        .withColumn("__begin", F.col("__end") - F.col("__m"))
+    # The sketch errs by under n / SKETCH ranks; below some multiples of SKETCH rows that is not a whole rank, so all count.
+    small = F.col("__n") <= 10 * SKETCH
+    bounds = []
+    for i, edge in enumerate(edges):
+        end = "__max" if i % 2 else "__min"
+        bounds.append(F.when(small | F.lit(edge in (0.0, 1.0)), F.col(end)).otherwise(F.get("__near", F.lit(i))).alias(f"__e{i}"))
+    stats = lookup(stats.select(*by, "__n", *bounds), row_bytes=8 * len(edges) + 64)
+    placed = join_on(rows, stats, by)
+    wanted = range(len(shares))
+    inside = F.lit(False)
+    for i in wanted:
+        inside |= F.col("__v").between(F.col(f"__e{2 * i}"), F.col(f"__e{2 * i + 1}"))
+    lows = [F.col(f"__e{2 * i}") for i in wanted]
+    values = placed.groupBy(*by, "__n", *[f"__e{2 * i}" for i in wanted], F.when(inside, F.col("__v")).alias("__z")).agg(
+        F.count(F.lit(1)).alias("__m"),
+        *[F.sum((F.col("__v") < low).cast("bigint")).alias(f"__b{i}") for i, low in enumerate(lows)],
     )
-
-    def at_rank(k: Column) -> Column:
-        return F.max(F.when((k >= F.col("__begin")) & (k < F.col("__end")), F.col("__v")))
+    group = Window.partitionBy(*by)
+    running = group.orderBy("__z").rowsBetween(Window.unboundedPreceding, -1)
+    counted = F.when(F.col("__z").isNotNull(), F.col("__m")).otherwise(0)
+    values = values.withColumn("__before", F.coalesce(F.sum(counted).over(running), F.lit(0)))
+    # Rank of a value: all rows below the interval, and the counted ones between its lower end and the value.
+    for i, low in enumerate(lows):
+        skipped = F.sum(F.when(F.col("__z") < low, F.col("__m")).otherwise(0)).over(group)
+        values = values.withColumn(f"__r{i}", F.sum(f"__b{i}").over(group) - skipped + F.col("__before"))
+
+    def at_rank(i: int, k: Column) -> Column:
+        first = F.col(f"__r{i}")
+        hit = (F.col("__z") >= lows[i]) & (k >= first) & (k < first + F.col("__m"))
+        return F.max(F.when(hit, F.col("__z")))
 
     picked = []
-    for name, share in shares.items():
+    for i, (name, share) in enumerate(shares.items()):
         at = F.lit(share) * (F.col("__n") - 1)
-        picked += [
-            at_rank(F.floor(at)).alias(f"__low_{name}"),
-            at_rank(F.ceil(at)).alias(f"__high_{name}"),
-        ]
+        picked += [at_rank(i, F.floor(at)).alias(f"__low_{name}"), at_rank(i, F.ceil(at)).alias(f"__high_{name}")]
     found = values.groupBy(*by, "__n").agg(*picked)
     out = []
     for name, share in shares.items():

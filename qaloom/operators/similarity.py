@@ -11,6 +11,7 @@ what qualifies.
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -20,11 +21,10 @@ from pyspark.sql import types as T
 
 from qaloom.functions import draws
 from qaloom.operators.ranking import join_on
-from qaloom.session import checkpoint, lookup
+from qaloom.session import checkpoint, lookup, shared_folder
 
 CHUNK_ROWS = 1024
 CELL_ROWS = 8192
-MAX_PIVOTS = 2048
 _SLACK = 1e-6
 
 
@@ -83,7 +83,8 @@ def _chunked(rows: DataFrame, by: list[str], threshold: float, cell_rows: int, c
         return rows.withColumns(
             {"cell": F.lit(0).cast("bigint"), "home": F.lit(True), "a": one, "b": one, "chunk": one}
         )
-    n_pivots = min(MAX_PIVOTS, math.ceil(total / cell_rows))
+    # Cells of fixed size while pivots are few; beyond, pivots and cells both grow with the root of the rows.
+    n_pivots = min(math.ceil(total / cell_rows), math.ceil(math.sqrt(total) / 2))
     pivots = _pivots(rows, n_pivots) if n_pivots > 1 else np.empty((0, 0))
     if len(pivots) > 1:
         schema = T.StructType(
@@ -273,7 +274,6 @@ def dedup_greedy(
     by: list[str],
     threshold: float = 0.99,
     eligible=None,
-    max_rounds: int = 1000,
     cell_rows: int = CELL_ROWS,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
@@ -285,25 +285,21 @@ def dedup_greedy(
     """
     pool = df if eligible is None else df.where(eligible)
     undecided = checkpoint(distinct_vectors(pool, key, vector, by))
-    kept = None
-    for _ in range(max_rounds):
-        if undecided.isEmpty():
-            break
+    # Decided ids are appended to one table, so the plan of a round does not grow with the rounds before it.
+    decided = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    names = undecided.select(*by, "id").schema
+    undecided.limit(0).select(*by, "id").write.parquet(decided)
+    while not undecided.isEmpty():
         later = checkpoint(_flagged(undecided, by, threshold, cell_rows, chunk_rows, "earlier"))
         fresh = join_on(undecided, later.withColumn("__l", F.lit(True)), [*by, "id"], "left")
         marked = fresh.withColumn("kept", F.col("__l").isNull()).drop("__l")
-        ids = marked.where("kept").select(*by, "id")
-        kept = ids if kept is None else kept.unionByName(ids)
+        marked.where("kept").select(*by, "id").write.mode("append").parquet(decided)
         if later.isEmpty():
             break
         dropped = _flagged(marked, by, threshold, cell_rows, chunk_rows, "kept")
         rest = marked.where(~F.col("kept")).drop("kept")
         undecided = checkpoint(rest.join(dropped, [*by, "id"], "left_anti"))
-    else:
-        raise RuntimeError(f"similarity chain longer than {max_rounds} rounds")
-    if kept is None:
-        return df
-    kept = kept.select(F.col("id").alias(key))
+    kept = df.sparkSession.read.schema(names).parquet(decided).select(F.col("id").alias(key))
     survivors = pool.join(kept, key, "left_semi")
     if eligible is None:
         return survivors

@@ -17,11 +17,11 @@ def listed(values) -> str:
 
 def draw(seed: str, *keys: str) -> str:
     parts = ", ".join([text(seed), *[f"CAST({k} AS VARCHAR)" for k in keys]])
-    return f"CAST('0x' || substr(md5(concat_ws(':', {parts})), 1, 8) AS BIGINT)"
+    return f"CAST('0x' || substr(md5(concat_ws(':', {parts})), 1, 13) AS BIGINT)"
 
 
 def unit(seed: str, *keys: str) -> str:
-    return f"({draw(seed, *keys)} / 4294967296::DOUBLE)"
+    return f"({draw(seed, *keys)} / 4503599627370496::DOUBLE)"
 
 
 def pick(options, seed: str, *keys: str) -> str:
@@ -187,11 +187,12 @@ def keyword_route(prompt: str = "prompt") -> str:
 
 PAIRS = f"""{ADMITTED},{FEATURES},
 pair_truth AS (
-  SELECT a.*, f.* EXCLUDE (conv_id),
-    CASE WHEN starts_with(category, 'SYMBOLIC') THEN {answer_of('category')}
+  SELECT *, CASE WHEN starts_with(category, 'SYMBOLIC') THEN {answer_of('category')}
       WHEN category = 'UNSUPPORTED' THEN 'reject'
       WHEN {unit('judged', 'id')} < 0.6 THEN 'yes' ELSE 'no' END AS truth
-  FROM admitted a JOIN features f USING (conv_id)),
+  FROM (SELECT a.*, response_minutes, resolution_minutes, coalesce(channel, '') AS channel, coalesce(n_public, 0) AS n_public,
+      coalesce(n_messages, 0) AS n_messages, coalesce(has_notes, false) AS has_notes, coalesce(tags, []) AS tags
+    FROM admitted a LEFT JOIN features f USING (conv_id))),
 pairs AS (
   SELECT *,
     CASE WHEN {unit('router', 'id')} < 0.9 THEN category ELSE {pick(CLASSES, 'misroute', 'id')} END AS pred_learned,

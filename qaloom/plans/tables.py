@@ -110,9 +110,11 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Evaluation pairs: prompts with their customer's conversation features, truth, two routers
     and a stored judge."""
     key = F.col("id")
-    # Joined on the bare keys first, so prompts are only written for conversations that exist.
     facts = lookup(conversation_features(spark, sf), row_bytes=256)
-    seeds = spread(prompt_seeds(spark, sf), "id").join(facts, "conv_id")
+    seeds = spread(prompt_seeds(spark, sf), "id").join(facts, "conv_id", "left")
+    # A conversation without messages has no times, no tags and no notes.
+    empty = {"channel": F.lit(""), "n_public": F.lit(0), "n_messages": F.lit(0), "has_notes": F.lit(False), "tags": F.array()}
+    seeds = seeds.withColumns({c: F.coalesce(F.col(c), v.cast(seeds.schema[c].dataType)) for c, v in empty.items()})
     joined = admitted(prompts.expand_templates(seeds, "id"))
     symbolic = F.col("category").startswith("SYMBOLIC")
     judged = F.when(draws.unit("judged", key) < 0.6, "yes").otherwise("no")

@@ -195,8 +195,9 @@ def rewrite(placed: DataFrame, plan: Plan, folder: str) -> DataFrame:
 
     Rows of affected shards are read back from the files, the others come from where they were.
     """
-    changed = F.col("shard").isin(sorted(plan.affected))
-    placed.filter(changed).write.partitionBy("shard").parquet(folder)
+    # Rows of a shard that neither loses nor gains any are told by their old shard, before anything is shuffled.
+    still = [s for s in range(plan.shards) if s not in plan.affected]
+    placed.filter(~F.col("old").isin(still) | F.col("old").isNull()).write.partitionBy("shard").parquet(folder)
     schema = placed.schema
     written = placed.sparkSession.read.schema(schema).parquet(folder).select(*schema.names)
-    return written if len(plan.affected) == plan.shards else written.unionByName(placed.filter(~changed))
+    return written.unionByName(placed.filter(F.col("old").isin(still))) if still else written

@@ -22,9 +22,28 @@ def minutes_between(start: Column, end: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", start, end) / F.lit(6e7)
 
 
+_OFFSET = r"(?:[Zz]|[+-]\d{2}:?\d{2})$"
+
+
 def parse_timestamp(text: Column) -> Column:
-    """ISO text with "T" or a space, with or without fractions; null when unreadable."""
-    return text.try_cast("timestamp_ntz")
+    """ISO text with "T" or a space, with or without fractions; null when unreadable.
+
+    An offset is honoured: the result is the moment in UTC. Text without one is taken as UTC.
+    """
+    trimmed = F.trim(text)
+    clock = F.regexp_replace(trimmed, _OFFSET, "").try_cast("timestamp_ntz")
+    # A date alone ends in digits that look like an offset; only what follows a clock time is one.
+    offset = F.when(trimmed.rlike(r":\d{2}(?:\.\d+)?" + _OFFSET), F.regexp_extract(trimmed, r"([+-])(\d{2}):?(\d{2})$", 0))
+    digits = F.regexp_replace(F.substring(offset, 2, 5), ":", "")
+    minutes = F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int")
+    east = F.when(offset.startswith("-"), -minutes).otherwise(minutes)
+    moved = clock - F.make_dt_interval(mins=F.coalesce(east, F.lit(0)))
+    return F.when(offset.isNull(), trimmed.try_cast("timestamp_ntz")).otherwise(moved)
+
+
+def unreadable_timestamps(df: DataFrame, text: str) -> DataFrame:
+    """Rows whose timestamp text is given but cannot be read; empty means all times are known."""
+    return df.where(F.col(text).isNotNull() & parse_timestamp(F.col(text)).isNull())
 
 
 def parse_conversation(text: Column, independent: bool = False) -> Column:
@@ -248,13 +267,14 @@ def check_channel(channel: Column, value: Column, case_sensitive: bool = False)
     return checks.yes_no(F.lower(channel) == F.lower(value))
 
 
-def symbolic_answer(category: Column, params: Column, mode: str = "production") -> Column:
+def symbolic_answer(category: Column, params: Column, mode: str = "production", on_error: str = "raise") -> Column:
     """The exact answer of a symbolic prompt over the feature columns of its conversation.
 
     Reads the columns ``response_minutes``, ``n_public``, ``tags``, ``channel`` and ``has_notes``.
     Modes: "production" (lenient units, case ignored, missing params read "invalid"), "rescore"
     (units with days, operator and category required) and "independent" (strict units, exact
-    case). A TIME or COUNT prompt with a threshold but no usable operator is an error in all.
+    case). A TIME or COUNT prompt with a threshold but no usable operator is an error in all, and so is
+    an unknown category outside "production"; with ``on_error="null"`` such a row answers null.
     """
     units, equality, exact_case = {
         "production": ("lenient", ("minutes", "exact"), False),
@@ -279,7 +299,11 @@ def symbolic_answer(category: Column, params: Column, mode: str = "production")
             .when(subtype == "notes", checks.yes_no(F.col("has_notes")))
         )
         message = F.concat(F.lit("not a symbolic category: "), kind)
-        unknown = F.raise_error(message).cast("string")
+        unknown = F.lit(None).cast("string") if on_error == "null" else F.raise_error(message).cast("string")
+        if on_error == "null":
+            # No operator, no answer; the checks alone would read "no".
+            usable = operator.isNotNull() & p["threshold"].try_cast("double").isNotNull()
+            timed, counted = F.when(usable, timed), F.when(usable, counted)
         if mode == "production":
             return (
                 F.when(~x["given"] | x["bare"], "invalid")
@@ -303,7 +327,7 @@ def symbolic_answer(category: Column, params: Column, mode: str = "production")
         spelled = p["operator"]
         if mode == "independent":
             spelled = F.when(F.trim(spelled) == "=", "==").otherwise(F.trim(spelled))
-        operator = F.when(ruled & ~(bare & F.lit(mode == "production")), checks.canonical_operator(spelled))
+        operator = F.when(ruled & ~(bare & F.lit(mode == "production")), checks.canonical_operator(spelled, on_error))
         return F.struct(
             x["kind"].alias("kind"),
             p.alias("p"),

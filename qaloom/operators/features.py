@@ -154,10 +154,11 @@ def prior_baselines(train: DataFrame, other: DataFrame, key: str, label: str, se
 
 
 def embedding_vector(column: str) -> Column:
-    """M3: a unit-length embedding array as an ML vector."""
+    """M3: an embedding array as an ML vector of unit length; a zero vector stays zero."""
     from pyspark.ml.functions import array_to_vector
 
-    return array_to_vector(F.transform(column, lambda x: x.cast("double")))
+    length = F.sqrt(F.aggregate(column, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    return array_to_vector(F.transform(column, lambda x: F.when(length > 0, x / length).otherwise(0.0)))
 
 
 def check_embeddings(df: DataFrame, embeddings: DataFrame, key: str) -> DataFrame:

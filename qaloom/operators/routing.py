@@ -46,10 +46,10 @@ def routed(predicted: Column, params: Column, judge: Column) -> Column:
 
 
 def routed_strict(predicted: Column, category: Column, params: Column, judge: Column) -> Column:
-    """A symbolic route of the wrong kind is not attempted and reads "invalid"."""
+    """A symbolic route of the wrong kind is not attempted and reads "invalid", as does one that fails."""
     right = predicted.isin(SYMBOLIC) & (predicted == category)
     return (
-        F.when(right, symbolic_answer(category, params, "rescore"))
+        F.when(right, F.coalesce(symbolic_answer(category, params, "rescore", "null"), F.lit("invalid")))
         .when(predicted.isin(SYMBOLIC), "invalid")
         .when(predicted == "UNSUPPORTED", "reject")
         .otherwise(judge)
@@ -57,10 +57,10 @@ def routed_strict(predicted: Column, category: Column, params: Column, judge: Co
 
 
 def routed_deployed(predicted: Column, category: Column, prompt: Column, params: Column, judge: Column) -> Column:
-    """Computes only what the prompt's own text supports, else asks the judge."""
+    """Computes only what the prompt's own text supports; otherwise, or if that fails, asks the judge."""
     can = literally_extractable(prompt, category, params) & (predicted == category)
     return (
-        F.when(predicted.isin(SYMBOLIC) & can, symbolic_answer(category, params, "rescore"))
+        F.when(predicted.isin(SYMBOLIC) & can, F.coalesce(symbolic_answer(category, params, "rescore", "null"), judge))
         .when(predicted == "UNSUPPORTED", "reject")
         .otherwise(judge)
     )

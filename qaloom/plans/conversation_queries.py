@@ -330,6 +330,29 @@ def a6(spark, sf):
     )
 
 
+@query(
+    "a6_timestamps",
+    """SELECT event_id, CASE WHEN event_id % 50 <> 7 THEN CASE WHEN event_id % 4 = 1 THEN epoch_us(ts) ELSE epoch_us(date_trunc('second', ts)) END END AS micros,
+    event_id % 50 = 7 AS unreadable FROM events""",
+)
+def a6_times(spark, sf):
+    """Event times written in four forms, one of them with an offset, and some that are no times, read back."""
+    e, k = T.table(spark, sf, "events"), F.col("event_id") % 4
+    ts = F.col("ts").cast("timestamp_ntz")
+    late = ts + F.make_dt_interval(mins=F.lit(150))
+    form = (
+        F.when(F.col("event_id") % 50 == 7, "at noon")
+        .when(k == 0, F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
+        .when(k == 1, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+        .when(k == 2, F.concat(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.lit("Z")))
+        .otherwise(F.concat(F.date_format(late, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:30")))
+    )
+    rows = e.select("event_id", form.alias("text"))
+    bad = conv.unreadable_timestamps(rows, "text").select("event_id", F.lit(True).alias("__bad"))
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), conv.parse_timestamp(F.col("text")))
+    return rows.join(bad, "event_id", "left").select("event_id", micros.alias("micros"), F.coalesce("__bad", F.lit(False)).alias("unreadable"))
+
+
 @query(
     "a9_answer_lookup",
     f"""WITH {Q.PAIRS} SELECT id, judge_answer, judge_tokens, judge_latency_ms FROM pairs""",

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from qaloom.functions import draws, text
+from qaloom.functions import text
 from qaloom.operators import calibration, curation, features, metrics, models
 from qaloom.plans import sql as Q
 from qaloom.plans import tables as T
@@ -45,13 +47,21 @@ def _vector_scores(spark, sf, kind, **options):
     return scores.drop("tp")
 
 
-@query("m3_embedding_features", "SELECT vec_id, len(embedding) AS n_dims, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 4) AS length FROM embeddings")
+@query(
+    "m3_embedding_features",
+    "SELECT vec_id, len(embedding) AS n_dims, 1.0::DOUBLE AS length, round(embedding[1] / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS first FROM embeddings",
+)
 def m3(spark, sf):
+    """The given vectors, scaled by their id so that lengths differ before they are made equal."""
     from pyspark.ml.functions import vector_to_array
 
-    rows = T.table(spark, sf, "embeddings").select("vec_id", vector_to_array(features.embedding_vector("embedding")).alias("v"))
+    rows = T.table(spark, sf, "embeddings")
+    rows = rows.withColumn("embedding", F.transform("embedding", lambda x: x.cast("double") * (1 + F.col("vec_id") % 7)))
+    rows = rows.select("vec_id", vector_to_array(features.embedding_vector("embedding")).alias("v"))
     total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    return rows.select("vec_id", F.size("v").cast("bigint").alias("n_dims"), F.round(F.sqrt(total), 4).alias("length"))
+    return rows.select(
+        "vec_id", F.size("v").cast("bigint").alias("n_dims"), F.round(F.sqrt(total), 4).alias("length"), F.round(F.get("v", F.lit(0)), 6).alias("first")
+    )
 
 
 @query("a8_missing_embeddings", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
@@ -173,10 +183,10 @@ def m15(spark, sf):
 def m17(spark, sf):
     """A stored pipeline, loaded back and applied to prompts of another generator."""
     train, _, _ = _prompts(spark, sf)
-    foreign = T.noisy_prompts(spark, sf).where(draws.unit("foreign", F.col("id")) < 0.2)
+    foreign = T.noisy_prompts(spark, sf)
     model, labels = models.fit(train, "category", "bayes")
-    path = f"{shared_folder(spark)}/router"
-    model.write().overwrite().save(path)
+    path = f"{shared_folder(spark)}/router-{uuid.uuid4().hex}"
+    model.write().save(path)
     return models.score_stored(path, labels, foreign, ["id"], "category")
 
 

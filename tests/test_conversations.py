@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from qaloom.functions import checks
 from qaloom.operators import conversations as conv
+from qaloom.operators import routing
 from qaloom.streaming import scoring
 
 
@@ -156,3 +157,23 @@ def test_stream_scores_like_a_table(spark, tmp_path):
     assert got == [(0, "no"), (1, "yes"), (2, "yes")]
     again = scoring.scored(pairs).select("conversation_idx", "answer").collect()
     assert sorted(tuple(r) for r in again) == got
+
+
+def test_offsets_are_honoured_and_bad_rows_do_not_end_the_job(spark):
+    texts = ["2024-01-02T10:00:00+02:00", "2024-01-02 10:00:00Z", "2024-01-02 08:00:00.5", "2024-01-02T03:00:00-0500", "2024-01-02", "soon", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    got = [str(r[0]) for r in rows.orderBy("id").select(conv.parse_timestamp(F.col("t"))).collect()]
+    assert got == [
+        "2024-01-02 08:00:00", "2024-01-02 10:00:00", "2024-01-02 08:00:00.500000", "2024-01-02 08:00:00",
+        "2024-01-02 00:00:00", "None", "None",
+    ]
+    assert [r.t for r in conv.unreadable_timestamps(rows, "t").collect()] == ["soon"]
+    bad = spark.createDataFrame(
+        [("SYMBOLIC_TIME", '{"threshold": 5, "unit": "minutes"}', 3.0), ("SYMBOLIC_TIME", '{"threshold": 5, "operator": "<"}', 3.0)],
+        "category string, params string, response_minutes double",
+    ).withColumns({"n_public": F.lit(2), "tags": F.array(F.lit("a")), "channel": F.lit("chat"), "has_notes": F.lit(False)})
+    c, p, judge = F.col("category"), F.col("params"), F.lit("asked")
+    strict = [r[0] for r in bad.select(routing.routed_strict(c, c, p, judge)).collect()]
+    assert strict == ["invalid", "yes"]
+    deployed = [r[0] for r in bad.select(routing.routed_deployed(c, c, F.lit("within 5 minutes"), p, judge)).collect()]
+    assert deployed == ["asked", "yes"]

@@ -129,13 +129,22 @@ def _within_cell(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"u": np.repeat(ids, k), "v": ids[at].ravel(), "s": np.take_along_axis(s, at, axis=1).ravel()})
 
 
+def _lists(found: DataFrame, nodes: DataFrame, fresh: bool) -> DataFrame:
+    """One row per node: u, code and its best entries (s, v, fresh), best first."""
+    kept = _best(found.groupBy("u", "v").agg(F.max("s").alias("s")), "u", "s", "v", NEIGHBOURS)
+    entry = F.struct("s", "v", F.lit(fresh).alias("fresh"))
+    return kept.groupBy("u").agg(F.sort_array(F.collect_list(entry), asc=False).alias("list")).join(
+        nodes.select(F.col("node").alias("u"), "code"), "u"
+    )
+
+
 def _first_graph(nodes: DataFrame, pivots: np.ndarray) -> DataFrame:
     cells = stored(_cells(nodes, pivots), "op1-cells")
     sizes = {r["cell"]: r["count"] for r in cells.groupBy("cell").count().collect()}  # at most PIVOTS
     parts = F.element_at(F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, max(1, round(n / CELL)))]), F.col("cell"))
     cells = cells.withColumn("part", F.pmod(F.xxhash64("node", "cell"), parts))
     found = cells.groupBy("cell", "part").applyInPandas(_within_cell, "u bigint, v bigint, s float")
-    return _best(found.groupBy("u", "v").agg(F.max("s").alias("s")), "u", "s", "v", NEIGHBOURS)
+    return _lists(found, nodes, True)
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,22 +173,29 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["u", "v", "s"])
 
 
-def _round(graph: DataFrame, nodes: DataFrame, number: int) -> DataFrame:
-    """One join of neighbours of neighbours."""
-    full = F.count("*") >= NEIGHBOURS
-    worst = graph.groupBy("u").agg(F.when(full, F.min("s")).otherwise(F.lit(float("-inf"))).cast("float").alias("worst"))
-    known = nodes.select(F.col("node").alias("x"), "code").join(worst.withColumnRenamed("u", "x"), "x")
-    forward = graph.select(F.col("u").alias("centre"), F.col("v").alias("x"), "fresh")
-    backward = graph.select(F.col("v").alias("centre"), F.col("u").alias("x"), "fresh")
+def _round(graph: DataFrame, number: int) -> DataFrame:
+    """One join of neighbours of neighbours; three shuffles of links, two of lists."""
+    worst = F.when(F.size("list") >= NEIGHBOURS, F.element_at("list", -1)["s"]).otherwise(F.lit(float("-inf"))).cast("float")
+    known = graph.select(F.col("u").alias("x"), "code", worst.alias("worst"))
+    links = graph.select("u", F.inline("list")).select("u", "v", "fresh")
+    forward = links.select(F.col("u").alias("centre"), F.col("v").alias("x"), "fresh")
+    backward = links.select(F.col("v").alias("centre"), F.col("u").alias("x"), "fresh")
     # New ones first, then by a hash that differs from round to round.
     draw = F.row_number().over(Window.partitionBy("centre").orderBy(F.desc("fresh"), F.xxhash64(F.lit(number), "x")))
     backward = backward.withColumn("place", draw).filter(F.col("place") <= REVERSE).drop("place")
-    met = forward.unionByName(backward).groupBy("centre", "x").agg(F.max("fresh").alias("fresh"))
-    lists = met.join(known, "x").groupBy("centre").agg(F.collect_list(F.struct("x", "fresh", "worst", "code")).alias("members"))
-    offers = lists.select("members").mapInArrow(_compare, "u bigint, v bigint, s float")
-    merged = graph.withColumn("fresh", F.lit(False)).unionByName(offers.withColumn("fresh", F.lit(True)))
-    merged = merged.groupBy("u", "v").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"))
-    return _best(merged, "u", "s", "v", NEIGHBOURS)
+    met = forward.unionByName(backward).join(known, "x")
+    members = met.groupBy("centre").agg(F.collect_list(F.struct("x", "fresh", "worst", "code")).alias("members"))
+    offers = members.select("members").mapInArrow(_compare, "u bigint, v bigint, s float")
+    # The best offers are enough: a list takes at most NEIGHBOURS, and the same offer comes from few centres.
+    offers = _best(offers, "u", "s", "v", 4 * NEIGHBOURS)
+    offered = offers.groupBy("u").agg(F.collect_set(F.struct("s", "v")).alias("offers"))
+    merged = graph.join(offered, "u", "left")
+    old = F.transform("list", lambda e: F.struct(e["s"].alias("s"), e["v"].alias("v"), F.lit(False).alias("fresh")))
+    names = F.transform("list", lambda e: e["v"])
+    new = F.filter(F.coalesce("offers", F.array()), lambda o: ~F.array_contains("names", o["v"]))
+    new = F.transform(new, lambda o: F.struct(o["s"].alias("s"), o["v"].alias("v"), F.lit(True).alias("fresh")))
+    entries = F.slice(F.sort_array(F.concat(old, new), asc=False), 1, NEIGHBOURS)
+    return merged.withColumn("names", names).select("u", entries.alias("list"), "code")
 
 
 def build(nodes: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
@@ -187,16 +203,17 @@ def build(nodes: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     pivots = stored(nodes.orderBy(F.xxhash64("node"), "node").limit(PIVOTS), "op1-pivots")
     sample = _exact([bytes(r["exact"]) for r in pivots.select("exact").collect()]) if n else np.zeros((1, 1))
     sample = (sample / np.linalg.norm(sample, axis=1, keepdims=True)).astype(np.float32) if n else sample
-    graph = stored(_first_graph(nodes, sample[: max(1, min(PIVOTS, n // (CELL // 2)) or 1)]).withColumn("fresh", F.lit(True)), "op1-graph") if n > 1 else None
-    if graph is None:
+    if n < 2:
         return nodes.sparkSession.createDataFrame([], "u bigint, v bigint, s float"), pivots
-    number, entries = 0, graph.count()
+    graph = stored(_first_graph(nodes, sample[: max(1, min(PIVOTS, n // (CELL // 2)))]), "op1-graph")
+    number = 0
     while True:
         number += 1
-        graph = stored(_round(graph, nodes, number), "op1-graph")
-        entries, changed = graph.agg(F.count("*"), F.coalesce(F.sum(F.col("fresh").cast("int")), F.lit(0))).first()
-        if changed <= DELTA * entries:
-            return graph.select("u", "v", "s"), pivots
+        graph = stored(_round(graph, number), "op1-graph")
+        changed = F.size(F.filter("list", lambda e: e["fresh"]))
+        entries, changed = graph.agg(F.sum(F.size("list")), F.sum(changed)).first()
+        if not entries or changed <= DELTA * entries:
+            return graph.select("u", F.inline("list")).select("u", "v", "s"), pivots
 
 
 def _scored(pairs: DataFrame, nodes: DataFrame, tasks: int, names: np.ndarray, queries: np.ndarray) -> DataFrame:
@@ -226,6 +243,19 @@ def _scored(pairs: DataFrame, nodes: DataFrame, tasks: int, names: np.ndarray, q
     return left.groupBy("task").cogroup(right.groupBy("task")).applyInPandas(run, "q bigint, w bigint, score double")
 
 
+BEAMS = "array<struct<score: double, w: bigint, expanded: boolean>>"
+
+
+def _merged(state: DataFrame, found: DataFrame, beam: int) -> DataFrame:
+    """The beams (q, beam) with what was found, best first; nodes that are in a beam already stay as they are."""
+    entry = F.struct("score", "w", F.lit(False).alias("expanded"))
+    found = found.groupBy("q").agg(F.collect_set(entry).alias("found"))
+    held = state.join(found, "q", "left").withColumn("names", F.transform("beam", lambda e: e["w"]))
+    new = F.filter(F.coalesce("found", F.array()), lambda e: ~F.array_contains("names", e["w"]))
+    best = F.slice(F.sort_array(F.concat("beam", new), asc=False), 1, beam)
+    return held.select("q", best.cast(BEAMS).alias("beam"))
+
+
 def search(queries: DataFrame, nodes: DataFrame, n: int, graph: DataFrame, pivots: DataFrame, most: int) -> DataFrame:
     """The ``most`` best nodes found (q, w, score) for query nodes (q, exact)."""
     spark = nodes.sparkSession
@@ -245,25 +275,27 @@ def search(queries: DataFrame, nodes: DataFrame, n: int, graph: DataFrame, pivot
             continue
         ids = part.select("q")
         start = _entries(ids, names, vectors, pivots).unionByName(ids.select("q", F.col("q").alias("w")))
-        found = _scored(start.distinct().withColumn("worst", F.lit(float("-inf"))), nodes, tasks, names, vectors)
-        state = stored(found.withColumn("expanded", F.lit(False)), "op1-beam")
+        found = _scored(start.withColumn("worst", F.lit(float("-inf"))), nodes, tasks, names, vectors)
+        state = stored(_merged(ids.withColumn("beam", F.array().cast(BEAMS)), found, beam), "op1-beam")
         while True:
-            open_ = state.filter(~F.col("expanded"))
-            front = _best(open_, "q", "score", "w", WIDTH).select("q", "w")
+            # One row per query: its beam, best first; what is open and what counts are read off it.
+            opened = F.slice(F.filter("beam", lambda e: ~e["expanded"]), 1, WIDTH)
+            worst = F.when(F.size("beam") >= beam, F.element_at("beam", -1)["score"]).otherwise(F.lit(float("-inf")))
+            front = state.select("q", worst.alias("worst"), F.explode(F.transform(opened, lambda e: e["w"])).alias("u"))
             if front.isEmpty():
                 break
-            worst = state.groupBy("q").agg(
-                F.when(F.count("*") >= beam, F.min("score")).otherwise(F.lit(float("-inf"))).alias("worst")
-            )
-            next_ = front.join(links, front["w"] == links["u"]).select("q", F.explode("next").alias("w"))
-            pairs = next_.join(worst, "q")
-            new = _scored(pairs, nodes, tasks, names, vectors).withColumn("expanded", F.lit(False))
-            old = state.join(front.withColumn("now", F.lit(True)), ["q", "w"], "left").select(
-                "q", "w", "score", (F.col("expanded") | F.col("now").isNotNull()).alias("expanded")
+            pairs = front.join(links, "u").select("q", "worst", F.explode("next").alias("w"))
+            new = _scored(pairs, nodes, tasks, names, vectors)
+            done_now = F.transform(opened, lambda e: e["w"])
+            closed = F.transform(
+                "beam",
+                lambda e: F.struct(
+                    e["score"].alias("score"), e["w"].alias("w"), (e["expanded"] | F.array_contains("done", e["w"])).alias("expanded")
+                ),
             )
-            merged = old.unionByName(new).groupBy("q", "w").agg(F.max("score").alias("score"), F.max("expanded").alias("expanded"))
-            state = stored(_best(merged, "q", "score", "w", beam), "op1-beam")
-        done.append(_best(state, "q", "score", "w", most).select("q", "w", "score"))
+            after = state.withColumn("done", done_now).select("q", closed.alias("beam"))
+            state = stored(_merged(after, new, beam), "op1-beam")
+        done.append(state.select("q", F.inline(F.slice("beam", 1, most))).select("q", "w", "score"))
     result = done[0] if done else spark.createDataFrame([], "q bigint, w bigint, score double")
     for more in done[1:]:
         result = result.unionByName(more)

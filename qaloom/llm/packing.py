@@ -16,7 +16,9 @@ each for itself; an empty table yields no rows; further columns are not read.
 from __future__ import annotations
 
 import re
+from collections import ChainMap
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ CARRIED = 512  # pieces left open when a window is packed, so that the next one
 LEAST_CUT = 16  # gaps of fewer tokens are padded instead of cutting a piece
 CACHED = 300_000  # entries of one generation of a cache
 CACHED_LENGTH = 96
-GROUP_CHARS = 1 << 19
+GROUP_CHARS = 1 << 21
 
 PIECES = (
     "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint,"
@@ -42,8 +44,10 @@ PIECES = (
 )
 # Python splits at these, the tokenizer does not.
 _UNEQUAL_SPACES = "\x1c\x1d\x1e\x1f"
-# Chunks that need no Unicode normalisation, and in which no added token can stand.
-_PLAIN = re.compile("(?:(?!<\\|)[\x21-\x7e\xa1-\xac\xae-\xff])+")
+# What needs Unicode normalisation in a chunk, or may be an added token; chunks without are plain.
+_NOT_PLAIN = re.compile("[^\n\x21-\x7e\xa1-\xac\xae-\xff]|<\\|")
+# No token has this id, and no bytes of ids look like it, as ids have zero upper bytes.
+_CUT = b"\xff\xff\xff\xff"
 
 
 class Cache(dict):
@@ -53,12 +57,11 @@ class Cache(dict):
         super().__init__()
         self.old: dict = {}
 
-    def keep(self, key, value):
-        if len(self) >= CACHED:
+    def turn(self) -> None:
+        """Begins a new generation if this one is full; called between groups, so a group's own entries stay."""
+        if len(self) > CACHED:
             self.old = dict(self)
             self.clear()
-        self[key] = value
-        return value
 
 
 class ChunkIds(Cache):
@@ -69,8 +72,8 @@ class ChunkIds(Cache):
     pre-token is a word end, and only that one. Chunks that are not plain are encoded whole.
     """
 
-    # The tokenizer's rule for pre-tokens, and its mark of word ends.
-    RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    # The tokenizer's rule for pre-tokens (and the line ends set between chunks), its mark of word ends.
+    RULE = r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     WORD_END = "</w>"
 
     def __init__(self, path: str):
@@ -98,29 +101,25 @@ class ChunkIds(Cache):
         line = ids.tobytes()
         return {t: line[a:b] for t, a, b in zip(pretokens, [0, *after], after, strict=False)}
 
-    def learn(self, chunks: set[str]) -> dict[str, bytes]:
+    def learn(self, chunks: list[str]) -> dict[str, bytes]:
         """Keeps the ids of short chunks, and returns those of long ones, which are not kept."""
-        cuts, own, long = {}, {}, {}
-        for chunk in chunks:
-            if len(chunk) > CACHED_LENGTH:
-                long[chunk] = self.encode(chunk)
-            elif (ids := self.old.get(chunk)) is not None:
-                own[chunk] = ids
-            elif _PLAIN.fullmatch(chunk):
-                cuts[chunk] = self.cut(chunk.lower())
-            else:
-                own[chunk] = self.encode(chunk)
-        known = {}
-        for pretoken in set().union(*cuts.values()):
-            known[pretoken] = self.pretokens.get(pretoken) or self.pretokens.old.get(pretoken)
-        known |= self.encode_pretokens([t for t, ids in known.items() if ids is None])
-        for pretoken, ids in known.items():
-            self.pretokens.keep(pretoken, ids)
-        for chunk, parts in cuts.items():
-            own[chunk] = b"".join([known[t] for t in parts])
-        if len(self) + len(own) > CACHED:
-            self.old = dict(self)
-            self.clear()
+        long = {c: self.encode(c) for c in chunks if len(c) > CACHED_LENGTH}
+        plain = [c for c in chunks if c not in long] if long else chunks
+        own = {}
+        if _NOT_PLAIN.search("\n".join(plain)):
+            own = {c: self.encode(c) for c in plain if _NOT_PLAIN.search(c)}
+            plain = [c for c in plain if c not in own]
+        if plain:
+            # One pass over all plain chunks, which hold no line end themselves.
+            pretokens = self.cut("\n".join(plain).lower())
+            cache, old = self.pretokens, self.pretokens.old
+            known = {t: cache.get(t) or old.get(t) for t in set(pretokens)}
+            known["\n"] = _CUT
+            known |= self.encode_pretokens([t for t, ids in known.items() if ids is None])
+            line = b"".join(map(known.__getitem__, pretokens))
+            own.update(zip(plain, line.split(_CUT), strict=True))
+            del known["\n"]
+            cache.update(known)
         self.update(own)
         return long
 
@@ -128,17 +127,12 @@ class ChunkIds(Cache):
         """The ids of each text of a group."""
         parts = [None if any(c in text for c in _UNEQUAL_SPACES) else text.split() for text in texts]
         chunks = set().union(*(p for p in parts if p))
-        long = self.learn(chunks - self.keys())
-        if len(self) < len(chunks) - len(long):
-            # A change of generation dropped chunks of this very group.
-            self.update((c, self.old[c]) for c in chunks - self.keys() - long.keys())
-        if not long:
-            one = self.__getitem__
-        else:
-
-            def one(chunk: str) -> bytes:
-                return long[chunk] if chunk in long else self[chunk]
-
+        self.turn()
+        self.pretokens.turn()
+        new = list(filterfalse(self.__contains__, chunks))
+        self.update((c, self.old[c]) for c in new if c in self.old)
+        long = self.learn(list(filterfalse(self.__contains__, new)))
+        one = ChainMap(self, long).__getitem__ if long else self.__getitem__
         return [self.encode(text) if p is None else b"".join(map(one, p)) for text, p in zip(texts, parts, strict=True)]
 
 

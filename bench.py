@@ -39,6 +39,7 @@ HEADLINE = [
     "s5_bootstrap_mean",
     "s20_abstention",
     "s22_tau_sweep",
+    "m4_logreg_text",
 ]
 
 

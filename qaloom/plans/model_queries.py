@@ -99,9 +99,15 @@ def m6_model(spark, sf):
     return _text_scores(spark, sf, "bayes")
 
 
+@query("m7_forest")
+def m7_forest(spark, sf):
+    return _vector_scores(spark, sf, "forest")
+
+
 @query("m7_boosted")
 def m7(spark, sf):
-    return _vector_scores(spark, sf, "forest")
+    """Boosted trees, one class against the rest."""
+    return _vector_scores(spark, sf, "boosted")
 
 
 @query("m8_perceptron")
@@ -126,10 +132,13 @@ def m9(spark, sf):
 
 @query("m10_ensemble")
 def m10(spark, sf):
-    """Average of two calibrated logistic models, one on texts and one on stored embeddings."""
-    vectors = T.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    docs = T.split_documents(spark, sf).withColumnRenamed("text", "prompt").join(vectors, "doc_id")
-    docs = checkpoint(docs)
+    """Average of two calibrated logistic models, one on terms and one on word-hash embeddings of all documents."""
+    from pyspark.ml.feature import HashingTF
+    from pyspark.ml.functions import vector_to_array
+
+    docs = T.split_documents(spark, sf).withColumnRenamed("text", "prompt").withColumn("__words", F.split(F.lower("prompt"), r"\s+"))
+    docs = HashingTF(inputCol="__words", outputCol="__hashed", numFeatures=64).transform(docs)
+    docs = checkpoint(docs.withColumn("embedding", vector_to_array("__hashed")).drop("__words", "__hashed"))
     train, test = docs.where(F.col("split") == "train"), docs.where(F.col("split") == "test")
     keep = ["doc_id", "lang"]
     first, labels = models.calibrated_by_folds(train, test, "doc_id", "lang", keep)

@@ -76,7 +76,7 @@ def classifier(kind: str, n_features: int = 0, n_classes: int = 0, regularisatio
     shared = {"featuresCol": "features", "labelCol": "label"}
     if kind == "logistic":
         return LogisticRegression(
-            **shared, weightCol="weight", maxIter=50, tol=1e-4, regParam=regularisation, family="multinomial"
+            **shared, weightCol="weight", maxIter=1000, tol=1e-4, regParam=regularisation, family="multinomial"
         )
     if kind == "svm":
         base = LinearSVC(featuresCol="features", weightCol="weight", maxIter=30, regParam=regularisation)

@@ -9,12 +9,13 @@ from qaloom.plans import (
     curation_queries,
     evaluation_queries,
     model_queries,
+    source_queries,
     text_queries,
 )
 from qaloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
-_GROUPS = [conversation_queries, text_queries, curation_queries, evaluation_queries, model_queries]
+_GROUPS = [conversation_queries, text_queries, curation_queries, evaluation_queries, model_queries, source_queries]
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, separator: str = ",") -> DataFrame:
-    """A1/A3: header CSV with a declared schema; quotes, commas and line breaks inside fields."""
+def read_csv(spark: SparkSession, path: str, schema: str, separator: str = ",", multi_line: bool = True) -> DataFrame:
+    """A1/A3: header CSV with a declared schema; quotes and commas inside fields, and line breaks too.
+
+    With ``multi_line`` a file is one task; without, large files are split, and no field may hold a line break.
+    """
     return (
         spark.read.schema(schema)
         .option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .option("sep", separator)
@@ -27,9 +30,9 @@ def sniff_separator(spark: SparkSession, path: str) -> str:
     return max([",", ";", "\t", "|"], key=header.count)
 
 
-def read_csv_any(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_csv_any(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
     """A2: header CSV whose separator is not known."""
-    return read_csv(spark, path, schema, sniff_separator(spark, path))
+    return read_csv(spark, path, schema, sniff_separator(spark, path), multi_line)
 
 
 def read_document(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

@@ -114,7 +114,7 @@ def style_audit(df: DataFrame, prompt: str, style: str) -> DataFrame:
 
 def template_overlap(train: DataFrame, test: DataFrame, category: str, prompt: str) -> DataFrame:
     """Overlap of digit-masked templates, "ALL" on distinct templates, else on test rows."""
-    template = text.template_of(F.col(prompt)).alias("template")
+    template = F.sha2(text.template_of(F.col(prompt)), 256).alias("template")  # digests are shuffled, not texts
     seen = train.select(template).distinct().withColumn("seen", F.lit(True))
     counted = test.select(category, template).groupBy("template", category).agg(F.count(F.lit(1)).alias("n"))
     marked = counted.join(seen, "template", "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
@@ -129,8 +129,14 @@ def template_overlap(train: DataFrame, test: DataFrame, category: str, prompt: s
 
 
 def exact_overlap(train: DataFrame, test: DataFrame, prompt: str) -> DataFrame:
-    """Prompts that occur in both tables, as a set."""
-    return train.select(prompt).intersect(test.select(prompt))
+    """Prompts that occur in both tables, as a set.
+
+    Digests find them; only texts of the common ones are shuffled.
+    """
+    digest = F.sha2(F.coalesce(F.concat(F.lit("t"), F.col(prompt)), F.lit("")), 256).alias("__digest")
+    common = train.select(digest).intersect(test.select(digest))
+    found = test.select(prompt, digest).join(common, "__digest", "left_semi")
+    return found.groupBy("__digest").agg(F.first(prompt).alias(prompt)).select(prompt)
 
 
 def extraction_scores(df: DataFrame, prompt: str, category: str, subcategory: str, params: str) -> DataFrame:

@@ -90,10 +90,13 @@ def shuffled(df: DataFrame, key: str, seed: str = "shuffle") -> DataFrame:
 
 
 def remove_seen(df: DataFrame, prompt: str, *seen: DataFrame) -> DataFrame:
-    """Rows whose lower-cased, trimmed prompt occurs in none of the other tables."""
+    """Rows whose lower-cased, trimmed prompt occurs in none of the other tables.
+
+    Digests are shuffled, not texts.
+    """
 
     def key(c: str) -> Column:
-        return F.trim(F.lower(F.col(c)))
+        return F.sha2(F.trim(F.lower(F.col(c))), 256)
 
     known = None
     for other in seen:

@@ -90,14 +90,15 @@ def minimise(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
         return 1 / (1 + np.exp(-np.clip(f, -30, 30)))
 
     for step in range(1, steps + 1):
-        fp, fu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
+        v = w[:-1].astype(p.dtype)  # one type, or each product would copy the rows
+        fp, fu = p @ v + w[-1], u @ v + w[-1]
         negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        gp, gu = -prior * sigmoid(fp) / len(p), sigmoid(fu) / len(u)  # of the negative part
+        gp, gu = -prior * sigmoid(fp) / len(p), sigmoid(fu) / len(u)  # slopes of the negative part
         if negative < 0:
             gp, gu = -gp, -gu
         else:
             gp = gp - prior * sigmoid(-fp) / len(p)
-        slope = np.append(gp @ p + gu @ u + DECAY * w[:-1], gp.sum() + gu.sum())
+        slope = np.append(gp.astype(p.dtype) @ p + gu.astype(u.dtype) @ u + DECAY * w[:-1], gp.sum() + gu.sum())
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
         w -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     weights = SCALE * w[:-1]
@@ -134,13 +135,19 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
 
     sample = rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["chosen"]).select("text", "chosen", "positive", "only_positive")
     got = map_batches(sample, run, "doc_id bigint, positive boolean, only_positive boolean, vector binary")
-    got = got.orderBy("doc_id", "vector").collect()
-    if not any(r["positive"] for r in got):
+    got = got.orderBy("doc_id", "vector").toArrow()
+    positive = got["positive"].to_numpy()
+    if not positive.any():
         return Model(np.zeros(WIDTH, np.float32), float(np.log(prior / (1 - prior))), prior)
-    vectors = np.stack([np.frombuffer(r["vector"], np.float16) for r in got]).astype(np.float32)
-    positive = np.array([r["positive"] for r in got])
-    background = np.array([not r["only_positive"] for r in got])
-    return minimise(vectors[positive], vectors[background], prior)
+    background = ~got["only_positive"].to_numpy()
+    vectors = np.stack([np.frombuffer(v.as_buffer(), np.float16) for v in got["vector"]])
+    # Most class pairs never occur: only those that do are fitted, the others keep the weight 0.
+    used = vectors.any(axis=0)
+    vectors = vectors[:, used].astype(np.float32)
+    fitted = minimise(vectors[positive], vectors[background], prior)
+    weights = np.zeros(WIDTH, np.float32)
+    weights[used] = fitted.weights
+    return Model(weights, fitted.bias, prior)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -6,8 +6,8 @@ Nyström landmarks are training texts, evenly over the languages; one ridge regr
 runs on the landmark features. Scoring is two products per batch of texts: presence bits by landmark bits, and the
 normalised kernel values by one small matrix.
 
-The fit takes at most ``ROWS_PER_LANGUAGE`` training rows of each language (a documented bound, by a hash of their key);
-their presence bits, not their texts, come to the driver. Scoring is one map without a shuffle.
+The fit takes at most ``ROWS_PER_LANGUAGE`` training keys of each language (a documented bound, by a hash of the key), and
+one row of each, however often a key repeats; their presence bits, not their texts, come to the driver. Scoring is one map without a shuffle.
 
 Rows: a text that is null or has no letter is ``und`` with score 0; without any training row all are; a null ``doc_id`` is
 neither held out nor learned from; repeated rows are scored each for itself; an empty table gives no rows; further columns
@@ -95,9 +95,10 @@ def fit(docs: DataFrame, landmarks: int = LANDMARKS, rows_per_language: int = RO
     order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = (
         rows.select("doc_id", "label")
+        .distinct()
         .withColumn("place", F.row_number().over(order))
         .filter(F.col("place") <= rows_per_language)
-        .select(F.col("doc_id").alias("chosen"), "place")
+        .select(F.col("doc_id").alias("chosen"), F.col("label").alias("of"), "place")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,8 +111,10 @@ def fit(docs: DataFrame, landmarks: int = LANDMARKS, rows_per_language: int = RO
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], ["label", "place", "bits"])
 
-    sample = rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["chosen"]).select("label", "place", "text")
-    got = map_batches(sample, run, "label string, place bigint, bits binary").orderBy("place", "label", "bits").collect()
+    sample = rows.join(F.broadcast(chosen), (rows["doc_id"] == chosen["chosen"]) & (rows["label"] == chosen["of"]))
+    got = map_batches(sample.select("label", "place", "text"), run, "label string, place bigint, bits binary")
+    # Of rows that share key and label the least vector is taken, so a place has one row.
+    got = got.groupBy("label", "place").agg(F.min("bits").alias("bits")).orderBy("place", "label").collect()
     if not got:
         return Model((), np.zeros((0, BUCKETS // 8), np.uint8), np.zeros((0, 0), np.float32))
     languages = tuple(sorted({r["label"] for r in got}))

@@ -135,7 +135,9 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
 
     sample = rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["chosen"]).select("text", "chosen", "positive", "only_positive")
     got = map_batches(sample, run, "doc_id bigint, positive boolean, only_positive boolean, vector binary")
-    got = got.orderBy("doc_id", "vector").toArrow()
+    # Of rows that share a key the least vector is taken.
+    got = got.groupBy("doc_id").agg(F.max("positive").alias("positive"), F.max("only_positive").alias("only_positive"), F.min("vector").alias("vector"))
+    got = got.orderBy("doc_id").toArrow()
     positive = got["positive"].to_numpy()
     if not positive.any():
         return Model(np.zeros(WIDTH, np.float32), float(np.log(prior / (1 - prior))), prior)

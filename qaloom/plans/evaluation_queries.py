@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from qaloom.functions import draws, rules
@@ -530,9 +531,50 @@ def _near_normal(df):
 
 
 def _around(df, value):
-    """Whether the interval holds its estimate."""
+    """Whether the interval holds its estimate and is about as wide as the delta method says, ``error`` being its standard error."""
     inside = (F.col("ci_lo") <= F.col(value)) & (F.col(value) <= F.col("ci_hi"))
-    return df.withColumn("inside", inside).drop("ci_lo", "ci_hi")
+    width, normal, step = F.col("ci_hi") - F.col("ci_lo"), 2 * 1.96 * F.col("error"), 4 / F.col("rows")
+    near = (width >= 0.5 * normal - step) & (width <= 1.5 * normal + step)
+    return df.withColumn("inside", inside & near).drop("ci_lo", "ci_hi", "error", "rows")
+
+
+def _class_f1_errors(scores):
+    """Standard error of each class's F1 by the delta method, with the sum of its support and predictions as ``rows``."""
+    predicted = F.when(F.col("tp") > 0, F.col("tp") / F.col("precision")).otherwise(0)
+    scores = scores.withColumn("rows", F.col("support") + predicted)
+    missed = F.col("rows") - 2 * F.col("tp")
+    spread = 4 * F.col("tp") * (1 - F.col("f1")) ** 2 + F.col("f1") ** 2 * missed
+    return scores.withColumn("error", F.sqrt(spread) / F.col("rows"))
+
+
+def _macro_f1_errors(rows, scores):
+    """Standard error of macro-F1 by the delta method, from confusion cells."""
+    cells = rows.groupBy("system", "lang", "p").agg(F.count("*").alias("n"))
+    facts = _class_f1_errors(scores).select("system", "class", F.col("f1").alias("f"), F.col("rows").alias("d"))
+    facts = facts.withColumn("k", F.count("*").over(Window.partitionBy("system")))
+    truth = facts.select("system", F.col("class").alias("lang"), "f", "d", "k")
+    guess = facts.select("system", F.col("class").alias("p"), F.col("f").alias("fp"), F.col("d").alias("dp"))
+    wrong = -F.col("f") / F.col("d") - F.when(F.col("dp") > 0, F.col("fp") / F.col("dp")).otherwise(0)
+    slope = F.when(F.col("lang") == F.col("p"), 2 * (1 - F.col("f")) / F.col("d")).otherwise(wrong) / F.col("k")
+    met = cells.join(truth, ["system", "lang"]).join(guess, ["system", "p"])
+    return met.groupBy("system").agg(F.sqrt(F.sum(F.col("n") * slope**2)).alias("error"), F.sum("n").alias("rows"))
+
+
+def _kappa_errors(rows):
+    """Standard error of kappa by the delta method, per language."""
+    cells = rows.groupBy("lang", "a", "b").agg(F.count("*").alias("n"))
+    group = Window.partitionBy("lang")
+    cells = cells.withColumn("total", F.sum("n").over(group))
+    a = cells.groupBy("lang", F.col("a").alias("label")).agg((F.sum("n") / F.first("total")).alias("pa"))
+    b = cells.groupBy("lang", F.col("b").alias("label")).agg((F.sum("n") / F.first("total")).alias("pb"))
+    shares = a.join(b, ["lang", "label"], "full").na.fill(0.0, ["pa", "pb"])
+    expected = shares.groupBy("lang").agg(F.sum(F.col("pa") * F.col("pb")).alias("pe"))
+    met = cells.join(shares.select("lang", F.col("label").alias("a"), "pb"), ["lang", "a"])
+    met = met.join(shares.select("lang", F.col("label").alias("b"), "pa"), ["lang", "b"]).join(expected, "lang")
+    same = (F.col("a") == F.col("b")).cast("double")
+    met = met.withColumn("po", F.sum(F.col("n") * same).over(group) / F.col("total"))
+    slope = (same - F.col("po")) / (1 - F.col("pe")) - (1 - F.col("po")) / (1 - F.col("pe")) ** 2 * (F.col("pa") + F.col("pb") - 2 * F.col("pe"))
+    return met.groupBy("lang").agg((F.sqrt(F.sum(F.col("n") * slope**2)) / F.first("total")).alias("error"), F.first("total").alias("rows"))
 
 
 @query(
@@ -575,7 +617,9 @@ def _language_guesses(spark, sf):
     f"WITH {Q.PROBABILITIES}, {_F1} SELECT system, round(avg(f1), 6) AS macro_f1, true AS inside FROM f GROUP BY system",
 )
 def s7(spark, sf):
-    out = bootstrap.macro_f1_interval(_language_guesses(spark, sf), ["system"], "lang", "p", _F1_REPLICATES)
+    rows = _language_guesses(spark, sf)
+    errors = _macro_f1_errors(rows, metrics.class_scores(rows, "lang", "p", ["system"]))
+    out = bootstrap.macro_f1_interval(rows, ["system"], "lang", "p", _F1_REPLICATES).join(errors, "system")
     return _rounded(_around(out, "macro_f1"), ["macro_f1"])
 
 
@@ -584,7 +628,9 @@ def s7(spark, sf):
     f"WITH {Q.PROBABILITIES}, {_F1} SELECT system, class, round(f1, 6) AS f1, support, true AS inside FROM f WHERE support > 0",
 )
 def s7_class(spark, sf):
-    out = bootstrap.class_f1_interval(_language_guesses(spark, sf), ["system"], "lang", "p", _F1_REPLICATES)
+    rows = _language_guesses(spark, sf)
+    errors = _class_f1_errors(metrics.class_scores(rows, "lang", "p", ["system"])).select("system", "class", "error", "rows")
+    out = bootstrap.class_f1_interval(rows, ["system"], "lang", "p", _F1_REPLICATES).join(errors, ["system", "class"])
     return _rounded(_around(out, "f1").withColumn("support", F.col("support").cast("bigint")), ["f1"])
 
 
@@ -594,7 +640,8 @@ def s7_class(spark, sf):
     SELECT lang, round((same / n - cross_n / (n * n)) / (1 - cross_n / (n * n)), 6) AS kappa, true AS inside FROM k""",
 )
 def s9(spark, sf):
-    out = bootstrap.kappa_interval(_raters(spark, sf), "a", "b", ["lang"], _REPLICATES)
+    rows = _raters(spark, sf)
+    out = bootstrap.kappa_interval(rows, "a", "b", ["lang"], _REPLICATES).join(_kappa_errors(rows), "lang")
     return _rounded(_around(out, "kappa").select("lang", "kappa", "inside"), ["kappa"])
 
 

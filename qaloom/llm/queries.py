@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from qaloom.llm import decontaminate, language, licenses, lm_score, nearest, packing, quality, resharding, simhash, token_counts
+from qaloom.llm import byte_bpe, decontaminate, language, licenses, lm_score, nearest, packing, quality, resharding, simhash, token_counts
 from qaloom.llm.common import new_folder, read
 
 
@@ -82,6 +82,12 @@ def op10_pack(spark: SparkSession, sf: str) -> DataFrame:
     return packing.digest(packing.pack(read(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op12_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of every document, and the bytes they decode to, as checksums."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.digest(byte_bpe.decode(byte_bpe.encode(read(spark, sf, "documents"), ranks), ranks))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest": op1_nearest,
     "op2_reshard": op2_reshard,
@@ -93,5 +99,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_cross_entropy": op9_cross_entropy,
     "op10_pack": op10_pack,
+    "op12_byte_bpe": op12_byte_bpe,
 }
 ORACLES: dict[str, str] = {"op6_decontaminate": decontaminate.ORACLE}

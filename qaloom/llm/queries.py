@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from qaloom.llm import byte_bpe, decontaminate, language, licenses, lm_score, nearest, packing, quality, resharding, simhash, token_counts
+from qaloom.llm import byte_bpe, decontaminate, language, licenses, lm_score, nearest, packing, quality, resharding, simhash, token_counts, va_file
 from qaloom.llm.common import new_folder, read
 
 
@@ -88,6 +88,11 @@ def op12_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return byte_bpe.digest(byte_bpe.decode(byte_bpe.encode(read(spark, sf, "documents"), ranks), ranks))
 
 
+def op13_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    """Cluster, exact distance and inertia of every vector: 16 centroids, three rounds."""
+    return va_file.digest(*va_file.cluster(read(spark, sf, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest": op1_nearest,
     "op2_reshard": op2_reshard,
@@ -100,5 +105,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_cross_entropy": op9_cross_entropy,
     "op10_pack": op10_pack,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_centroids": op13_centroids,
 }
 ORACLES: dict[str, str] = {"op6_decontaminate": decontaminate.ORACLE}

@@ -7,8 +7,8 @@ function is a number and a composition one lookup. Composition is associative: a
 that are scanned side by side, then the columns' totals are scanned, and state and symbol say at every code point whether a piece begins.
 
 Pieces are slices of the UTF-8 bytes. A piece is a token as it stands, or its bytes are merged pair by pair, the
-least rank first and the leftmost of equals; the ids of short pieces are cached in two generations, long ones are merged by a heap and
-not kept. For every token the byte at which it ends is kept, so any run of tokens can be decoded alone and matched to its place.
+least rank first and the leftmost of equals: new short pieces of a group side by side in arrays, long ones by a heap. The ids of pieces are
+cached in two generations, but for the longest. For every token the byte at which it ends is kept, so any run of tokens can be decoded alone and matched to its place.
 
 The classes come from the tokenizer library itself (all code points once, on the driver; broadcast, 1.1 MB), because Unicode tables of different
 versions disagree on thousands of letters. Both directions are maps inside the tasks that read the rows: no shuffle.
@@ -20,6 +20,7 @@ each for itself; an empty table gives no rows; further columns are not read.
 from __future__ import annotations
 
 import base64
+from collections import ChainMap
 from collections.abc import Iterator
 from functools import cache
 from heapq import heapify, heappop, heappush
@@ -33,9 +34,11 @@ from qaloom.llm.common import doc_texts, map_batches
 from qaloom.llm.packing import Cache
 
 LETTER, NUMBER, OTHER, SPACE, WHITE, END = range(6)
-GROUP_CHARS = 1 << 20  # characters scanned at once; a longer text is a group of its own
+GROUP_CHARS = 1 << 19  # characters scanned at once; a longer text is a group of its own
+CACHED = 120_000  # entries of one generation of the cache
 CACHED_BYTES = 64
-HEAPED_BYTES = 64  # longer pieces are merged by a heap
+HEAPED_BYTES = 32  # longer pieces are merged by a heap
+_NO_KEY = np.uint64((1 << 64) - 1)
 
 # Symbols, and states after a symbol.
 _LETTER, _NUMBER, _OTHER, _CUT_1, _CUT_2, _WHITE, _LAST_SPACE, _LAST_WHITE, _END = range(9)
@@ -166,33 +169,100 @@ def library_classes() -> np.ndarray:
     return classes
 
 
+class PairTable:
+    """The rank of each pair of tokens that makes a token: open addressing, looked up for whole arrays."""
+
+    def __init__(self, ranks: dict[bytes, int], none: int):
+        pairs = [
+            (left, right, rank)
+            for token, rank in ranks.items()
+            for k in range(1, len(token))
+            if (left := ranks.get(token[:k])) is not None and (right := ranks.get(token[k:])) is not None
+        ]
+        left, right, rank = np.array(pairs, np.uint64).reshape(-1, 3).T
+        self.none = none
+        self.bits = max(4, int(3 * len(pairs)).bit_length())
+        self.keys = np.full(1 << self.bits, _NO_KEY)
+        self.values = np.full(1 << self.bits, none, np.int32)
+        keys, slots = left << np.uint64(32) | right, self._slots(left << np.uint64(32) | right)
+        while len(keys):
+            free, first = np.unique(slots, return_index=True)
+            first = first[self.keys[free] == _NO_KEY]
+            self.keys[slots[first]], self.values[slots[first]] = keys[first], rank[first]
+            left_over = np.ones(len(keys), bool)
+            left_over[first] = False
+            keys, rank, slots = keys[left_over], rank[left_over], self._next(slots[left_over])
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _next(self, slots: np.ndarray) -> np.ndarray:
+        return (slots + 1) & ((1 << self.bits) - 1)
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
+        slots = self._slots(keys)
+        found = self.values[slots]
+        other = np.flatnonzero(self.keys[slots] != keys)  # free, or taken by another pair
+        while len(other):
+            there = self.keys[slots[other]]
+            found[other[there == _NO_KEY]] = self.none
+            taken = (there != _NO_KEY) & (there != keys[other])
+            same = other[there == keys[other]]
+            found[same] = self.values[slots[same]]
+            other = other[taken]
+            slots[other] = self._next(slots[other])
+        return found
+
+
 class Ranks:
-    """Merges the bytes of pieces by rank; the ids (little-endian unsigned 32 bit) and ends of short pieces are cached."""
+    """Merges the bytes of pieces by rank; the ids (little-endian unsigned 32 bit) of short pieces are cached."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
+        self.none = len(self.bytes_of)
+        self.pairs = PairTable(ranks, self.none)
+        self.of_byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         self.ids = Cache()
 
-    def _merged(self, piece: bytes) -> list[bytes]:
-        rank = self.ranks.get
-        parts = [piece[k : k + 1] for k in range(len(piece))]
-        costs = [rank(piece[k : k + 2]) for k in range(len(piece) - 1)]
+    def _merged(self, pieces: list[bytes], width: int) -> list[bytes]:
+        """Ids of pieces of one length, side by side: in each step every piece merges its leftmost pair of least rank."""
+        n = len(pieces)
+        tokens = self.of_byte[np.frombuffer(b"".join(pieces), np.uint8)].reshape(n, width)
+        if (tokens < 0).any():
+            raise KeyError("a byte without a rank")
+        costs = np.full((n, width), self.none, np.int32)  # of the pair that starts here
+        costs[:, :-1] = self.pairs.of(tokens[:, :-1].ravel(), tokens[:, 1:].ravel()).reshape(n, -1)
+        after = np.tile(np.arange(1, width + 1), (n, 1))
+        before = after - 2
+        alive = np.ones((n, width), bool)
+        row = np.arange(n)
         while True:
-            best, at = None, -1
-            for k, cost in enumerate(costs):
-                if cost is not None and (best is None or cost < best):
-                    best, at = cost, k
-            if at < 0:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            del costs[at]
-            if at:
-                costs[at - 1] = rank(parts[at - 1] + parts[at])
-            if at < len(costs):
-                costs[at] = rank(parts[at] + parts[at + 1])
+            at = costs[row].argmin(axis=1)
+            best = costs[row, at]
+            open_ = best < self.none
+            row, at, best = row[open_], at[open_], best[open_]
+            if not len(row):
+                break
+            gone = after[row, at]
+            then = after[row, gone]
+            tokens[row, at], alive[row, gone], costs[row, gone] = best, False, self.none
+            after[row, at] = then
+            inner = then < width
+            r, a, t = row[inner], at[inner], then[inner]
+            before[r, t] = a
+            costs[row, at] = self.none
+            costs[r, a] = self.pairs.of(best[inner], tokens[r, t])
+            left = at > 0
+            r, a = row[left], at[left]
+            b = before[r, a]
+            costs[r, b] = self.pairs.of(tokens[r, b], best[left])
+        flat = tokens[alive].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(alive.sum(axis=1))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def _merged_by_heap(self, piece: bytes) -> list[bytes]:
         """The same merges for long pieces: a heap of (rank, place), where outdated entries are passed over."""
@@ -220,29 +290,35 @@ class Ranks:
                     heappush(heap, (c, place, end[end[place]]))
         return [piece[k : end[k]] for k in range(n) if end[k]]
 
-    def encode_piece(self, piece: bytes) -> bytes:
-        """Ids of one piece. A byte that has no rank is an error."""
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return whole.to_bytes(4, "little")
-        parts = self._merged(piece) if len(piece) <= HEAPED_BYTES else self._merged_by_heap(piece)
-        return np.array([self.ranks[p] for p in parts], "<u4").tobytes()
+    def encode_pieces(self, pieces: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of distinct pieces. A byte that has no rank is an error."""
+        found, by_length = {}, {}
+        for piece in pieces:
+            whole = self.ranks.get(piece)
+            if whole is not None:
+                found[piece] = whole.to_bytes(4, "little")
+            elif len(piece) > HEAPED_BYTES:
+                found[piece] = np.array([self.ranks[p] for p in self._merged_by_heap(piece)], "<u4").tobytes()
+            else:
+                by_length.setdefault(len(piece), []).append(piece)
+        for width, same in by_length.items():
+            found.update(zip(same, self._merged(same, width), strict=True))
+        return found
 
     def encode(self, texts: list[str], class_of: np.ndarray) -> list[bytes]:
         """Ids of each text of a group."""
         cut = pieces(texts, class_of)
-        self.ids.turn()
+        self.ids.turn(CACHED)
         known, old = self.ids, self.ids.old
         new = set().union(*cut).difference(known)
-        long = {}
-        for piece in new:
-            if len(piece) > CACHED_BYTES:
-                long[piece] = self.encode_piece(piece)
-            else:
-                known[piece] = old.get(piece) or self.encode_piece(piece)
-        if not long:
-            return [b"".join(map(known.__getitem__, p)) for p in cut]
-        return [b"".join(long.get(x) or known[x] for x in p) for p in cut]
+        again = new.intersection(old)
+        known.update((p, old[p]) for p in again)
+        new -= again
+        made = self.encode_pieces(new)
+        long = {p: made.pop(p) for p in new if len(p) > CACHED_BYTES}
+        known.update(made)
+        one = ChainMap(known, long).__getitem__ if long else known.__getitem__
+        return [b"".join(map(one, p)) for p in cut]
 
     def decode(self, ids: bytes) -> list[bytes]:
         """Bytes of each token."""
@@ -275,7 +351,7 @@ def _groups(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
 
 
 def encode(docs: DataFrame, ranks: str) -> DataFrame:
-    """``doc_id``, ``ids`` and ``ends`` of every whole text, both as little-endian numbers (32 and 64 bit).
+    """``doc_id``, ``ids`` and ``ends`` of every whole text, both as little-endian 32-bit numbers.
 
     ``ranks`` is the path of a rank file on every machine. ``ends`` holds, for each token, the byte of the text at which it ends.
     """
@@ -287,7 +363,7 @@ def encode(docs: DataFrame, ranks: str) -> DataFrame:
         for batch in batches:
             for start, group in _groups(batch):
                 ids = merged.encode(group, class_of.value)
-                ends = [np.cumsum(length[np.frombuffer(i, "<u4")]).astype("<i8").tobytes() for i in ids]
+                ends = [np.cumsum(length[np.frombuffer(i, "<u4")]).astype("<u4").tobytes() for i in ids]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(start, len(group)), pa.array(ids, pa.binary()), pa.array(ends, pa.binary())],
                     ["doc_id", "ids", "ends"],
@@ -297,7 +373,7 @@ def encode(docs: DataFrame, ranks: str) -> DataFrame:
 
 
 def decode(encoded: DataFrame, ranks: str, first: str | None = None, last: str | None = None) -> DataFrame:
-    """``encoded`` with ``decoded``, the bytes of its tokens, and ``start``, the byte of the text at which they start.
+    """``doc_id`` and ``ids`` of ``encoded`` with ``decoded``, the bytes of its tokens, and ``start``, the byte of the text at which they start.
 
     With the columns ``first`` and ``last`` only that run of tokens is decoded (from 0, ``last`` not included; null: from the first, to the
     last). A run that is cut inside a character gives the bytes it has.
@@ -316,13 +392,13 @@ def decode(encoded: DataFrame, ranks: str, first: str | None = None, last: str |
                 n = len(ids or b"") // 4
                 a, b = min(n, max(0, a or 0)), n if b is None else min(n, max(0, b))
                 decoded.append(b"".join(merged.decode((ids or b"")[4 * a : 4 * b])))
-                starts.append(int.from_bytes(ends[8 * a - 8 : 8 * a], "little") if a else 0)
+                starts.append(int.from_bytes(ends[4 * a - 4 : 4 * a], "little") if a else 0)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("doc_id", "ids", "ends")), pa.array(decoded, pa.binary()), pa.array(starts, pa.int64())],
                 ["doc_id", "ids", "ends", "decoded", "start"],
             )
 
-    return map_batches(slim, run, "doc_id bigint, ids binary, ends binary, decoded binary, start bigint")
+    return map_batches(slim, run, "doc_id bigint, ids binary, decoded binary, start bigint")
 
 
 def digest(decoded: DataFrame) -> DataFrame:

@@ -51,15 +51,15 @@ _CUT = b"\xff\xff\xff\xff"
 
 
 class Cache(dict):
-    """Two generations of ``CACHED`` entries: what was used since the last change of generation survives it."""
+    """Two generations of ``CACHED`` entries, or another limit: what was used since the last change of generation survives it."""
 
     def __init__(self):
         super().__init__()
         self.old: dict = {}
 
-    def turn(self) -> None:
+    def turn(self, limit: int = CACHED) -> None:
         """Begins a new generation if this one is full; called between groups, so a group's own entries stay."""
-        if len(self) > CACHED:
+        if len(self) > limit:
             self.old = dict(self)
             self.clear()
 

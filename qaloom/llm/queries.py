@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from qaloom.llm import byte_bpe, decontaminate, language, licenses, lm_score, nearest, packing, quality, resharding, simhash, token_counts, va_file
+from qaloom.llm import byte_bpe, decontaminate, language, licenses, lm_score, nearest, packing, quality, resharding, simhash, token_counts, turn_repair, va_file
 from qaloom.llm.common import new_folder, read
 
 
@@ -82,6 +82,11 @@ def op10_pack(spark: SparkSession, sf: str) -> DataFrame:
     return packing.digest(packing.pack(read(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op11_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """Faults, cheapest edits and repaired text of every conversation."""
+    return turn_repair.repair(read(spark, sf, "conversations"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     """Ids of every document, and the bytes they decode to, as checksums."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -104,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_cross_entropy": op9_cross_entropy,
     "op10_pack": op10_pack,
+    "op11_repair": op11_repair,
     "op12_byte_bpe": op12_byte_bpe,
     "op13_centroids": op13_centroids,
 }

@@ -394,8 +394,8 @@ def decode(encoded: DataFrame, ranks: str, first: str | None = None, last: str |
                 decoded.append(b"".join(merged.decode((ids or b"")[4 * a : 4 * b])))
                 starts.append(int.from_bytes(ends[4 * a - 4 : 4 * a], "little") if a else 0)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc_id", "ids", "ends")), pa.array(decoded, pa.binary()), pa.array(starts, pa.int64())],
-                ["doc_id", "ids", "ends", "decoded", "start"],
+                [batch.column("doc_id"), batch.column("ids"), pa.array(decoded, pa.binary()), pa.array(starts, pa.int64())],
+                ["doc_id", "ids", "decoded", "start"],
             )
 
     return map_batches(slim, run, "doc_id bigint, ids binary, decoded binary, start bigint")

@@ -7,11 +7,12 @@ list. It ends when fewer than ``DELTA`` of the entries change. While the graph i
 scale each; scores of the search are exact, in double precision.
 
 A search keeps the ``BEAM`` best nodes found for each query and expands the best unexpanded ones, round by round, until none is left; it starts at
-the query's own node and at the best pivots. Candidates go to the vectors, dealt by node; queries are taken in blocks
-whose vectors are broadcast (at most ``BLOCK`` of them).
+the query's own node and at the best pivots. Candidates go to the vectors, which are written once in buckets and never shuffled again; queries are
+taken in blocks whose vectors are broadcast (at most ``BLOCK`` of them). Of equal scores the smaller id is nearer, in lists, beams and results.
 
 Bounds: a cell has about ``CELL`` nodes (denser cells are split by hash), a node's list ``NEIGHBOURS`` entries, and
-``REVERSE`` nodes that point to it take part in a round (drawn anew each round, so that popular nodes are no hot spot); these bound the
+``REVERSE`` nodes that point to it take part in a round (drawn anew each round, so that popular nodes are no hot spot); a comparison offers each
+node its ``OFFERS`` best, and a node takes ``4 * NEIGHBOURS`` offers a round, repeats included; a beam has ``BEAM`` entries; these bound the
 work of the approximation, not the rows: every vector is indexed. A class of equal vectors is expanded to its smallest ids only when
 the result is written, which is exact.
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from qaloom.llm.common import stored
+from qaloom.llm.common import new_folder, stored
 
 NEIGHBOURS = 32
 REVERSE = 24
@@ -43,6 +44,7 @@ BEAM = 256
 WIDTH = 48  # nodes a query expands in a round
 BLOCK = 8192
 NODES_PER_TASK = 8192
+MOST_BUCKETS = 50_000
 
 
 def _usable(vector: Column) -> Column:
@@ -132,8 +134,8 @@ def _within_cell(rows: pd.DataFrame) -> pd.DataFrame:
 def _lists(found: DataFrame, nodes: DataFrame, fresh: bool) -> DataFrame:
     """One row per node: u, code and its best entries (s, v, fresh), best first."""
     kept = _best(found.groupBy("u", "v").agg(F.max("s").alias("s")), "u", "s", "v", NEIGHBOURS)
-    entry = F.struct("s", "v", F.lit(fresh).alias("fresh"))
-    return kept.groupBy("u").agg(F.sort_array(F.collect_list(entry), asc=False).alias("list")).join(
+    entry = F.struct((-F.col("s")).alias("far"), "v", F.lit(fresh).alias("fresh"))
+    return kept.groupBy("u").agg(F.sort_array(F.collect_list(entry)).alias("list")).join(
         nodes.select(F.col("node").alias("u"), "code"), "u"
     )
 
@@ -161,7 +163,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list[np.ndarray]] = [[], [], []]
         for a, b in zip(ends[:-1] - base, ends[1:] - base, strict=True):
             s = x[a:b] @ x[a:b].T
-            wanted = (fresh[a:b, None] | fresh[None, a:b]) & (s > worst[a:b, None]) & (ids[a:b, None] != ids[None, a:b])
+            wanted = (fresh[a:b, None] | fresh[None, a:b]) & (s >= worst[a:b, None]) & (ids[a:b, None] != ids[None, a:b])
             s[~wanted] = -np.inf
             k = min(OFFERS, b - a)
             at = np.argpartition(-s, k - 1, axis=1)[:, :k]
@@ -175,7 +177,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _round(graph: DataFrame, number: int) -> DataFrame:
     """One join of neighbours of neighbours; three shuffles of links, two of lists."""
-    worst = F.when(F.size("list") >= NEIGHBOURS, F.element_at("list", -1)["s"]).otherwise(F.lit(float("-inf"))).cast("float")
+    worst = F.when(F.size("list") >= NEIGHBOURS, -F.element_at("list", -1)["far"]).otherwise(F.lit(float("-inf"))).cast("float")
     known = graph.select(F.col("u").alias("x"), "code", worst.alias("worst"))
     links = graph.select("u", F.inline("list")).select("u", "v", "fresh")
     forward = links.select(F.col("u").alias("centre"), F.col("v").alias("x"), "fresh")
@@ -190,11 +192,11 @@ def _round(graph: DataFrame, number: int) -> DataFrame:
     offers = _best(offers, "u", "s", "v", 4 * NEIGHBOURS)
     offered = offers.groupBy("u").agg(F.collect_set(F.struct("s", "v")).alias("offers"))
     merged = graph.join(offered, "u", "left")
-    old = F.transform("list", lambda e: F.struct(e["s"].alias("s"), e["v"].alias("v"), F.lit(False).alias("fresh")))
+    old = F.transform("list", lambda e: F.struct(e["far"].alias("far"), e["v"].alias("v"), F.lit(False).alias("fresh")))
     names = F.transform("list", lambda e: e["v"])
     new = F.filter(F.coalesce("offers", F.array()), lambda o: ~F.array_contains("names", o["v"]))
-    new = F.transform(new, lambda o: F.struct(o["s"].alias("s"), o["v"].alias("v"), F.lit(True).alias("fresh")))
-    entries = F.slice(F.sort_array(F.concat(old, new), asc=False), 1, NEIGHBOURS)
+    new = F.transform(new, lambda o: F.struct((-o["s"]).alias("far"), o["v"].alias("v"), F.lit(True).alias("fresh")))
+    entries = F.slice(F.sort_array(F.concat(old, new)), 1, NEIGHBOURS)
     return merged.withColumn("names", names).select("u", entries.alias("list"), "code")
 
 
@@ -213,11 +215,25 @@ def build(nodes: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
         changed = F.size(F.filter("list", lambda e: e["fresh"]))
         entries, changed = graph.agg(F.sum(F.size("list")), F.sum(changed)).first()
         if not entries or changed <= DELTA * entries:
-            return graph.select("u", F.inline("list")).select("u", "v", "s"), pivots
+            return graph.select("u", F.inline("list")).select("u", "v", (-F.col("far")).alias("s")), pivots
 
 
-def _scored(pairs: DataFrame, nodes: DataFrame, tasks: int, names: np.ndarray, queries: np.ndarray) -> DataFrame:
-    """Exact scores of (q, w) that beat the beam's ``worst``; candidates are dealt to the tasks that hold their vectors."""
+def _dealt(column: str, tasks: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(tasks)).cast("int").alias("task")
+
+
+def _dealt_nodes(nodes: DataFrame, tasks: int) -> tuple[DataFrame, str]:
+    """The exact vectors, written once in buckets by task, so that no round of a search shuffles them; and the table's name."""
+    folder = new_folder(nodes.sparkSession, "op1-dealt")
+    name = "qaloom_" + folder.rsplit("/", 1)[1].replace("-", "_")
+    buckets = min(tasks, MOST_BUCKETS)
+    dealt = nodes.select("node", "exact", _dealt("node", tasks)).repartition(buckets, "task")
+    dealt.write.format("parquet").option("path", folder).bucketBy(buckets, "task").sortBy("task").saveAsTable(name)
+    return nodes.sparkSession.table(name), name
+
+
+def _scored(pairs: DataFrame, dealt: DataFrame, tasks: int, names: np.ndarray, queries: np.ndarray) -> DataFrame:
+    """Exact scores of (q, w) that beat the end of the beam (``worst``, ``worst_w``); candidates go to the tasks that hold their vectors."""
     shared = pairs.sparkSession.sparkContext.broadcast((names, queries))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -232,27 +248,25 @@ def _scored(pairs: DataFrame, nodes: DataFrame, tasks: int, names: np.ndarray, q
         score = np.empty(len(q))
         for i in range(0, len(q), 100_000):
             score[i : i + 100_000] = np.einsum("ij,ij->i", queries[of[i : i + 100_000]], x[at[i : i + 100_000]])
-        keep = score > left["worst"].to_numpy()
+        worst = left["worst"].to_numpy()
+        keep = (score > worst) | (score == worst) & (w < left["worst_w"].to_numpy())
         return pd.DataFrame({"q": q[keep], "w": w[keep], "score": score[keep]})
 
-    def dealt(column: str) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(tasks)).alias("task")
-
-    left = pairs.select("q", "w", "worst", dealt("w"))
-    right = nodes.select("node", "exact", dealt("node"))
-    return left.groupBy("task").cogroup(right.groupBy("task")).applyInPandas(run, "q bigint, w bigint, score double")
+    left = pairs.select("q", "w", "worst", "worst_w", _dealt("w", tasks))
+    return left.groupBy("task").cogroup(dealt.groupBy("task")).applyInPandas(run, "q bigint, w bigint, score double")
 
 
-BEAMS = "array<struct<score: double, w: bigint, expanded: boolean>>"
+# ``far`` is the negative score, so that ascending order puts the smaller of equally near nodes first.
+BEAMS = "array<struct<far: double, w: bigint, expanded: boolean>>"
 
 
 def _merged(state: DataFrame, found: DataFrame, beam: int) -> DataFrame:
     """The beams (q, beam) with what was found, best first; nodes that are in a beam already stay as they are."""
-    entry = F.struct("score", "w", F.lit(False).alias("expanded"))
+    entry = F.struct((-F.col("score")).alias("far"), "w", F.lit(False).alias("expanded"))
     found = found.groupBy("q").agg(F.collect_set(entry).alias("found"))
     held = state.join(found, "q", "left").withColumn("names", F.transform("beam", lambda e: e["w"]))
     new = F.filter(F.coalesce("found", F.array()), lambda e: ~F.array_contains("names", e["w"]))
-    best = F.slice(F.sort_array(F.concat("beam", new), asc=False), 1, beam)
+    best = F.slice(F.sort_array(F.concat("beam", new)), 1, beam)
     return held.select("q", best.cast(BEAMS).alias("beam"))
 
 
@@ -264,6 +278,7 @@ def search(queries: DataFrame, nodes: DataFrame, n: int, graph: DataFrame, pivot
     links = stored(links, "op1-links")
     tasks, beam = -(-n // NODES_PER_TASK), max(BEAM, most)
     tasks = max(tasks, spark.sparkContext.defaultParallelism)
+    dealt, table = _dealt_nodes(nodes, tasks)
     blocks = -(-queries.count() // BLOCK)
     done = []
     for block in range(blocks):
@@ -275,27 +290,30 @@ def search(queries: DataFrame, nodes: DataFrame, n: int, graph: DataFrame, pivot
             continue
         ids = part.select("q")
         start = _entries(ids, names, vectors, pivots).unionByName(ids.select("q", F.col("q").alias("w")))
-        found = _scored(start.withColumn("worst", F.lit(float("-inf"))), nodes, tasks, names, vectors)
+        start = start.withColumns({"worst": F.lit(float("-inf")), "worst_w": F.lit(0).cast("bigint")})
+        found = _scored(start, dealt, tasks, names, vectors)
         state = stored(_merged(ids.withColumn("beam", F.array().cast(BEAMS)), found, beam), "op1-beam")
         while True:
             # One row per query: its beam, best first; what is open and what counts are read off it.
             opened = F.slice(F.filter("beam", lambda e: ~e["expanded"]), 1, WIDTH)
-            worst = F.when(F.size("beam") >= beam, F.element_at("beam", -1)["score"]).otherwise(F.lit(float("-inf")))
-            front = state.select("q", worst.alias("worst"), F.explode(F.transform(opened, lambda e: e["w"])).alias("u"))
+            end, full = F.element_at("beam", -1), F.size("beam") >= beam
+            worst = F.when(full, -end["far"]).otherwise(F.lit(float("-inf"))).alias("worst")
+            front = state.select("q", worst, F.when(full, end["w"]).otherwise(0).alias("worst_w"), F.explode(F.transform(opened, lambda e: e["w"])).alias("u"))
             if front.isEmpty():
                 break
-            pairs = front.join(links, "u").select("q", "worst", F.explode("next").alias("w"))
-            new = _scored(pairs, nodes, tasks, names, vectors)
+            pairs = front.join(links, "u").select("q", "worst", "worst_w", F.explode("next").alias("w"))
+            new = _scored(pairs, dealt, tasks, names, vectors)
             done_now = F.transform(opened, lambda e: e["w"])
             closed = F.transform(
                 "beam",
                 lambda e: F.struct(
-                    e["score"].alias("score"), e["w"].alias("w"), (e["expanded"] | F.array_contains("done", e["w"])).alias("expanded")
+                    e["far"].alias("far"), e["w"].alias("w"), (e["expanded"] | F.array_contains("done", e["w"])).alias("expanded")
                 ),
             )
             after = state.withColumn("done", done_now).select("q", closed.alias("beam"))
             state = stored(_merged(after, new, beam), "op1-beam")
-        done.append(state.select("q", F.inline(F.slice("beam", 1, most))).select("q", "w", "score"))
+        done.append(state.select("q", F.inline(F.slice("beam", 1, most))).select("q", "w", (-F.col("far")).alias("score")))
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
     result = done[0] if done else spark.createDataFrame([], "q bigint, w bigint, score double")
     for more in done[1:]:
         result = result.unionByName(more)

@@ -17,6 +17,8 @@ _WORD_BYTES = bytes(
     for b in range(256)
 )
 _LOWER_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+TEXTS = 128  # texts of a batch that are Python objects at once
+
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
@@ -64,3 +66,20 @@ def map_batches(
 def doc_texts(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` alone, so that further columns, whatever their names, are not read."""
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def text_filter(docs: DataFrame, accepts: Callable[[], Callable[[list[bytes]], list[bool]]]) -> DataFrame:
+    """The documents, with all their columns, whose text is accepted; the text alone goes through Python.
+
+    ``accepts`` makes, once in a task, the function from some texts (UTF-8, null as empty) to what is accepted.
+    """
+
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        decide = accepts()
+        for part in parts:
+            found: list[bool] = []
+            for at in range(0, len(part), TEXTS):
+                found += decide([t or b"" for t in part.slice(at, TEXTS).cast(pa.binary()).to_pylist()])
+            yield pa.array(found, pa.bool_())
+
+    return docs.filter(F.arrow_udf(run, "boolean")(F.col("text").cast("string")))

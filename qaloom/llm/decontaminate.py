@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qaloom.llm.common import stored
+from qaloom.session import lookup
 
 WINDOW = 10
 BLOCK = 200_000
@@ -87,18 +88,27 @@ def _scan(rows: DataFrame, part: DataFrame, lengths: list[int], marks: bool) ->
     return joined.select("row", "doc_id", F.size("w").alias("n_words"), "at", "length", "window")
 
 
+def _text_key(text: Column) -> Column:
+    return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """One row per document: row, doc_id, n_words, hits (position and length of each hit window), items.
 
     ``row`` tells rows apart; its values have no meaning beyond this result.
     """
+    return _scanned(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), benchmark, window, block)
+
+
+def _scanned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """``scan`` with a ``doc_id`` of any type."""
     occurrences = stored(item_windows(benchmark, window), "op6-windows")
     distinct = occurrences.groupBy("length", "words").agg(F.collect_set("item_id").alias("items"))
     distinct = stored(distinct.withColumn("window", F.sha2(F.array_join("words", " "), 256)), "op6-distinct")
     lengths = sorted(r[0] for r in distinct.select("length").distinct().collect()) or [window]  # at most ``window``
     blocks = max(1, -(-distinct.count() // block))
     rows = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"),
+        "doc_id",
         F.monotonically_increasing_id().alias("row"),
         words_of(F.col("text").cast("string")).alias("w"),
     )
@@ -143,24 +153,29 @@ def digest(scanned: DataFrame) -> DataFrame:
     )
 
 
+def _hit_texts(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """``scan`` by the digest of a row's text in place of its ``doc_id``: what is hit depends on the text alone."""
+    found = _scanned(docs.select(_text_key(F.col("text")).alias("doc_id"), "text"), benchmark, window)
+    return found.filter(F.size("hits") > 0).withColumnRenamed("doc_id", "__dirty")
+
+
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents, with all their columns, that no window hits. Rows that share a hit ``doc_id`` go together."""
-    dirty = scan(docs, benchmark, window).filter(F.size("hits") > 0).select(F.col("doc_id").alias("__dirty")).distinct()
-    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["__dirty"]), "left_anti")
+    """The documents, with all their columns, that no window hits; each row goes or stays by its own text."""
+    dirty = lookup(_hit_texts(docs, benchmark, window).select("__dirty").distinct())
+    return docs.join(dirty, _text_key(docs["text"]) == dirty["__dirty"], "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id`` and ``text`` of every document, without the words inside hit windows and what stands before them."""
-    hit = scan(docs, benchmark, window).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list(_hit_words(F.col("hits"))))).alias("cut"))
-    hit = hit.filter(F.size("cut") > 0).withColumnRenamed("doc_id", "__dirty")
+    hit = _hit_texts(docs, benchmark, window).groupBy("__dirty").agg(F.first(_hit_words(F.col("hits"))).alias("cut"))
     text = F.col("text").cast("string")
     parts = F.regexp_extract_all(text, F.lit(_SEGMENT), F.lit(0))
     tail = F.regexp_extract(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*$", 0)
     gone = F.map_from_entries(F.transform("cut", lambda p: F.struct(p, F.lit(True))))
     kept = F.filter(parts, lambda part, i: F.try_element_at("gone", i).isNull())
-    slim = docs.select("doc_id", "text")
-    return slim.join(hit.withColumn("gone", gone), slim["doc_id"].eqNullSafe(hit["__dirty"]), "left").select(
-        "doc_id", F.when(F.col("__dirty").isNull() & F.col("cut").isNull(), text).otherwise(F.concat(F.array_join(kept, ""), tail)).alias("text")
+    slim = docs.select("doc_id", "text", _text_key(docs["text"]).alias("__dirty"))
+    return slim.join(hit.withColumn("gone", gone), "__dirty", "left").select(
+        "doc_id", F.when(F.col("cut").isNull(), text).otherwise(F.concat(F.array_join(kept, ""), tail)).alias("text")
     )
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from qaloom.llm.common import doc_texts, map_batches, texts
+from qaloom.llm.common import doc_texts, map_batches, text_filter, texts
 
 BITS = 15
 BUCKETS = 1 << BITS
@@ -175,13 +175,16 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: Model, least: float) -> DataFrame:
-    """The documents, with all their columns, whose language is known with at least the score ``least``."""
+    """The documents, with all their columns, whose language is known with at least the score ``least``; each row by its text alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def accepts() -> Callable[[list[bytes]], list[bool]]:
         predict = predictor(shared.value)
-        for batch in batches:
-            names, values = predict(texts(batch))
-            yield batch.filter(pa.array([n != UNKNOWN and v >= least for n, v in zip(names, values, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+        def known(part: list[bytes]) -> list[bool]:
+            names, values = predict([t.decode("utf-8", "replace") for t in part])
+            return [n != UNKNOWN and v >= least for n, v in zip(names, values, strict=True)]
+
+        return known
+
+    return text_filter(docs, accepts)

@@ -1,16 +1,21 @@
-"""Near copies by word shingles: MinHash buckets for candidates, exact Jaccard similarity for links.
+"""Near copies by word shingles: candidates from SimHash tries and MinHash buckets, exact Jaccard similarity for links.
 
 A text is the set of its runs of ``WIDTH`` = 5 words (all its words, if it has fewer); equal sets meet in one node. Two sets are
-linked if their Jaccard similarity is ``SIMILAR`` = 0.8 or more; sets are compared whole, as 64-bit hashes. Candidates share one of
-``BANDS`` = 20 buckets of ``ROWS`` = 5 minima: a pair of similarity s shares none with probability (1 - s^5)^20, 0.0004 at 0.8,
-0.000003 at 0.85 and less above. That is the one way a link can be missed.
+linked if their Jaccard similarity is ``SIMILAR`` = 0.8 or more; sets are compared whole, as 64-bit hashes. Candidates come from two sides:
+SimHash fingerprints of the sets within 3 bits, by the binary trie self-join, and one of ``BANDS`` = 20 shared buckets of ``ROWS`` = 5
+minima. A pair of similarity s shares no bucket with probability (1 - s^5)^20, 0.0004 at 0.8, 0.000003 at 0.85 and less above; if the tries do
+not find it either, that is the one way a link can be missed.
 
 Every pair of a bucket is settled, without a pair list of a dense group: members are first compared with the least of their
 bucket, and the links found are followed to components; what is left are pairs of members in different components,
 and buckets of near copies, however large, have none.
 
-Rows: a null text has no words, like an empty one, and all these are copies of each other; rows without ``doc_id`` are never removed;
-repeated rows share a node; an empty table gives no rows.
+What is written for every row is small (digest, node, fingerprint, bucket keys). Only the sets of candidates are made once more, from one
+text for each.
+
+Rows: a null text has no words, like an empty one, and all these are copies of each other. Of each group one row stays: one with the least
+``doc_id`` and, among several texts with it, the least digest of the text; rows without ``doc_id`` are never removed. Rows that share a
+``doc_id`` but not a text are told apart; of rows that share both, one is left; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from qaloom.llm import simhash
 from qaloom.llm.common import doc_texts, map_batches, spaced_words, stored, utf8
 from qaloom.llm.components import components
 from qaloom.session import lookup
@@ -79,21 +85,59 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both * PARTS[1] >= (len(a) + len(b) - both) * PARTS[0]
 
 
-def _sets(docs: DataFrame) -> DataFrame:
+def _fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a set: bit by bit the majority of its hashes, as a signed number."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), SLICE):
+        part = hashes[at : at + SLICE].astype(">u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
+
+
+def _text_key(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return doc_texts(docs).withColumn("key", _text_key(F.col("text")))
+
+
+def _nodes_of(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], pa.Array]]:
+    """Parts of a batch, with their sets and the sets' digests."""
+    from xxhash import xxh3_64_intdigest
+
+    for at in range(0, batch.num_rows, TEXTS):
+        part = batch.slice(at, TEXTS)
+        sets = [shingles(t) for t in utf8(part)]
+        yield part, sets, pa.array(np.array([xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64))
+
+
+def _signatures(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest
+        for batch in batches:
+            for part, sets, node in _nodes_of(batch):
+                columns = [
+                    node,
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([_fingerprint(s) for s in sets], pa.int64()),
+                    pa.array([buckets(s) for s in sets], pa.list_(pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), *columns], ["doc_id", "key", "node", "n", "fp", "keys"])
+
+    return map_batches(_keyed(docs), run, "doc_id bigint, key binary, node bigint, n bigint, fp bigint, keys array<bigint>")
+
 
+def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The sets of ``nodes`` (node, key), each made from one text with the digest ``key``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(at, TEXTS)
-                rows = [shingles(t) for t in utf8(part)]
-                packed = [r.tobytes() for r in rows]
-                node = np.array([xxh3_64_intdigest(p) for p in packed], np.uint64).view(np.int64)
-                columns = [pa.array(node), pa.array([len(r) for r in rows], pa.int64()), pa.array(packed, pa.binary())]
-                keys = pa.array([buckets(r) for r in rows], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns, keys], ["doc_id", "node", "n", "hashes", "keys"])
+            for _, sets, node in _nodes_of(batch):
+                yield pa.RecordBatch.from_arrays([node, pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "hashes"])
 
-    return map_batches(doc_texts(docs), run, "doc_id bigint, node bigint, n bigint, hashes binary, keys array<bigint>")
+    taken = _keyed(docs).select("key", "text").join(lookup(nodes.select("key"), 200_000, 64), "key", "left_semi")
+    texts = taken.groupBy("key").agg(F.first("text").alias("text"))
+    return stored(map_batches(texts.select("text"), run, "node bigint, hashes binary"), "near-sets")
 
 
 def _beside(pairs: DataFrame, side: str, sets: DataFrame) -> DataFrame:
@@ -112,7 +156,7 @@ def _beside(pairs: DataFrame, side: str, sets: DataFrame) -> DataFrame:
     return dealt.join(held, [side, f"piece_{side}"]).drop(f"piece_{side}")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``u``, ``v`` of nodes that are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,10 +169,6 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     pairs = stored(pairs, "near-pairs")
-    wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    # Of equal sets one row is read.
-    taken = rows.join(lookup(wanted, 1_000_000, 16), "node", "left_semi").groupBy("node").agg(F.min("at").alias("at")).select("at")
-    sets = stored(rows.join(lookup(taken, 1_000_000, 16), "at", "left_semi").select("node", "hashes"), "near-sets")
     met = _beside(_beside(pairs, "u", sets), "v", sets).select("u", "v", "hashes_u", "hashes_v")
     return stored(map_batches(met, run, "u bigint, v bigint"), "near-links")
 
@@ -137,14 +177,31 @@ def _near_size(a: str, b: str) -> Column:
     return F.least(a, b) * PARTS[1] >= F.greatest(a, b) * PARTS[0]
 
 
-def links(rows: DataFrame) -> DataFrame:
-    """Links ``u``, ``v`` whose components are those of all similar pairs that share a bucket."""
-    entries = rows.select("node", "n", F.explode("keys").alias("bucket"))
+def _trie_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs that join all nodes whose fingerprints are equal or are linked within 3 bits."""
+    hubs = stored(nodes.groupBy("fp").agg(F.min("node").alias("hub"), F.max("node").alias("last")), "near-fingerprints")
+    same = nodes.join(hubs.filter("hub <> last").select("fp", "hub"), "fp").filter("node <> hub")
+    found = simhash.links(hubs.select("fp"))
+    u, v = (hubs.select(F.col("fp").alias(s), F.col("hub").alias(f"hub_{s}")) for s in "uv")
+    near = found.join(u, "u").join(v, "v").select(F.col("hub_u").alias("u"), F.col("hub_v").alias("v"))
+    return same.select(F.col("node").alias("u"), F.col("hub").alias("v")).unionByName(near)
+
+
+def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links ``u``, ``v`` whose components are those of all similar pairs that share a bucket or are near in a trie.
+
+    ``nodes``: node, key (digest of one of its texts), n, fp and keys, one row each.
+    """
+    entries = nodes.select("node", "n", F.explode("keys").alias("bucket"))
     hubs = entries.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.min_by("n", "node").alias("hub_n"))
     hubs = stored(hubs.filter("hub <> last").drop("last"), "near-hubs")
     members = stored(entries.join(hubs, "bucket").distinct(), "near-members")
     first = members.filter((F.col("node") != F.col("hub")) & _near_size("n", "hub_n"))
-    found = _verified(first.select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct(), rows)
+    first = first.select(F.col("node").alias("u"), F.col("hub").alias("v")).unionByName(_trie_pairs(nodes))
+    first = stored(first.distinct(), "near-first")
+    wanted = members.select("node").unionByName(first.select("u")).unionByName(first.select("v")).distinct()
+    sets = _sets(docs, stored(nodes.select("node", "key").join(wanted, "node"), "near-wanted"))
+    found = _verified(first, sets)
 
     # Pairs of different components; one of each is outside the largest component of its bucket.
     roots = components(found).withColumnRenamed("root", "part")
@@ -157,23 +214,35 @@ def links(rows: DataFrame) -> DataFrame:
     b = open_.select("bucket", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("part").alias("pv"), "main")
     once = (F.col("pv") == F.col("main")) | (F.col("u") < F.col("v"))
     met = a.join(b, "bucket").filter((F.col("pu") != F.col("pv")) & once & _near_size("nu", "nv"))
-    return found.unionByName(_verified(met.select("u", "v").distinct(), rows))
-
-
-def later_copies(docs: DataFrame) -> DataFrame:
-    """The distinct ``doc_id`` that are not the least of their component of near copies."""
-    rows = stored(_sets(docs).withColumn("at", F.monotonically_increasing_id()), "near-rows")
-    found = components(links(rows))
-    least = stored(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "near-nodes")
-    rooted = least.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = stored(rooted.select("node", "root", "least", "most"), "near-rooted")
-    named = rooted.groupBy("root").agg(F.min("least").alias("first"), F.max("most").alias("last")).filter("last > first")
-    removed = rooted.join(named, "root").select("node", "first")
-    removed = rows.select("doc_id", "node").join(removed, "node").filter("doc_id <> first")
-    return removed.select("doc_id").distinct()
+    return found.unionByName(_verified(met.select("u", "v").distinct(), sets))
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """doc_id, key (digest of the text), rows with both, and first (doc_id and key of the row that stays in their group)."""
+    rows = stored(_signatures(docs), "near-rows")
+    own = F.struct("doc_id", "key")
+    # Of equal sets any text will do for all its facts; they are equal.
+    nodes = rows.groupBy("node").agg(
+        F.min("key").alias("key"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"),
+        F.min(F.when(F.col("doc_id").isNotNull(), own)).alias("least"),
+    )
+    nodes = stored(nodes, "near-nodes")
+    found = components(links(nodes, docs))
+    rooted = nodes.join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    rooted = stored(rooted, "near-rooted")
+    named = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    first = rooted.join(named, "root").select("node", "first")
+    told = rows.filter("doc_id IS NOT NULL").groupBy("doc_id", "key", "node").agg(F.count("*").alias("n"))
+    return told.join(first, "node").select("doc_id", "key", "n", "first")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents, with all their columns, that have the least ``doc_id`` of their component; rows without one stay."""
-    later = stored(later_copies(docs).select(F.col("doc_id").alias("__later")), "near-later")
-    return docs.join(later, docs["doc_id"] == later["__later"], "left_anti")
+    """The documents, with all their columns, that stay: one row of each group of near copies, and all without ``doc_id``."""
+    told = _classes(docs)
+    own = F.struct("doc_id", "key")
+    told = stored(told.filter((own != F.col("first")) | (F.col("n") > 1)).select(own.alias("__key"), (own == F.col("first")).alias("__stays")), "near-told")
+    keyed = docs.withColumn("__key", F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), _text_key(F.col("text")).alias("key")))
+    kept = keyed.join(lookup(told.select("__key"), 200_000, 96), "__key", "left_anti").drop("__key")
+    # Rows that stay but are repeated: one of each.
+    again = keyed.join(lookup(told.filter("__stays").select("__key"), 200_000, 96), "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    return kept.unionByName(again)

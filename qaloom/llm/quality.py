@@ -16,7 +16,7 @@ prior; an empty table gives no rows; further columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qaloom.llm.common import doc_texts, map_batches, utf8
+from qaloom.llm.common import doc_texts, map_batches, text_filter, utf8
 
 POSITIVES = 4096
 UNLABELLED = 8192
@@ -167,11 +167,10 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents, with all their columns, that reach the threshold."""
+    """The documents, with all their columns, that reach the threshold; each row by its text alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([shared.value.scores(features(t)) >= threshold for t in utf8(batch)], pa.bool_()))
+    def accepts() -> Callable[[list[bytes]], list[bool]]:
+        return lambda part: [bool(shared.value.scores(features(t)) >= threshold) for t in part]
 
-    return docs.mapInArrow(run, docs.schema)
+    return text_filter(docs, accepts)

@@ -1,5 +1,6 @@
 """Near copies of the pipeline's stage against brute force over all pairs."""
 
+import hashlib
 import random
 
 import corpus_pipeline
@@ -64,15 +65,33 @@ def test_stage_finds_copies_well_beyond_three_bits(spark, edge_docs, no_docs):
 def test_every_pair_of_a_bucket_is_settled(spark, monkeypatch):
     """One bucket for all: what the least member does not resemble is still compared with each other."""
     monkeypatch.setattr(near_copies, "MET", 4)
+    monkeypatch.setattr(near_copies, "buckets", lambda hashes: [7])
     rng = random.Random(4)
     texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(12)]
     texts += [t + " end" for t in texts[3:9]] + [t + " end of it" for t in texts[5:7]]
-    sets = [near_copies.shingles(t.encode()) for t in texts]
-    rows = [(i, i, len(s), bytearray(s.tobytes()), [7], i) for i, s in enumerate(sets)]
-    df = spark.createDataFrame(rows, "doc_id bigint, node bigint, n bigint, hashes binary, keys array<bigint>, at bigint")
-    got = near_copies.components(near_copies.links(df))
-    roots = {r.node: r.root for r in got.collect()}
-    assert roots == {k: 3 + i % 6 if i < 6 else i - 1 for i, k in ((k - 12, k) for k in range(12, 20))} | {k: k for k in range(3, 9)}
+    rows = [(i, t) for i, t in enumerate(texts)]
+    nodes = near_copies._signatures(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    nodes = near_copies.stored(nodes.drop("doc_id"), "test-nodes")
+    monkeypatch.setattr(near_copies, "_trie_pairs", lambda nodes: nodes.select(nodes.node.alias("u"), nodes.node.alias("v")).limit(0))
+    got = {frozenset(r) for r in near_copies.components(near_copies.links(nodes, spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()}
+    node = {i: r.node for i, r in enumerate(sorted(nodes.collect(), key=lambda r: texts.index(by_key(texts, r.key))))}
+    groups = [{node[i], node[i + 9]} | ({node[i + 13]} if 5 <= i < 7 else set()) for i in range(3, 9)]
+    assert {x for pair in got for x in pair} == set().union(*groups)
+    assert all(any(pair <= g for g in groups) for pair in got) and len({min(g) for g in groups}) == 6
+
+
+def by_key(texts, key):
+    return next(t for t in texts if hashlib.sha256(t.encode()).digest() == bytes(key))
+
+
+def test_rows_are_removed_and_not_keys(spark):
+    """Several texts of one id, copies of ids, repeated rows and rows without an id."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(3, b, 1), (5, a, 2), (5, b, 3), (9, a, 4), (None, a, 5), (None, c, 6), (7, c, 7), (7, c, 7), (7, c, 8), (8, c, 9)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, key int")
+    got = sorted(tuple(r)[:2] for r in near_copies.keep_first(df).collect() if r.doc_id is not None)
+    assert got == [(3, b), (5, a), (7, c)]
+    assert sorted(r.key for r in near_copies.keep_first(df).collect() if r.doc_id is None) == [5, 6]
 
 
 def test_buckets_agree_as_often_as_theory_says():

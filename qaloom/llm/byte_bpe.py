@@ -350,10 +350,11 @@ def _groups(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
         yield start, group
 
 
-def encode(docs: DataFrame, ranks: str) -> DataFrame:
+def encode(docs: DataFrame, ranks: str, decoded: bool = False) -> DataFrame:
     """``doc_id``, ``ids`` and ``ends`` of every whole text, both as little-endian 32-bit numbers.
 
-    ``ranks`` is the path of a rank file on every machine. ``ends`` holds, for each token, the byte of the text at which it ends.
+    ``ranks`` is the path of a rank file on every machine. ``ends`` holds, for each token, the byte of the text at which it ends. With
+    ``decoded`` the column of that name follows: the bytes the ids stand for, made from the ids in the same pass.
     """
     class_of = docs.sparkSession.sparkContext.broadcast(library_classes())
 
@@ -364,12 +365,12 @@ def encode(docs: DataFrame, ranks: str) -> DataFrame:
             for start, group in _groups(batch):
                 ids = merged.encode(group, class_of.value)
                 ends = [np.cumsum(length[np.frombuffer(i, "<u4")]).astype("<u4").tobytes() for i in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(start, len(group)), pa.array(ids, pa.binary()), pa.array(ends, pa.binary())],
-                    ["doc_id", "ids", "ends"],
-                )
+                columns = [batch.column("doc_id").slice(start, len(group)), pa.array(ids, pa.binary()), pa.array(ends, pa.binary())]
+                if decoded:
+                    columns.append(pa.array([b"".join(merged.decode(i)) for i in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "ends", "decoded"][: len(columns)])
 
-    return map_batches(doc_texts(docs), run, "doc_id bigint, ids binary, ends binary")
+    return map_batches(doc_texts(docs), run, "doc_id bigint, ids binary, ends binary" + ", decoded binary" * decoded)
 
 
 def decode(encoded: DataFrame, ranks: str, first: str | None = None, last: str | None = None) -> DataFrame:

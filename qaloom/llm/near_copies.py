@@ -199,7 +199,7 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     first = members.filter((F.col("node") != F.col("hub")) & _near_size("n", "hub_n"))
     first = first.select(F.col("node").alias("u"), F.col("hub").alias("v")).unionByName(_trie_pairs(nodes))
     first = stored(first.distinct(), "near-first")
-    wanted = members.select("node").unionByName(first.select("u")).unionByName(first.select("v")).distinct()
+    wanted = members.select("node").union(first.select("u")).union(first.select("v")).distinct()
     sets = _sets(docs, stored(nodes.select("node", "key").join(wanted, "node"), "near-wanted"))
     found = _verified(first, sets)
 

@@ -90,7 +90,7 @@ def op11_repair(spark: SparkSession, sf: str) -> DataFrame:
 def op12_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     """Ids of every document, and the bytes they decode to, as checksums."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return byte_bpe.digest(byte_bpe.decode(byte_bpe.encode(read(spark, sf, "documents"), ranks), ranks))
+    return byte_bpe.digest(byte_bpe.encode(read(spark, sf, "documents"), ranks, decoded=True))
 
 
 def op13_centroids(spark: SparkSession, sf: str) -> DataFrame:

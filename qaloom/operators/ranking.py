@@ -17,6 +17,8 @@ from qaloom.functions import draws
 from qaloom.session import checkpoint, lookup
 
 ROWS_PER_TASK = 200_000
+RADIX_BITS = 12  # of a value's image that one round of percentiles settles
+_LOWER_63 = (1 << 63) - 1
 SKETCH = 10_000  # accuracy of quantile sketches: ranks are right to one in so many
 
 
@@ -124,66 +126,75 @@ def rank_cuts(
     return join_on(sizes, found.agg(*cuts), by, "left")
 
 
-def percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+def _image(value: Column) -> Column:
+    """The order of doubles as an order of longs: one number for -0 and 0, NaN above all."""
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value + F.lit(0.0)).cast("bigint")
+    return F.when(bits < 0, bits.bitwiseXOR(F.lit(_LOWER_63))).otherwise(bits)
+
+
+def _of_image(image: Column) -> Column:
+    bits = F.when(image < 0, image.bitwiseXOR(F.lit(_LOWER_63))).otherwise(image)
+    return F.reflect(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double")
+
+
+def percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float], bits: int = RADIX_BITS) -> DataFrame:
     """Exact linear-interpolation percentiles per group: one column per entry of ``shares``.
 
-    A mergeable sketch first bounds the interval around each wanted rank (its rank error is known); one more
-    read counts the rows below each interval and collapses equal values inside it to counted rows. Only those are
-    ordered: a few in ten thousand of a large group, and all distinct values of a small one. The input is evaluated
-    once; what is read twice are its keys and values.
+    Radix selection on the order-preserving 64-bit image of the values. A round counts, for each range that still holds a wanted
+    rank, its up to 2^``bits`` buckets in one mergeable aggregate, and goes on with the bucket that holds the rank, narrowed to
+    its least and largest value; a rank is found when these are equal. No values are ordered or gathered: what a task
+    sees of a group are bucket counts, however large the group, and 64 / ``bits`` rounds find any rank.
     """
-    by = by or ["__all"]
-    rows = df.withColumn("__all", F.lit(0)) if by == ["__all"] else df
-    rows = checkpoint(rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v")))
-    edges = []
+    keys = by or ["__all"]
+    rows = df if by else df.withColumn("__all", F.lit(0))
+    rows = checkpoint(rows.where(F.col(value).isNotNull()).select(*keys, _image(F.col(value).cast("double")).alias("__z")))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__z").alias("lo"), F.max("__z").alias("hi"))
+    ends = []
     for share in shares.values():
-        edges += [max(0.0, share - 2 / SKETCH), min(1.0, share + 2 / SKETCH)]
-    near = F.percentile_approx("__v", F.array(*[F.lit(e) for e in edges]), F.lit(SKETCH))
-    stats = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("__n"), near.alias("__near"), F.min("__v").alias("__min"), F.max("__v").alias("__max")
-    )
-    # The sketch errs by under n / SKETCH ranks; below some multiples of SKETCH rows that is not a whole rank, so all count.
-    small = F.col("__n") <= 10 * SKETCH
-    bounds = []
-    for i, edge in enumerate(edges):
-        end = "__max" if i % 2 else "__min"
-        bounds.append(F.when(small | F.lit(edge in (0.0, 1.0)), F.col(end)).otherwise(F.get("__near", F.lit(i))).alias(f"__e{i}"))
-    stats = lookup(stats.select(*by, "__n", *bounds), row_bytes=8 * len(edges) + 64)
-    placed = join_on(rows, stats, by)
-    wanted = range(len(shares))
-    inside = F.lit(False)
-    for i in wanted:
-        inside |= F.col("__v").between(F.col(f"__e{2 * i}"), F.col(f"__e{2 * i + 1}"))
-    lows = [F.col(f"__e{2 * i}") for i in wanted]
-    values = placed.groupBy(*by, "__n", *[f"__e{2 * i}" for i in wanted], F.when(inside, F.col("__v")).alias("__z")).agg(
-        F.count(F.lit(1)).alias("__m"),
-        *[F.sum((F.col("__v") < low).cast("bigint")).alias(f"__b{i}") for i, low in enumerate(lows)],
-    )
-    group = Window.partitionBy(*by)
-    running = group.orderBy("__z").rowsBetween(Window.unboundedPreceding, -1)
-    counted = F.when(F.col("__z").isNotNull(), F.col("__m")).otherwise(0)
-    values = values.withColumn("__before", F.coalesce(F.sum(counted).over(running), F.lit(0)))
-    # Rank of a value: all rows below the interval, and the counted ones between its lower end and the value.
-    for i, low in enumerate(lows):
-        skipped = F.sum(F.when(F.col("__z") < low, F.col("__m")).otherwise(0)).over(group)
-        values = values.withColumn(f"__r{i}", F.sum(f"__b{i}").over(group) - skipped + F.col("__before"))
-
-    def at_rank(i: int, k: Column) -> Column:
-        first = F.col(f"__r{i}")
-        hit = (F.col("__z") >= lows[i]) & (k >= first) & (k < first + F.col("__m"))
-        return F.max(F.when(hit, F.col("__z")))
-
-    picked = []
-    for i, (name, share) in enumerate(shares.items()):
         at = F.lit(share) * (F.col("__n") - 1)
-        picked += [at_rank(i, F.floor(at)).alias(f"__low_{name}"), at_rank(i, F.ceil(at)).alias(f"__high_{name}")]
-    found = values.groupBy(*by, "__n").agg(*picked)
+        ends += [F.floor(at), F.ceil(at)]
+    wanted = F.posexplode(F.array(*ends)).alias("slot", "rank")
+    sizes = checkpoint(sizes)
+    open_, done = sizes.select(*keys, "lo", "hi", wanted), None
+    while True:
+        open_ = checkpoint(open_)
+        found = open_.where("lo = hi").select(*keys, "slot", F.col("lo").alias("image"))
+        done = found if done is None else done.unionByName(found)
+        open_ = open_.where("lo < hi")
+        if open_.isEmpty():
+            break
+        open_ = _narrowed(rows, open_, keys, bits)
+    place = {name: 2 * i for i, name in enumerate(shares)}
+    picked = [F.max(F.when(F.col("slot") == i, F.col("image"))).alias(f"__{i}") for i in range(2 * len(shares))]
+    found = join_on(sizes.select(*keys, "__n"), done.groupBy(*keys).agg(*picked), keys)
     out = []
     for name, share in shares.items():
         at = F.lit(share) * (F.col("__n") - 1)
-        low, high = F.col(f"__low_{name}"), F.col(f"__high_{name}")
-        out.append((low + (high - low) * (at - F.floor(at))).alias(name))
-    return found.select(*[b for b in by if b != "__all"], *out)
+        low, high = _of_image(F.col(f"__{place[name]}")), _of_image(F.col(f"__{place[name] + 1}"))
+        between = F.when(low == high, low).otherwise(low + (high - low) * (at - F.floor(at)))
+        out.append(between.alias(name))
+    return found.select(*by, *out)
+
+
+def _narrowed(rows: DataFrame, open_: DataFrame, keys: list[str], bits: int) -> DataFrame:
+    """One round of ``percentiles``: the bucket that holds each wanted rank, and the rank in it."""
+    # Halves, so that the width of any range is a long.
+    width = F.length(F.bin(F.shiftright("hi", 1) - F.shiftright("lo", 1)))
+    ranges = open_.groupBy(*keys, "lo", "hi").agg(F.greatest(F.lit(0), width + 1 - bits).alias("shift"))
+    of_group = ranges.groupBy(*keys).agg(F.collect_list(F.struct("lo", "hi", "shift")).alias("__ranges"))  # as many as shares at most, twice
+    placed = join_on(rows, lookup(of_group, row_bytes=512), keys)
+    inside = F.filter("__ranges", lambda r: (r["lo"] <= F.col("__z")) & (F.col("__z") <= r["hi"]))
+    placed = placed.withColumn("__in", F.get(inside, F.lit(0))).where(F.col("__in").isNotNull())
+    # Shifted by Spark's own expression: the number of places is a column.
+    places = F.call_function("shiftright", "__z", "__in.shift") - F.call_function("shiftright", "__in.lo", "__in.shift")
+    counts = placed.groupBy(*keys, F.col("__in.lo").alias("__from"), places.alias("__bucket")).agg(
+        F.count(F.lit(1)).alias("__m"), F.min("__z").alias("lo"), F.max("__z").alias("hi")
+    )
+    before = Window.partitionBy(*keys, "__from").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("__before", F.coalesce(F.sum("__m").over(before), F.lit(0)))
+    slots = open_.select(*keys, F.col("lo").alias("__from"), "slot", "rank")
+    held = join_on(counts, lookup(slots), [*keys, "__from"]).where("rank >= __before AND rank < __before + __m")
+    return held.select(*keys, "lo", "hi", "slot", (F.col("rank") - F.col("__before")).alias("rank"))
 
 
 def top_ranked(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:

@@ -108,19 +108,49 @@ def test_pieced_ranks_equal_a_plain_window(spark, seed):
     assert sorted(r["rank"] for r in whole.collect()) == list(range(3000))
 
 
-@pytest.mark.parametrize("pieces", [2, 16, 64])
-def test_percentiles_are_exact(spark, pieces):
-    rows, df = skewed(spark)
+@pytest.mark.parametrize("bits", [1, 5, 12])
+def test_percentiles_are_exact(spark, bits):
+    rows, df = skewed(spark, 300 if bits == 1 else 3000)
     shares = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p99": 0.99, "p100": 1.0}
-    got = {r.g: r for r in ranking.percentiles(df, ["g"], "v", shares, pieces).collect()}
+    got = {r.g: r for r in ranking.percentiles(df, ["g"], "v", shares, bits).collect()}
     for g in {r[1] for r in rows}:
         values = [r[2] for r in rows if r[1] == g]
         for name, share in shares.items():
             assert got[g][name] == pytest.approx(np.percentile(values, 100 * share), abs=1e-12)
-    one = ranking.percentiles(df, [], "v", {"p": 0.3}, pieces).first()
+    one = ranking.percentiles(df, [], "v", {"p": 0.3}, bits).first()
     assert one.p == pytest.approx(np.percentile([r[2] for r in rows], 30))
 
 
+def test_percentiles_over_all_magnitudes_and_groups(spark):
+    """Values from the least to the largest double, both signs, both zeros, a null group, null values, one hot value."""
+    rng = random.Random(7)
+    rows = [(rng.choice(["a", None]), rng.choice([-1, 1]) * 10 ** rng.uniform(-320, 308)) for _ in range(2000)]
+    rows += [("b", x) for x in (-0.0, 0.0, 5e-324, -5e-324, 1.7976931348623157e308, -1.7976931348623157e308)]
+    rows += [("c", 4.25)] * 3000 + [("c", 1.0), ("c", None), ("d", None), ("e", math.inf), ("e", -math.inf), ("e", 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    shares = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p100": 1.0}
+    got = {r.g: r for r in ranking.percentiles(df, ["g"], "v", shares).collect()}
+    assert set(got) == {"a", None, "b", "c", "e"}
+    for g in ("a", None, "b", "c"):
+        values = sorted(v for k, v in rows if k == g and v is not None)
+        for name, share in shares.items():
+            at = share * (len(values) - 1)
+            low, high = values[math.floor(at)], values[math.ceil(at)]
+            assert got[g][name] == (low if low == high else pytest.approx(low + (high - low) * (at - math.floor(at)), rel=1e-12))
+    assert (got["e"].p0, got["e"].p50, got["e"].p100) == (-math.inf, 1.0, math.inf)
+
+
+def test_percentiles_order_no_values(spark):
+    """The windows of a hot group run over bucket counts: at most as many rows as a round has buckets."""
+    df = spark.range(200_000).select(F.lit("hot").alias("g"), F.sqrt(F.col("id") + 1_000_000).alias("v"))
+    rows = df.select("g", ranking._image(F.col("v")).alias("__z"))
+    open_ = rows.groupBy("g").agg(F.min("__z").alias("lo"), F.max("__z").alias("hi"), F.lit(0).alias("slot"), F.lit(99_999).alias("rank"))
+    narrowed = ranking._narrowed(rows, open_, ["g"], 8).first()
+    assert narrowed.lo <= rows.where("__z is not null").select(F.percentile("__z", 0.5)).first()[0] <= narrowed.hi * (1 + 1e-9)
+    assert rows.where(F.col("__z").between(narrowed.lo, narrowed.hi)).count() < 200_000 / 50
+    assert ranking.percentiles(df, ["g"], "v", {"m": 0.5}).first().m == pytest.approx((math.sqrt(1_099_999) + math.sqrt(1_100_000)) / 2, abs=1e-12)
+
+
 def test_split_sizes_are_exact(spark):
     rows, df = skewed(spark)
     split = curation.stratified_split(df, "g", "id")

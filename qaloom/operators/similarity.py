@@ -25,6 +25,8 @@ from qaloom.session import checkpoint, lookup, shared_folder
 
 CHUNK_ROWS = 1024
 CELL_ROWS = 8192
+EDGES_PER_ROW = 64  # pairs that are listed for a vector on average, at most
+LOCAL_EDGES = 1_000_000  # of a block, settled by one task
 _SLACK = 1e-6
 
 
@@ -248,7 +250,7 @@ def near_duplicate_counts(
 
 
 def _flagged(rows: DataFrame, by: list[str], threshold: float, cell_rows: int, chunk_rows: int, rule: str) -> DataFrame:
-    """Ids with a qualifying partner: an earlier one ("earlier"), or a kept one ("kept")."""
+    """Ids with qualifying partners, and how many (``n``): earlier ones ("earlier"), or kept ones ("kept")."""
 
     def flag(group: pd.DataFrame) -> pd.DataFrame:
         left, right, i, j, _ = _qualifying(group, threshold)
@@ -258,13 +260,75 @@ def _flagged(rows: DataFrame, by: list[str], threshold: float, cell_rows: int, c
         else:
             kept_x, kept_y = left["kept"].to_numpy()[i], right["kept"].to_numpy()[j]
             hit = np.concatenate([y[kept_x & ~kept_y], x[kept_y & ~kept_x]])
-        hit = np.unique(hit)
+        hit, n = np.unique(hit, return_counts=True)
         out = _block(group, by, len(hit))
-        return pd.DataFrame(out | {"id": hit})
+        return pd.DataFrame(out | {"id": hit, "n": n})
 
-    schema = _schema_of(rows, by, "id BIGINT")
+    schema = _schema_of(rows, by, "id BIGINT, n BIGINT")
     chunks = _chunked(rows, by, threshold, cell_rows, chunk_rows)
-    return chunks.groupBy(*by, "cell", "a", "b").applyInPandas(flag, schema).distinct()
+    found = chunks.groupBy(*by, "cell", "a", "b").applyInPandas(flag, schema)
+    return found.groupBy(*by, "id").agg(F.sum("n").alias("n"))
+
+
+def _edges(rows: DataFrame, by: list[str], threshold: float, cell_rows: int, chunk_rows: int) -> DataFrame:
+    """Pairs of distinct vectors above the threshold: (by, first, second), by key order. Vectors are compared once."""
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        left, right, i, j, _ = _qualifying(group, threshold)
+        x, y = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
+        return pd.DataFrame(_block(group, by, len(i)) | {"first": np.minimum(x, y), "second": np.maximum(x, y)})
+
+    chunks = _chunked(rows, by, threshold, cell_rows, chunk_rows)
+    return chunks.groupBy(*by, "cell", "a", "b").applyInPandas(compare, _schema_of(rows, by, "first BIGINT, second BIGINT"))
+
+
+def first_independent(edges: DataFrame, by: list[str], local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """The vertices (by, id) that the greedy rule drops: those with an edge from an earlier vertex that is kept.
+
+    A block of at most ``local_edges`` edges is settled by one task in one pass over its edges, so a long chain takes no rounds. In
+    a larger one every vertex without an earlier neighbour is kept at once and its neighbours are dropped, in rounds of
+    messages over the edges that are left, until few enough are.
+    """
+
+    def settle(group: pd.DataFrame) -> pd.DataFrame:
+        names, place = np.unique(np.concatenate([group["first"], group["second"]]), return_inverse=True)
+        first, second = place[: len(group)], place[len(group) :]
+        order = np.argsort(second, kind="stable")
+        gone = bytearray(len(names))
+        # Edges in order of their later end: the earlier end is settled before it is asked.
+        for a, b in zip(first[order].tolist(), second[order].tolist(), strict=True):
+            if not gone[a]:
+                gone[b] = 1
+        hit = names[np.frombuffer(gone, np.uint8).astype(bool)]
+        return pd.DataFrame(_block(group, by, len(hit)) | {"id": hit})
+
+    dropped, schema = None, _schema_of(edges, by, "id BIGINT")
+    edges = checkpoint(edges)
+    while True:
+        sizes = edges.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+        sized = join_on(edges, lookup(sizes), by)
+        few = sized.where(F.col("__n") <= local_edges).drop("__n")
+        done = checkpoint(few.groupBy(*by).applyInPandas(settle, schema))
+        dropped = done if dropped is None else dropped.unionByName(done)
+        many = checkpoint(sized.where(F.col("__n") > local_edges).drop("__n"))
+        if many.isEmpty():
+            return dropped
+        later = many.select(*by, F.col("second").alias("first")).distinct()
+        kept = _without(many.select(*by, "first").distinct(), later, [*by, "first"])
+        gone = checkpoint(join_on(many, kept, [*by, "first"], "left_semi").select(*by, F.col("second").alias("id")).distinct())
+        dropped = dropped.unionByName(gone)
+        edges = _without(many, gone.withColumnRenamed("id", "first"), [*by, "first"])
+        edges = checkpoint(_without(edges, gone.withColumnRenamed("id", "second"), [*by, "second"]))
+
+
+def _without(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Anti join where null matches null."""
+    renamed = right.select(*[F.col(k).alias(f"__{k}") for k in keys])
+    same = None
+    for k in keys:
+        one = left[k].eqNullSafe(renamed[f"__{k}"])
+        same = one if same is None else same & one
+    return left.join(renamed, same, "left_anti")
 
 
 def dedup_greedy(
@@ -279,26 +343,31 @@ def dedup_greedy(
 ) -> DataFrame:
     """Rows in key order are dropped iff an earlier *kept* row of the block is too similar.
 
-    Solved in rounds over the undecided vectors only: those without an earlier undecided neighbour
-    are kept, then their neighbours are dropped. A dense group is settled in one round; only a
-    chain of alternating neighbours needs many. Rows outside ``eligible`` are always kept.
+    Vectors are compared once and the pairs found become an edge table, on which the rule is settled. Pairs are counted
+    before they are listed: while there are more than ``EDGES_PER_ROW`` for a vector, a round over the vectors goes first, which keeps
+    those without an earlier neighbour and drops their neighbours, and so thins a dense group out without a pair
+    table. Rows outside ``eligible`` are always kept.
     """
     pool = df if eligible is None else df.where(eligible)
     undecided = checkpoint(distinct_vectors(pool, key, vector, by))
     # Decided ids are appended to one table, so the plan of a round does not grow with the rounds before it.
     decided = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
     names = undecided.select(*by, "id").schema
-    undecided.limit(0).select(*by, "id").write.parquet(decided)
-    while not undecided.isEmpty():
-        later = checkpoint(_flagged(undecided, by, threshold, cell_rows, chunk_rows, "earlier"))
-        fresh = join_on(undecided, later.withColumn("__l", F.lit(True)), [*by, "id"], "left")
-        marked = fresh.withColumn("kept", F.col("__l").isNull()).drop("__l")
-        marked.where("kept").select(*by, "id").write.mode("append").parquet(decided)
-        if later.isEmpty():
+    while True:
+        n = undecided.count()
+        later = None
+        # So few vectors cannot have more pairs than the bound; otherwise pairs are counted.
+        if n * (n - 1) // 2 > max(EDGES_PER_ROW * n, LOCAL_EDGES):
+            later = checkpoint(_flagged(undecided, by, threshold, cell_rows, chunk_rows, "earlier"))
+        if later is None or (later.agg(F.sum("n")).first()[0] or 0) <= EDGES_PER_ROW * n:
+            dropped = first_independent(_edges(undecided, by, threshold, cell_rows, chunk_rows), by)
+            _without(undecided.select(*by, "id"), dropped, [*by, "id"]).write.mode("append").parquet(decided)
             break
-        dropped = _flagged(marked, by, threshold, cell_rows, chunk_rows, "kept")
-        rest = marked.where(~F.col("kept")).drop("kept")
-        undecided = checkpoint(rest.join(dropped, [*by, "id"], "left_anti"))
+        fresh = join_on(undecided, later.select(*by, "id", F.lit(True).alias("__l")), [*by, "id"], "left")
+        marked = checkpoint(fresh.withColumn("kept", F.col("__l").isNull()).drop("__l"))
+        marked.where("kept").select(*by, "id").write.mode("append").parquet(decided)
+        gone = _flagged(marked, by, threshold, cell_rows, chunk_rows, "kept").drop("n")
+        undecided = checkpoint(_without(marked.where(~F.col("kept")).drop("kept"), gone, [*by, "id"]))
     kept = df.sparkSession.read.schema(names).parquet(decided).select(F.col("id").alias(key))
     survivors = pool.join(kept, key, "left_semi")
     if eligible is None:
@@ -317,7 +386,7 @@ def dedup_one_shot(
 ) -> DataFrame:
     """Rows are dropped iff *any* earlier row of the block, kept or not, is too similar."""
     rows = checkpoint(distinct_vectors(df, key, vector, by))
-    later = _flagged(rows, by, threshold, cell_rows, chunk_rows, "earlier")
+    later = _flagged(rows, by, threshold, cell_rows, chunk_rows, "earlier").drop("n")
     kept = rows.join(later, [*by, "id"], "left_anti").select(F.col("id").alias(key))
     return df.join(kept, key, "left_semi")
 

@@ -93,6 +93,40 @@ def test_chain_keeps_alternate_members(spark):
     assert sorted(r.id for r in only.collect()) == [0, 1, 2, 3, 4, 5, 6, 8]
 
 
+def drops_of(edges):
+    dropped = set()
+    for a, b in sorted(edges, key=lambda e: e[1]):
+        if a not in dropped:
+            dropped.add(b)
+    return dropped
+
+
+@pytest.mark.parametrize("local_edges", [1_000_000, 40])
+def test_first_independent_set_of_random_graphs(spark, local_edges):
+    rng = random.Random(6)
+    edges = {(g, *sorted(rng.sample(range(80), 2))) for g in ("a", "b", None) for _ in range(200 if g else 30)}
+    df = spark.createDataFrame(sorted(edges, key=str), "g string, first bigint, second bigint")
+    got = {tuple(r) for r in similarity.first_independent(df, ["g"], local_edges).collect()}
+    assert got == {(g, v) for g in ("a", "b", None) for v in drops_of([(a, b) for x, a, b in edges if x == g])}
+
+
+def test_a_chain_of_ten_thousand_needs_no_rounds(spark):
+    df = spark.range(9999).select(F.lit("x").alias("g"), F.col("id").alias("first"), (F.col("id") + 1).alias("second"))
+    got = similarity.first_independent(df, ["g"])
+    assert sorted(r.id for r in got.collect()) == list(range(1, 10_000, 2))
+
+
+def test_dense_groups_are_thinned_before_pairs_are_listed(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "EDGES_PER_ROW", 2)
+    monkeypatch.setattr(similarity, "LOCAL_EDGES", 10)
+    step = math.acos(0.96)
+    rows = [(i, "a", [math.cos(i * step / 5), math.sin(i * step / 5)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id bigint, block string, v array<double>")
+    kept = {r.id for r in similarity.dedup_greedy(df, "id", "v", ["block"], 0.95).collect()}
+    edges = [(a, b) for a in range(60) for b in range(a + 1, 60) if math.cos((b - a) * step / 5) > 0.95]
+    assert kept == set(range(60)) - drops_of(edges)
+
+
 def skewed(spark, n=3000):
     rows = [(i, "hot" if i % 3 else f"g{i % 7}", (i * 37) % 101 / 7.0 if i % 2 else 5.0) for i in range(n)]
     return rows, spark.createDataFrame(rows, "id bigint, g string, v double").repartition(6)

@@ -2,16 +2,18 @@
 
 Trusted positives are rows labelled 1; unlabelled text is drawn from all training documents. With the class prior p of the web text
 the classifier minimises  p E_pos[l(f)] + max(0, E_unl[l(-f)] - p E_pos[l(-f)])  with the logistic loss; where the second
-term falls below zero, the step goes against it. The prior is estimated from the labels of all training rows: their
-share of positives, smoothed.
+term falls below zero, the step goes against it. The prior is estimated from the positives and the unlabelled rows alone, on halves scored by
+a classifier of the other half: the share of unlabelled rows above a threshold, divided by that of the positives, is never far below
+the prior and comes near it where nothing but positives is left. A lower bound of it is taken (two standard errors on both shares), as a prior that is
+too large lets bad text pass, and more so on few rows.
 
 Features of the whole text are square roots of shares: of pairs of byte classes (a-z, A-Z, digits, non-ASCII, space,
 other white space, each punctuation mark) and of repeated words and lines; lang, source and doc_id are no features. The fit takes at most ``POSITIVES`` positive and ``UNLABELLED`` unlabelled rows (a documented bound, by a hash of
 their key); only their feature vectors come to the driver. Scoring is one map without a shuffle.
 
 Rows: null and empty texts have no pairs and get the score of empty features; a null ``doc_id`` is neither held out nor learned
-from; repeated rows are scored each for itself, and of contradicting labels the larger counts; without any positive the score is the
-prior; an empty table gives no rows; further columns are not read.
+from; repeated rows are scored each for itself, and of contradicting labels the larger counts; without any positive the score is
+0.5; an empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ UNLABELLED = 8192
 FOLDS, HELD_FOLD = 5, 0
 STEPS = 400
 RATE = 0.05
-DECAY = 1e-3
+DECAY = 3e-3
+LEAST_PRIOR, MOST_PRIOR = 0.05, 0.95
 THRESHOLD = 0.3
 SLICE = 1 << 20
 SCALE = 4.0
@@ -105,6 +108,25 @@ def minimise(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     return Model(weights.astype(np.float32), float(w[-1] - mean @ weights), prior)
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """A lower bound of the share of positives among the unlabelled rows."""
+    scores = []
+    for rows in (positive, unlabelled):
+        scores.append(np.empty(len(rows)))
+    half_p, half_u = np.arange(len(positive)) % 2 == 0, np.arange(len(unlabelled)) % 2 == 0
+    for a, b in ((half_p, half_u), (~half_p, ~half_u)):
+        if a.all() or b.all():  # too few rows for two halves
+            return 0.5
+        model = minimise(positive[~a], unlabelled[~b], 0.5)
+        scores[0][a], scores[1][b] = model.scores(positive[a]), model.scores(unlabelled[b])
+    found, every = np.sort(scores[0]), np.sort(scores[1])
+    above_p = 1 - np.arange(len(found)) / len(found)
+    above_u = 1 - np.searchsorted(every, found) / len(every)
+    slack_p, slack_u = 1 / np.sqrt(len(found)), 1 / np.sqrt(len(every))
+    at = ((above_u + slack_u) / above_p).argmin()
+    return float(np.clip((above_u[at] - slack_u) / (above_p[at] + slack_p), LEAST_PRIOR, MOST_PRIOR))
+
+
 def _fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(FOLDS))
 
@@ -114,8 +136,6 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     rows = doc_texts(docs).filter(_fold(F.col("doc_id")) != HELD_FOLD)
     marks = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").alias("q"))
     marks = marks.filter((_fold(F.col("doc_id")) != HELD_FOLD) & F.col("q").isNotNull()).groupBy("doc_id").agg(F.max("q").alias("q"))
-    n, ones = marks.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("q") == 1, 1).otherwise(0)), F.lit(0))).first()
-    prior = (ones + 1) / (n + 2)
     order = (F.xxhash64("doc_id"), "doc_id")
     keys = rows.select("doc_id").distinct()
     trusted = keys.join(marks.filter("q = 1"), "doc_id").orderBy(*order).limit(positives)
@@ -140,12 +160,13 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     got = got.orderBy("doc_id").toArrow()
     positive = got["positive"].to_numpy()
     if not positive.any():
-        return Model(np.zeros(WIDTH, np.float32), float(np.log(prior / (1 - prior))), prior)
+        return Model(np.zeros(WIDTH, np.float32), 0.0, 0.5)
     background = ~got["only_positive"].to_numpy()
     vectors = np.stack([np.frombuffer(v.as_buffer(), np.float16) for v in got["vector"]])
     # Most class pairs never occur: only those that do are fitted, the others keep the weight 0.
     used = vectors.any(axis=0)
     vectors = vectors[:, used].astype(np.float32)
+    prior = class_prior(vectors[positive], vectors[background])
     fitted = minimise(vectors[positive], vectors[background], prior)
     weights = np.zeros(WIDTH, np.float32)
     weights[used] = fitted.weights

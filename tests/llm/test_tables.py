@@ -1,5 +1,6 @@
 """Operators on pairs, shards and vectors, and the pipeline, against brute force."""
 
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -199,6 +200,15 @@ def test_contract_columns(spark):
     assert all(r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) for r in rows)
 
 
+def plain_near(texts):
+    """Least index of the component of each text, by five-word sets and Jaccard similarity."""
+    sets = []
+    for text in texts:
+        w = [x for x in re.split("[\x20\x09-\x0d]+", "".join(c.lower() if c.isascii() else c for c in text or "")) if x]
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    return plain_components(sets, lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b))
+
+
 def test_pipeline_stages_by_brute_force(spark):
     import corpus_pipeline as pipeline
 
@@ -215,9 +225,8 @@ def test_pipeline_stages_by_brute_force(spark):
     assert all(d in kept for d, q in labels.items() if q == 1)
     assert sum(d in kept for d, q in labels.items() if q == 0) <= 0.2 * sum(q == 0 for q in labels.values())
     rows = good.collect()
-    roots = plain_components([plain_fingerprint(r.text) for r in rows], lambda a, b: (a ^ b).bit_count() <= 3)
     least = {}
-    for r, root in zip(rows, roots, strict=True):
+    for r, root in zip(rows, plain_near([r.text for r in rows]), strict=True):
         least[root] = min(least.get(root, r.doc_id), r.doc_id)
     unique = stage["simhash_near_dedup"](spark, good, SF)
     assert sorted(r.doc_id for r in unique.collect()) == sorted(least.values())
@@ -227,3 +236,37 @@ def test_pipeline_stages_by_brute_force(spark):
     whole = pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in whole} == set(least.values()) - dirty
     assert sum(r.length for r in whole) == sum({r.doc_id: r.doc_tokens for r in whole}.values())
+
+
+def test_pipeline_on_edge_rows_and_an_empty_table(spark, edge_docs, no_docs):
+    import corpus_pipeline as pipeline
+
+    for docs in (edge_docs, no_docs):
+        columns = docs.columns
+        for name, stage in pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, SF)
+            assert docs.columns == columns, name
+        pieces = pipeline.STAGES[-1][1](spark, docs, SF).collect()
+        assert sorted({r.doc_id for r in pieces}, key=str) == sorted({r.doc_id for r in docs.collect()}, key=str)
+
+
+# ---- ties of the nearest neighbours ----------------------------------------------------------------
+
+
+def test_equal_scores_go_to_the_smaller_id(spark):
+    """Sixty vectors with one product with the query: the twenty least ids."""
+    rows = [(0, [1.0, 0.0])] + [(k, [0.5, 0.01 * k]) for k in range(1, 61)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = nearest.nearest(table, table.select("vec_id").filter("vec_id = 0")).collect()
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"])] == list(range(1, 21))
+
+
+def test_binary_vectors_with_many_ties(spark):
+    rng = np.random.default_rng(8)
+    bits = rng.integers(0, 2, (1500, 64)).astype(float)
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(bits)], "vec_id bigint, embedding array<double>")
+    got = defaultdict(list)
+    for r in sorted(nearest.nearest(table, table.select("vec_id").filter("vec_id % 75 = 0")).collect(), key=lambda r: r["rank"]):
+        got[r.query_id].append(r.vec_id)
+    expected = exact_nearest(range(1500), dict(enumerate(bits)), range(0, 1500, 75))
+    assert np.mean([len(set(got[q]) & set(e)) / 20 for q, e in expected.items()]) >= 0.9

@@ -17,6 +17,7 @@ _WORD_BYTES = bytes(
     for b in range(256)
 )
 _LOWER_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+BATCH_ROWS = 1024
 TEXTS = 128  # texts of a batch that are Python objects at once
 
 
@@ -56,10 +57,18 @@ def utf8(batch: pa.RecordBatch) -> list[bytes]:
     return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
 
 
+def _short_batches(spark: SparkSession) -> None:
+    """Rows are whole texts, so the session's Arrow batches, which Spark bounds by rows, get at most ``BATCH_ROWS`` of them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def map_batches(
     df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str
 ) -> DataFrame:
     """``mapInArrow``: batches in, batches out, inside the tasks that read the rows."""
+    _short_batches(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 
@@ -74,6 +83,8 @@ def text_filter(docs: DataFrame, accepts: Callable[[], Callable[[list[bytes]], l
     ``accepts`` makes, once in a task, the function from some texts (UTF-8, null as empty) to what is accepted.
     """
 
+    _short_batches(docs.sparkSession)
+
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         decide = accepts()
         for part in parts:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,25 +52,54 @@ def vocabulary(df: DataFrame, text: str, max_terms: int = 10_000, largest: int =
     return sums.orderBy(F.desc("total"), "term").limit(max_terms)
 
 
-def tfidf(
-    train: DataFrame, other: DataFrame, key: str, text: str, max_terms: int = 10_000, largest: int = 2
-) -> DataFrame:
-    """M1/M2: (key, term, weight) of ``other`` under a vocabulary fitted on ``train`` only.
+def weighed(
+    train: DataFrame, rows: DataFrame, keep: list[str], text: str, max_terms: int = 10_000, largest: int = 2, named: bool = False
+) -> tuple[DataFrame, int]:
+    """M1/M2: (keep..., indices, values), the TF-IDF weights of each row's text under a vocabulary fitted on ``train``, and the number of terms.
 
-    Weight = (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1), scaled to unit length per document.
-    The vocabulary has at most ``max_terms`` rows, so it is broadcast; documents are never.
+    With ``named``: (keep..., term, weight), a row per term. Weight = (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1), scaled to unit
+    length. Terms are cut by Spark's own expressions; they are counted, looked up, weighed and scaled inside their row, in Arrow
+    batches, so nothing is shuffled. What is broadcast is the vocabulary, at most ``max_terms`` terms.
     """
     n_docs = train.count()
-    terms = lookup(vocabulary(train, text, max_terms, largest), max_rows=max_terms)
-    idf = F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1
-    weighted = (
-        term_counts(other, [key], text, largest)
-        .join(terms.select("term", idf.alias("idf")), "term")
-        .select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("raw"))
-    )
-    # One document's terms: bounded by the vocabulary.
-    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
-    return weighted.select(key, "term", (F.col("raw") / length).alias("weight"))
+    terms = [(r["term"], math.log((1 + n_docs) / (1 + r["df"])) + 1) for r in vocabulary(train, text, max_terms, largest).collect()]
+    terms.sort()
+    place = {term: k for k, (term, _) in enumerate(terms)}
+    shared = train.sparkSession.sparkContext.broadcast((place, np.array([idf for _, idf in terms])))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, idf = shared.value
+        names = pa.array(list(place), pa.string())
+        for batch in batches:
+            part = batch.column("__terms")
+            found = part.flatten().dictionary_encode()
+            known = np.fromiter((place.get(t, -1) for t in found.dictionary.to_pylist()), np.int64, len(found.dictionary))
+            index = known[found.indices.to_numpy()] if len(found) else known
+            row = np.repeat(np.arange(len(part)), np.diff(part.offsets.to_numpy()))
+            # One entry for each known term of a row, in the order of rows and terms.
+            pairs, tf = np.unique((row * len(place) + index)[index >= 0], return_counts=True)
+            row, index = np.divmod(pairs, max(1, len(place)))
+            raw = (1 + np.log(tf)) * idf[index]
+            raw /= np.sqrt(np.bincount(row, raw**2, len(part)))[row]
+            if named:
+                kept = [batch.column(c).take(pa.array(row)) for c in keep]
+                yield pa.RecordBatch.from_arrays([*kept, names.take(pa.array(index)), pa.array(raw)], [*keep, "term", "weight"])
+                continue
+            offsets = pa.array(np.append(0, np.cumsum(np.bincount(row, minlength=len(part)))), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (index.astype(np.int32), raw)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *lists], [*keep, "indices", "values"])
+
+    slim = rows.select(*keep, ngrams(F.coalesce(F.col(text), F.lit("")), largest).alias("__terms"))
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*keep).schema)
+    more = "term string, weight double" if named else "indices array<int>, values array<double>"
+    return slim.mapInArrow(weigh, fields + more), len(terms)
+
+
+def tfidf(
+    train: DataFrame, other: DataFrame, key: str, text: str, max_terms: int = 10_000, largest: int = 2
+) -> DataFrame:
+    """M1/M2: (key, term, weight) of ``other`` under a vocabulary fitted on ``train`` only; see ``weighed``."""
+    return weighed(train, other, [key], text, max_terms, largest, named=True)[0]
 
 
 def class_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:

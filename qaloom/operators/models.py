@@ -28,13 +28,13 @@ from pyspark.ml.feature import (
     StringIndexerModel,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from qaloom.functions import draws
 from qaloom.functions.text import mask_digits
-from qaloom.operators import calibration, metrics
-from qaloom.operators.features import TERM, class_weights, embedding_vector, ngrams
+from qaloom.operators import calibration, linear, metrics
+from qaloom.operators.features import TERM, class_weights, embedding_vector, ngrams, weighed
 from qaloom.session import checkpoint
 
 
@@ -198,8 +198,8 @@ def fit_platt(
                 share[i] /= 2.0
                 moved = max(moved, tolerance if share[i] < 1e-6 else 1.0)
         if moved <= tolerance * max(1, n):
-            break
-    return params
+            return params
+    raise ValueError(f"the sigmoid fit did not converge in {rounds} rounds")
 
 
 def apply_platt(scored: DataFrame, fits: list[tuple[float, float]], labels: list[str]) -> DataFrame:
@@ -307,6 +307,108 @@ def cross_validated(df: DataFrame, key: str, label: str, grid: dict[str, dict],
     )
 
 
+def text_rows(
+    train: DataFrame, rows: DataFrame, label: str, text: str = "prompt", max_terms: int = 10_000, largest: int = 2, mask: bool = True
+) -> tuple[DataFrame, int, list[str]]:
+    """``rows`` with TF-IDF features for ``linear`` (indices, values, label number), the number of features, and the classes.
+
+    The vocabulary, its weights and the classes are those of ``train``; rows of other classes are left out.
+    """
+    def masked(df: DataFrame) -> DataFrame:
+        return df.withColumn("__text", mask_digits(F.col(text)) if mask else F.col(text))
+
+    labels = _classes(train, label)
+    keep = [c for c in rows.columns if c not in (text, "indices", "values", "label", "__text")]
+    found, n = weighed(masked(train), masked(rows), keep, "__text", max_terms, largest)
+    return _numbered(found, label, labels), n, labels
+
+
+def vector_rows(train: DataFrame, rows: DataFrame, label: str, vector: str = "embedding") -> tuple[DataFrame, int, list[str]]:
+    """The same from an embedding column, scaled to unit length."""
+    n = train.select(F.size(vector)).first()[0]
+    length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    values = F.transform(vector, lambda x: F.when(length > 0, x / length).otherwise(0.0))
+    labels = _classes(train, label)
+    found = rows.withColumns({"indices": F.sequence(F.lit(0), F.lit(n - 1)), "values": values})
+    return _numbered(found, label, labels), n, labels
+
+
+def _classes(df: DataFrame, label: str) -> list[str]:
+    return sorted(r[0] for r in df.select(label).where(F.col(label).isNotNull()).distinct().collect())
+
+
+def _numbered(rows: DataFrame, label: str, labels: list[str]) -> DataFrame:
+    number = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(label)).cast("int") - 1
+    return rows.where(F.col(label).isin(labels)).withColumn("label", number)
+
+
+def linear_predictions(
+    rows: DataFrame, models: dict[str, linear.Linear], labels: list[str], keep: list[str], subset: dict[str, str] | None = None
+) -> DataFrame:
+    """(model, keep..., prediction, scores) of linear models."""
+    found = linear.predict_all(rows, models, keep, subset)
+    return found.withColumn("prediction", F.get(F.array(*[F.lit(x) for x in labels]), F.col("class"))).drop("class")
+
+
+def linear_grid(
+    rows: DataFrame, n: int, labels: list[str], key: str, label: str, grid: dict[str, tuple[str, float]],
+    folds: int = 5, train: str = "train", test: str = "test", balanced: bool = True,
+) -> DataFrame:
+    """Every (loss, C) of the grid in ``folds`` folds of the rows marked ``train``, and once on all of them for those marked ``test``.
+
+    All fits are taken together, so a step of the whole grid is one pass over the rows. One row per grid entry: mean and spread
+    of macro-F1 over the folds, macro-F1 and accuracy on the test rows, and whether the entry is the best of its loss.
+    """
+    fold = (draws.draw("cv", F.col(key)) % folds).cast("int")
+    rows = linear.with_folds(rows, fold, folds)
+    for i in range(folds):
+        rows = rows.withColumns({f"in{i}": F.col(train) & F.col(f"in{i}"), f"out{i}": F.col(train) & F.col(f"out{i}")})
+    rows = checkpoint(rows)
+    fits, scored = {}, {}
+    for name, (loss, c) in grid.items():
+        for i in range(folds):
+            fits[f"{name}#{i}"], scored[f"{name}#{i}"] = linear.Fit(loss, c, f"in{i}", balanced), f"out{i}"
+        fits[f"{name}#test"], scored[f"{name}#test"] = linear.Fit(loss, c, train, balanced), test
+    models = linear.fit_all(rows, n, len(labels), fits)
+    found = linear_predictions(rows, models, labels, [key, label], scored)
+    parts = F.split("model", "#")
+    found = found.select(F.get(parts, F.lit(0)).alias("model"), F.get(parts, F.lit(1)).alias("fold"), label, "prediction")
+    scores = metrics.overall_scores(metrics.class_scores(found, label, "prediction", ["model", "fold"]), ["model", "fold"])
+    cv, whole = F.col("fold") != "test", F.col("fold") == "test"
+    out = scores.groupBy("model").agg(
+        F.count_if(cv).alias("n_folds"),
+        F.avg(F.when(cv, F.col("macro_f1"))).alias("mean_macro_f1"),
+        F.stddev_pop(F.when(cv, F.col("macro_f1"))).alias("std_macro_f1"),
+        F.max(F.when(whole, F.col("macro_f1"))).alias("test_macro_f1"),
+        F.max(F.when(whole, F.col("accuracy"))).alias("test_accuracy"),
+    )
+    told = out.sparkSession.createDataFrame(
+        [(name, loss, float(c), bool(models[f"{name}#test"].converged)) for name, (loss, c) in grid.items()],
+        "model string, loss string, c double, converged boolean",
+    )
+    out = out.join(F.broadcast(told), "model")
+    best = Window.partitionBy("loss").orderBy(F.desc("mean_macro_f1"), "c")  # a row per grid entry
+    return out.withColumn("best", F.row_number().over(best) == 1)
+
+
+def linear_family_out(
+    df: DataFrame, key: str, category: str, family: str, symbolic: list[str], losses: tuple[str, ...] = ("logistic", "svm"), text: str = "prompt", min_test: int = 5
+) -> DataFrame:
+    """Accuracy on each held-out family of linear models trained on everything else; the fits of all folds are taken together."""
+    folds = [(r[0], r["held_out"]) for r in family_folds(df, category, family, symbolic, min_test).select(category, "held_out").collect()]
+    if not folds:
+        raise ValueError("no category has two families of sufficient size")
+    rows, n, labels = text_rows(df, df.withColumn("__family", F.col(family)), category, text)
+    held = [(F.col(category) == c) & F.coalesce(F.col("__family") == f, F.lit(False)) for c, f in folds]
+    rows = checkpoint(rows.withColumns({f"in{i}": ~h for i, h in enumerate(held)} | {f"out{i}": h for i, h in enumerate(held)}))
+    fits = {f"{loss}#{i}": linear.Fit(loss, 1.0, f"in{i}") for i in range(len(folds)) for loss in losses}
+    models = linear.fit_all(rows, n, len(labels), fits)
+    found = linear_predictions(rows, models, labels, [category, "__family"], {name: f"out{name.split('#')[1]}" for name in fits})
+    out = found.groupBy(category, F.col("__family").alias("held_out"), F.get(F.split("model", "#"), F.lit(0)).alias("model"))
+    ok = (F.col(category) == F.col("prediction")).cast("int")
+    return out.agg(F.count(F.lit(1)).alias("n_test"), F.avg(ok).alias("accuracy"))
+
+
 def family_folds(df: DataFrame, category: str, family: str, symbolic: list[str], min_test: int = 5) -> DataFrame:
     """The leave-one-family-out folds with their sizes; rows are counted, never repeated."""
     counts = df.groupBy(category, family).agg(F.count(F.lit(1)).alias("n"))

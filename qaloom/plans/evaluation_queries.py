@@ -645,6 +645,36 @@ def s9(spark, sf):
     return _rounded(_around(out, "kappa").select("lang", "kappa", "inside"), ["kappa"])
 
 
+# The intervals themselves: no SQL, as draws differ between engines; tests hold the bounds against resampled rows.
+
+
+@query("s5_mean_interval")
+def s5_interval(spark, sf):
+    long = metrics.to_long(T.labelled_documents(spark, sf), [], T.SYSTEMS)
+    return bootstrap.mean_interval(long, ["system"], "correct", _REPLICATES)
+
+
+@query("s6_category_interval")
+def s6_interval(spark, sf):
+    long = metrics.to_long(T.labelled_documents(spark, sf), ["lang"], T.SYSTEMS)
+    return bootstrap.mean_interval(long, ["system", "lang"], "correct", _REPLICATES, min_n=2)
+
+
+@query("s7_f1_interval")
+def s7_interval(spark, sf):
+    return bootstrap.macro_f1_interval(_language_guesses(spark, sf), ["system"], "lang", "p", _F1_REPLICATES)
+
+
+@query("s7_class_f1_interval")
+def s7_class_interval(spark, sf):
+    return bootstrap.class_f1_interval(_language_guesses(spark, sf), ["system"], "lang", "p", _F1_REPLICATES)
+
+
+@query("s9_kappa_interval")
+def s9_interval(spark, sf):
+    return bootstrap.kappa_interval(_raters(spark, sf), "a", "b", ["lang"], _REPLICATES)
+
+
 # ---- calibration and abstention -------------------------------------------------------------
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from qaloom.functions import text
-from qaloom.operators import calibration, curation, features, metrics, models
+from qaloom.operators import calibration, curation, features, linear, metrics, models
 from qaloom.plans import sql as Q
 from qaloom.plans import tables as T
 from qaloom.plans.registry import query
@@ -79,9 +80,19 @@ def m4_weights(spark, sf):
     return rows.groupBy("lang", F.round("weight", 6).alias("weight")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _linear_scores(spark, sf, loss):
+    """Scores of one linear model on the test documents: TF-IDF with sublinear, smoothed weights."""
+    train, _, test = _documents(spark, sf)
+    marked = train.withColumn("train", F.lit(True)).unionByName(test.withColumn("train", F.lit(False)))
+    rows, n, labels = models.text_rows(train, marked, "lang")
+    fits = linear.fit_all(rows.where("train"), n, len(labels), {loss: linear.Fit(loss)})
+    scored = models.linear_predictions(rows.where("NOT train"), fits, labels, ["doc_id", "lang"])
+    return metrics.class_scores(scored, "lang", "prediction").drop("tp")
+
+
 @query("m4_logreg_text")
 def m4(spark, sf):
-    return _text_scores(spark, sf, "logistic")
+    return _linear_scores(spark, sf, "logistic")
 
 
 @query("m4_logreg_embedding")
@@ -91,7 +102,7 @@ def m4_embedding(spark, sf):
 
 @query("m5_svm")
 def m5(spark, sf):
-    return _text_scores(spark, sf, "svm")
+    return _linear_scores(spark, sf, "svm")
 
 
 @query("m6_bayes_model")
@@ -163,29 +174,52 @@ def m12(spark, sf):
     return models.benchmark(train, {"test": test, "holdout": noisy}, "id", "category", specs)
 
 
+def _split_marks(rows, key, label):
+    rows = curation.stratified_split(rows, label, key)
+    return checkpoint(rows.withColumns({"train": F.col("split") == "train", "test": F.col("split") == "test"}).drop("split"))
+
+
 @query("m13_grid")
 def m13(spark, sf):
-    train, _, _ = _vectors(spark, sf)
-    grid = {f"r{r:g}": {"kind": "logistic", "regularisation": r} for r in [0.001, 0.1]}
-    return models.cross_validated(train, "vec_id", "class", grid, 5, "embedding", "embedding")
+    """Logistic models and SVMs on texts, logistic models on vectors: all of each grid, five folds and the test rows."""
+    docs = _split_marks(T.documents(spark, sf).select("doc_id", "text", "lang").withColumnRenamed("text", "prompt"), "doc_id", "lang")
+    rows, n, labels = models.text_rows(docs.where("train"), docs, "lang")
+    grid = {f"text_{loss}_{c:g}": (loss, c) for loss in ("logistic", "svm") for c in (0.1, 0.3, 1.0, 3.0, 10.0)}
+    texts = models.linear_grid(rows, n, labels, "doc_id", "lang", grid)
+    vectors = T.table(spark, sf, "embeddings").select("vec_id", "embedding", F.concat(F.lit("c"), "label").alias("class"))
+    vectors = _split_marks(vectors.withColumnRenamed("class", "kind"), "vec_id", "kind")
+    rows, n, labels = models.vector_rows(vectors.where("train"), vectors, "kind")
+    grid = {f"vector_logistic_{c:g}": ("logistic", c) for c in (0.1, 0.3, 1.0, 3.0, 10.0, 30.0)}
+    return texts.unionByName(models.linear_grid(rows, n, labels, "vec_id", "kind", grid))
 
 
 @query("m14_separability")
 def m14(spark, sf):
-    train, _, _ = _documents(spark, sf)
-    grid = {"bigram": {"kind": "bayes"}, "unigram": {"kind": "bayes", "largest": 1, "max_terms": 5000}}
-    return models.cross_validated(train, "doc_id", "lang", grid, 5)
+    """Five folds over all documents: logistic models on words and word pairs, and on 5,000 words alone."""
+    docs = T.documents(spark, sf).select("doc_id", "lang", F.col("text").alias("prompt"), F.lit(True).alias("train"), F.lit(True).alias("test"))
+    out = None
+    for name, shape in {"bigram": {}, "unigram": {"max_terms": 5000, "largest": 1}}.items():
+        rows, n, labels = models.text_rows(docs, docs, "lang", mask=False, **shape)
+        part = models.linear_grid(rows, n, labels, "doc_id", "lang", {name: ("logistic", 1.0)}, balanced=False)
+        part = part.select("model", "n_folds", "mean_macro_f1", "std_macro_f1")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("m15_noise_mix")
 def m15(spark, sf):
+    """SVM and logistic model trained on all, on clean and on noisy prompts, and their distance to the model of all."""
     train, _, test = _prompts(spark, sf, noisy=True)
-    specs = {
-        "mixed": {"kind": "bayes"},
-        "clean_only": {"kind": "bayes", "rows": F.col("noise") == "none"},
-        "noisy_only": {"kind": "bayes", "rows": F.col("noise") != "none"},
-    }
-    return models.benchmark(train, {"test": test}, "id", "category", specs)
+    out = None
+    for name, part in {"mixed": train, "clean_only": train.where("noise = 'none'"), "noisy_only": train.where("noise <> 'none'")}.items():
+        rows, n, labels = models.text_rows(part, part.withColumn("fit", F.lit(True)).unionByName(test.withColumn("fit", F.lit(False))), "category")
+        fits = linear.fit_all(rows.where("fit"), n, len(labels), {loss: linear.Fit(loss) for loss in ("svm", "logistic")})
+        found = models.linear_predictions(rows.where("NOT fit"), fits, labels, ["category"])
+        scores = metrics.overall_scores(metrics.class_scores(found, "category", "prediction", ["model"]), ["model"])
+        scores = scores.select(F.lit(name).alias("subset"), "model", "n", "accuracy", "macro_f1")
+        out = scores if out is None else out.unionByName(scores)
+    whole = Window.partitionBy("model")  # three rows a model
+    return out.withColumn("delta", F.col("macro_f1") - F.max(F.when(F.col("subset") == "mixed", F.col("macro_f1"))).over(whole))
 
 
 @query("m17_stored_model")
@@ -216,3 +250,9 @@ def p15(spark, sf):
 def p15_out(spark, sf):
     rows = checkpoint(_with_family(spark, sf))
     return models.family_out(rows, "id", "category", "family", SYMBOLIC, kind="bayes")
+
+
+@query("p15_linear_family_out")
+def p15_linear(spark, sf):
+    rows = checkpoint(_with_family(spark, sf))
+    return models.linear_family_out(rows, "id", "category", "family", SYMBOLIC)

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from qaloom.operators import bootstrap, metrics
+from qaloom.plans import catalogue
 from qaloom.plans import evaluation_queries as queries
 
 RNG = np.random.default_rng(8)
@@ -59,3 +60,14 @@ def test_a_useless_width_is_not_inside(rows):
         assert not any(r.inside for r in queries._around(point, name).collect())
     good = values["macro_f1"].withColumns({"ci_lo": F.lit(float(low)), "ci_hi": F.lit(float(high))})
     assert queries._around(good, "macro_f1").first().inside
+
+
+def test_interval_queries_return_their_bounds(spark):
+    sf = "/root/testdata/sf0.001"
+    for name, value in {
+        "s5_mean_interval": "accuracy", "s6_category_interval": "accuracy", "s7_f1_interval": "macro_f1",
+        "s7_class_f1_interval": "f1", "s9_kappa_interval": "kappa",
+    }.items():
+        rows = catalogue.QUERIES[name](spark, sf).collect()
+        assert rows and all(r.ci_lo is None or -1 <= r.ci_lo <= r.ci_hi <= 1 for r in rows), name
+        assert any(r.ci_lo is not None and r.ci_lo <= r[value] <= r.ci_hi for r in rows), name

@@ -22,7 +22,6 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -186,14 +185,14 @@ def follow(left: np.ndarray, right: np.ndarray | None, depth: int, err: int) ->
     return every[np.concatenate(links)] if links else np.zeros((0, 2), np.uint64)
 
 
-def _join_subtrees(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    depth, a, b, err = key
+def _join_subtrees(key: tuple, rows: pa.Table) -> pa.Table:
+    depth, a, b, err = (k.as_py() for k in key)
     keys = rows["key"].to_numpy().astype(np.int64).view(np.uint64)
     side = rows["side"].to_numpy()
     left = np.sort(keys[side == 0])
     right = None if a == b else np.sort(keys[side == 1])
-    links = follow(left, right, int(depth), int(err)).view(np.int64)
-    return pd.DataFrame({"u": links[:, 0], "v": links[:, 1]})
+    links = follow(left, right, depth, err).view(np.int64)
+    return pa.table({"u": links[:, 0], "v": links[:, 1]})
 
 
 def _trie_links(keys: DataFrame, leaf: int) -> DataFrame:
@@ -208,7 +207,7 @@ def _trie_links(keys: DataFrame, leaf: int) -> DataFrame:
     rows = sides[0]
     for more in sides[1:]:
         rows = rows.unionByName(more)
-    return rows.groupBy("depth", "a", "b", "err").applyInPandas(_join_subtrees, "u bigint, v bigint")
+    return rows.groupBy("depth", "a", "b", "err").applyInArrow(_join_subtrees, "u bigint, v bigint")
 
 
 def links(distinct: DataFrame, leaf: int = LEAF) -> DataFrame:

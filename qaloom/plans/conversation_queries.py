@@ -282,7 +282,7 @@ def _request_sql(kind: str) -> str:
 
 
 _JUDGED = f"""{_SCRIPT},
-judged AS (SELECT conv_id, transcript, b.text AS item FROM scripts JOIN benchmark b ON b.item_id = conv_id)"""
+judged AS (SELECT conv_id, transcript, coalesce(b.text, '') AS item FROM scripts LEFT JOIN benchmark b ON b.item_id = conv_id % (SELECT max(item_id) + 1 FROM benchmark))"""
 
 
 @query(
@@ -292,8 +292,11 @@ judged AS (SELECT conv_id, transcript, b.text AS item FROM scripts JOIN benchmar
     'm:baseline_binary:' || substr(sha256('m|' || item || '|' || transcript || '|baseline_binary'), 1, 20) AS long_key FROM judged""",
 )
 def b17(spark, sf):
-    items = T.table(spark, sf, "benchmark").select(F.col("item_id").alias("conv_id"), F.col("text").alias("item"))
-    rows = b16(spark, sf).join(items, "conv_id")
+    """One request per conversation and frame: the items are dealt to all conversations in turn."""
+    items = T.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"))
+    last = items.agg((F.max("item_id") + 1).alias("__items"))  # one row
+    rows = b16(spark, sf).join(F.broadcast(last)).withColumn("item_id", F.col("conv_id") % F.col("__items"))
+    rows = rows.join(items, "item_id", "left").withColumn("item", F.coalesce("item", F.lit("")))
     script, item = F.col("transcript"), F.col("item")
     requests = [
         F.md5(text.judge_request(kind, script, item)["user"]).alias(f"{kind}_request")

@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest aggregate that may be broadcast, in rows and in bytes of its checkpointed form.
+# Largest aggregate that may be broadcast, in rows and in measured bytes.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -50,13 +50,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def lookup(df: DataFrame, max_rows: int = BROADCAST_ROWS, row_bytes: int = 128) -> DataFrame:
+def lookup(df: DataFrame, max_rows: int = BROADCAST_ROWS, row_bytes: int = 64) -> DataFrame:
     """Materialise an aggregate that is joined back to its input, and broadcast it only if small.
 
-    The aggregate is checkpointed and counted first. Up to ``max_rows`` rows (fewer for wide rows)
-    it is marked for broadcast, so the big side is not shuffled; beyond that it is left to a
-    shuffled join, where adaptive execution splits hot keys.
+    The aggregate is checkpointed first, and its rows and bytes are measured (as JSON, plus ``row_bytes``
+    for a row's own overhead and its fixed-width values). Up to ``max_rows`` rows and ``BROADCAST_BYTES`` bytes it is marked for broadcast, so the big side is
+    not shuffled; beyond that it is left to a shuffled join, where adaptive execution splits hot keys.
     """
     done = checkpoint(df)
-    bound = min(max_rows, BROADCAST_BYTES // row_bytes)
-    return F.broadcast(done) if done.limit(bound + 1).count() <= bound else done
+    length = F.octet_length(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))
+    rows, size = done.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(length)).first()
+    return F.broadcast(done) if rows <= max_rows and (size or 0) + rows * row_bytes <= BROADCAST_BYTES else done

@@ -185,6 +185,18 @@ def test_percentiles_order_no_values(spark):
     assert ranking.percentiles(df, ["g"], "v", {"m": 0.5}).first().m == pytest.approx((math.sqrt(1_099_999) + math.sqrt(1_100_000)) / 2, abs=1e-12)
 
 
+def test_broadcasts_are_measured(spark, monkeypatch):
+    from qaloom import session
+
+    def broadcast(df):
+        return "broadcast" in session.lookup(df, 100)._jdf.queryExecution().analyzed().toString().lower()
+
+    wide = spark.range(50).select("id", F.repeat(F.lit("x"), 1000).alias("t"), F.lit(None).cast("string").alias("n"), F.array("id").alias("a"))
+    assert broadcast(wide) and broadcast(wide.limit(0)) and not broadcast(spark.range(101).toDF("id"))
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 40_000)
+    assert not broadcast(wide) and broadcast(wide.drop("t"))
+
+
 def test_split_sizes_are_exact(spark):
     rows, df = skewed(spark)
     split = curation.stratified_split(df, "g", "id")

@@ -76,11 +76,12 @@ class ChunkIds(Cache):
     RULE = r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     WORD_END = "</w>"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHED):
         import regex
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.entries = entries
         self.cut = regex.compile(self.RULE).findall
         self.tokenizer = Tokenizer.from_file(path)
         self.pretokens = Cache()
@@ -127,8 +128,8 @@ class ChunkIds(Cache):
         """The ids of each text of a group."""
         parts = [None if any(c in text for c in _UNEQUAL_SPACES) else text.split() for text in texts]
         chunks = set().union(*(p for p in parts if p))
-        self.turn()
-        self.pretokens.turn()
+        self.turn(self.entries)
+        self.pretokens.turn(self.entries)
         new = list(filterfalse(self.__contains__, chunks))
         self.update((c, self.old[c]) for c in new if c in self.old)
         long = self.learn(list(filterfalse(self.__contains__, new)))
@@ -136,14 +137,14 @@ class ChunkIds(Cache):
         return [self.encode(text) if p is None else b"".join(map(one, p)) for text, p in zip(texts, parts, strict=True)]
 
 
-_chunks: dict[str, ChunkIds] = {}
+_chunks: dict[tuple[str, int], ChunkIds] = {}
 
 
-def chunk_ids(path: str) -> ChunkIds:
+def chunk_ids(path: str, entries: int = CACHED) -> ChunkIds:
     """The worker's own cache for a tokenizer file; it lives on from task to task."""
-    if path not in _chunks:
-        _chunks[path] = ChunkIds(path)
-    return _chunks[path]
+    if (path, entries) not in _chunks:
+        _chunks[path, entries] = ChunkIds(path, entries)
+    return _chunks[path, entries]
 
 
 class Bins:
@@ -249,11 +250,13 @@ def pack(
     max_loss: int | None = None,
     prompt_tokens: str | None = None,
     end_id: int = END_ID,
+    cached: int = CACHED,
 ) -> DataFrame:
     """Pieces of all documents with their ids and their place in a sequence.
 
     ``tokenizer`` is the path of a tokenizer file with the rule of ``ChunkIds``. ``prompt_tokens`` names a column
-    with the number of leading ids of a document that bear no loss (null: none). ``max_loss`` limits the others.
+    with the number of leading ids of a document that bear no loss (null: none). ``max_loss`` limits the others. ``cached``: entries of one
+    generation of a worker's caches, which cost memory and save time.
     """
     limits = (max_tokens, max_segments, max_tokens if max_loss is None else max_loss)
     if min(limits) < 1:
@@ -264,7 +267,7 @@ def pack(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = chunk_ids(tokenizer)
+        chunks = chunk_ids(tokenizer, cached)
         end = np.asarray([end_id], "<u4").tobytes()
         bins = Bins(TaskContext.get().partitionId() << 40, limits)
         for batch in batches:

@@ -42,7 +42,7 @@ def test_all_fits_reach_their_own_minimum(spark, monkeypatch):
     x, y, df = table(spark)
     fits = {f"{loss}{c}{rows}{b}": linear.Fit(loss, c, rows, b) for loss in ("logistic", "svm") for c in (0.1, 3.0) for rows in (None, "most") for b in (True, False)}
     together = linear.fit_all(df, 6, 3, fits, tolerance=1e-6)
-    monkeypatch.setattr(linear, "MATRIX", 7 * 3 * 5)  # groups of five
+    monkeypatch.setattr(linear, "MATRIX", 7 * 3 * 5)  # groups of five, partial sums merged by Spark
     monkeypatch.setattr(linear, "DENSE", 20)
     assert all(np.allclose(m.weights, together[name].weights, atol=1e-4) for name, m in linear.fit_all(df, 6, 3, fits, tolerance=1e-6).items())
     for name, fit in fits.items():
@@ -59,6 +59,12 @@ def test_all_fits_reach_their_own_minimum(spark, monkeypatch):
             assert objective(fit, x[use], y[use], 3, w + step) > best
 
 
+def test_no_rows_leave_the_weights_at_zero(spark):
+    _, _, df = table(spark)
+    empty = linear.fit_all(df.limit(0), 6, 3, {"a": linear.Fit("svm")})["a"]
+    assert empty.converged and not empty.weights.any()
+
+
 def test_a_fit_that_is_cut_short_says_so(spark):
     _, _, df = table(spark)
     with pytest.warns(UserWarning, match="did not converge"):

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qaloom.llm import simhash
-from qaloom.llm.common import doc_texts, map_batches, spaced_words, stored, utf8
+from qaloom.llm.common import batches_of, doc_texts, map_batches, spaced_words, stored, utf8
 from qaloom.llm.components import components
 from qaloom.session import lookup
 
@@ -40,7 +40,8 @@ BANDS, ROWS = 20, 5
 SEED = 42
 SLICE = 65_536  # shingles hashed at once
 BLOCK = 4_096  # hashes that are permuted at once
-TEXTS = 256  # texts whose sets a task holds at once
+TEXTS = 64  # texts whose sets a task holds at once
+SETS = 32  # pairs of whole sets in a batch: a set is as large as its text, whatever that is
 MET = 256  # pairs of one node a task is given in one piece
 _DRAWS = np.random.Generator(np.random.Philox(SEED)).integers(0, 1 << 32, (2, BANDS * ROWS, 1), np.uint32)
 _TURNED, _FACTORS = _DRAWS[0], _DRAWS[1] | np.uint32(1)
@@ -170,7 +171,9 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     pairs = stored(pairs, "near-pairs")
     met = _beside(_beside(pairs, "u", sets), "v", sets).select("u", "v", "hashes_u", "hashes_v")
-    return stored(map_batches(met, run, "u bigint, v bigint"), "near-links")
+    found = map_batches(met, run, "u bigint, v bigint")
+    with batches_of(pairs.sparkSession, SETS):
+        return stored(found, "near-links")
 
 
 def _near_size(a: str, b: str) -> Column:

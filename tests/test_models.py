@@ -77,3 +77,13 @@ def test_ngrams_of_short_texts(spark):
     rows = spark.createDataFrame([("One two three",), ("one",), ("",)], "t string")
     got = [r[0] for r in rows.select(features.ngrams(F.col("t"), 2)).collect()]
     assert got == [["one", "two", "three", "one two", "two three"], ["one"], []]
+
+
+def test_platt_ends_where_losses_differ_by_rounding_alone(spark):
+    names, rows = list("abcdefghijkl"), []
+    for i in range(600):
+        sure = 1 / (1 + math.exp(-(i * 37 % 101 - 15) / 6))
+        said = names[(i + (i * 37 % 101 % 9 == 0)) % 12]
+        rows.append((names[i % 12], [sure if c == said else (1 - sure) / 11 for c in names]))
+    df = spark.createDataFrame(rows, "t string, probabilities array<double>").coalesce(1)
+    assert all(slope > 0 > start for slope, start in models.fit_platt(df, "t", names, rounds=20))

@@ -127,3 +127,49 @@ def test_grid_has_one_row_per_entry(spark):
     got = {r.model: r for r in models.linear_grid(ready, n, labels, "id", "category", {"a": ("logistic", 1.0), "b": ("svm", 1.0), "c": ("svm", 0.01)}, 3).collect()}
     assert set(got) == {"a", "b", "c"} and all(r.n_folds == 3 and r.converged for r in got.values())
     assert got["a"].test_macro_f1 == got["b"].test_macro_f1 == 1.0 and got["a"].best and got["b"].best + got["c"].best == 1
+
+
+def test_a_row_that_counts_often_is_that_many_rows(spark):
+    _, _, df = table(spark)
+    often = df.withColumn("copies", (F.col("id") % 4).cast("bigint") + 1)
+    rows = often.select("*", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies", "col")
+    fits = {"a": linear.Fit("logistic", 1.0, "most"), "b": linear.Fit("svm")}
+    one, many = (linear.fit_all(x, 6, 3, fits, tolerance=1e-7) for x in (often, rows))
+    assert all(np.allclose(one[name].weights, many[name].weights, atol=1e-5) for name in fits)
+
+
+@pytest.mark.parametrize("filled", [0.001, 1000])
+def test_entries_and_layouts_give_the_same_fits(spark, monkeypatch, filled):
+    _, _, df = table(spark)
+    expected = linear.fit_all(df, 6, 3, {"a": linear.Fit("svm")}, tolerance=1e-7)["a"].weights
+    monkeypatch.setattr(linear, "DENSE", 30)
+    index, values, row = np.array([0, 2, 2]), np.array([1.0, 2.0, 3.0]), np.array([0, 0, 2])
+    matrix = np.arange(8.0).reshape(4, 2)
+    for made in (linear._Dense, linear._Sparse):
+        x, slope = made(index, values, row, 3, 4), np.zeros((4, 2))
+        assert x.scores(matrix).tolist() == [[14.0, 18.0], [6.0, 7.0], [18.0, 22.0]]
+        x.add(slope, np.ones((3, 2)))
+        assert slope.tolist() == [[1.0, 1.0], [0.0, 0.0], [5.0, 5.0], [3.0, 3.0]]
+    monkeypatch.setattr(linear, "FILLED", filled)
+    assert np.allclose(linear.fit_all(df, 6, 3, {"a": linear.Fit("svm")}, tolerance=1e-7)["a"].weights, expected, atol=1e-5)
+
+
+@pytest.mark.parametrize("largest,most", [(1, 4), (2, 1000), (2, 12)])
+def test_terms_are_counted_as_often_as_their_rows(spark, monkeypatch, largest, most):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["red", "redder", "green", "Größe", "x", "two words", "日本語"]) for _ in range(rng.randrange(12))) for _ in range(60)] + [None]
+    df = spark.createDataFrame([(t, 1 + i % 3) for i, t in enumerate(texts)], "t string, copies bigint").repartition(3)
+    total, seen = Counter(), Counter()
+    for i, t in enumerate(texts):
+        for term, n in plain_terms(t, largest).items():
+            total[term] += n * (1 + i % 3)
+            seen[term] += 1 + i % 3
+    kept = sorted(total, key=lambda t: (-total[t], t))[:most]
+    expected = [(t, total[t], seen[t]) for t in kept]
+    assert features.top_terms(df, "t", most, largest, "copies") == expected
+    monkeypatch.setattr(features, "HELD", 5)
+    monkeypatch.setattr(features, "FLUSH", 2)
+    monkeypatch.setattr(features, "PIECE", 7)
+    assert features.top_terms(df, "t", most, largest, "copies") == expected
+    monkeypatch.setattr(features, "KNOWN", 1)
+    assert features.top_terms(df, "t", most, largest, "copies") == expected

@@ -87,3 +87,20 @@ def test_platt_ends_where_losses_differ_by_rounding_alone(spark):
         rows.append((names[i % 12], [sure if c == said else (1 - sure) / 11 for c in names]))
     df = spark.createDataFrame(rows, "t string, probabilities array<double>").coalesce(1)
     assert all(slope > 0 > start for slope, start in models.fit_platt(df, "t", names, rounds=20))
+
+
+@pytest.mark.parametrize("kind", ["bayes", "logistic"])
+def test_equal_texts_are_one_row_of_a_fit(spark, kind):
+    df = prompts(spark).select("*", F.explode(F.sequence(F.lit(1), F.col("id").cast("int") % 5 + 1))).drop("col")
+    once = models.collapsed_texts(df, "prompt", ["category"])
+    assert once.count() == 3 and once.agg(F.sum("copies")).first()[0] == df.count()
+    model, labels = models.fit(df, "category", kind)
+    again, _ = models.fit(once, "category", kind)
+    rows = [
+        {r.prompt: r.probabilities for r in models.predict(m, labels, once, ["prompt"]).collect()} for m in (model, again)
+    ]
+    assert rows[0].keys() == rows[1].keys() and all(rows[0][p] == pytest.approx(rows[1][p], abs=1e-6) for p in rows[0])
+    idf = next(s for s in model.stages if type(s).__name__ == "ElementwiseProduct").getScalingVec().toArray()
+    words = next(s for s in model.stages if type(s).__name__ == "CountVectorizerModel").vocabulary
+    seen = df.where(F.col("prompt").contains("reply")).count()
+    assert idf[words.index("reply")] == pytest.approx(math.log((df.count() + 1) / (seen + 1)))

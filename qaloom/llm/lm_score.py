@@ -9,6 +9,10 @@ full, and partial counts are summed per word and per bigram, so a hot word is co
 is broadcast is bounded: words and bigrams from that frequency on which keeps at most ``VOCABULARY`` words and ``BIGRAMS``
 bigrams; other words are one unknown word, other bigrams fall back to the unigram. Probabilities sum to one in either case.
 
+``score_background`` has no such bounds: its models keep every word and every bigram. Only the losses of frequent bigrams of frequent
+words are broadcast; the other bigrams of a text, with their number, meet the table of all bigrams in a shuffled join. Words outside the
+broadcast vocabulary go by 63 bits of their hash.
+
 Rows: a null or empty text is its end alone; null ids stay null; repeated rows are counted and scored each for itself; with an
 empty target or background that model is uniform; an empty table gives no rows; further columns are not read.
 """
@@ -26,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qaloom.llm.common import doc_texts, map_batches, stored, utf8, words
+from qaloom.session import lookup
 
 VOCABULARY = 32_768
 BIGRAMS = 1 << 19
@@ -176,3 +181,113 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
 
     scored = map_batches(doc_texts(docs), run, "doc_id bigint, n_words bigint, target_loss double, background_loss double")
     return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+
+
+def _hashed(word: bytes) -> int:
+    from xxhash import xxh3_64_intdigest
+
+    return -1 - (xxh3_64_intdigest(word) >> 1)
+
+
+def _encode_all(text: bytes, ids: dict[bytes, int]) -> np.ndarray:
+    """Boundary, word ids, boundary; words outside the vocabulary have negative ones."""
+    found = [ids[w] if w in ids else _hashed(w) for w in words(text)]
+    return np.array([END, *found, END], np.int64)
+
+
+def _distinct_pairs(v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((w, v))
+    v, w = v[order], w[order]
+    first = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (w[1:] != w[:-1])))
+    return v[first], w[first], np.diff(np.append(first, len(v)))
+
+
+def _all_pairs(texts: DataFrame, shared, model: int) -> DataFrame:
+    """Partial counts of all bigrams ``v``, ``w``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            v, w = np.concatenate([i[:-1] for i in held]), np.concatenate([i[1:] for i in held])
+            return _counts(["v", "w", "n"], list(_distinct_pairs(v, w)))
+
+        for batch in batches:
+            for text in utf8(batch):
+                held.append(_encode_all(text, shared.value.ids))
+                size += len(held[-1])
+                if size >= FLUSH_TOKENS:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    counted = map_batches(texts.select("text"), run, "v bigint, w bigint, n bigint")
+    return counted.select("v", "w", *[F.when(F.lit(m == model), F.col("n")).otherwise(0).alias(f"n{m}") for m in (0, 1)])
+
+
+def score_background(target: DataFrame, background: DataFrame, most_words: int = VOCABULARY, most_bigrams: int = BIGRAMS) -> DataFrame:
+    """``score`` of every text of ``background`` under models that keep all words and bigrams; the bounds are those of what is broadcast."""
+    spark = background.sparkSession
+    vocab = vocabulary([target, background], most_words)
+    known = spark.sparkContext.broadcast(vocab)
+    pairs = _all_pairs(target, known, 0).unionByName(_all_pairs(background, known, 1))
+    pairs = stored(pairs.groupBy("v", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "op9-pairs")
+    # Each occurrence of a word, or of a text's end, is the context of one token, so these are the words' own counts too.
+    single = stored(pairs.groupBy("v").agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1")), "op9-contexts")
+    total = single.agg(F.count_if(F.col("v") != END), F.sum("c0"), F.sum("c1")).first()
+    size = total[0] + FIRST
+    unigram = [(F.col(f"c{m}") + PSEUDO) / F.lit((total[m + 1] or 0) + PSEUDO * size) for m in (0, 1)]
+    second = lookup(single.select(F.col("v").alias("w"), *[u.alias(f"u{m}") for m, u in enumerate(unigram)]), row_bytes=24)
+    losses = pairs.join(lookup(single, row_bytes=24), "v").join(second, "w")
+    seen = [F.col(f"c{m}") > 0 for m in (0, 1)]
+    p = [
+        F.when(seen[m], WEIGHT * F.col(f"n{m}") / F.col(f"c{m}") + (1 - WEIGHT) * F.col(f"u{m}")).otherwise(F.col(f"u{m}")) for m in (0, 1)
+    ]
+    losses = losses.select("v", "w", (F.col("n0") + F.col("n1")).alias("n"), *[(-F.log(p[m])).alias(f"l{m}") for m in (0, 1)])
+    both = losses.filter("v >= 0 AND w >= 0")
+    least = int(_cutoff(pairs.filter("v >= 0 AND w >= 0").select((F.col("n0") + F.col("n1")).alias("n")), most_bigrams))
+    held = both.filter(F.col("n") >= least).select((F.col("v") * vocab.size + F.col("w")).alias("key"), "l0", "l1").toArrow()
+    order = np.argsort(held["key"].to_numpy())
+    table = spark.sparkContext.broadcast((held["key"].to_numpy()[order], np.stack([held[c].to_numpy()[order] for c in ("l0", "l1")])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        ids, width, (keys, lost) = known.value.ids, known.value.size, table.value
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            docs, rest = [], []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), utf8(batch), strict=True):
+                row += 1
+                now = _encode_all(text, ids)
+                v, w = now[:-1], now[1:]
+                found, sums = np.zeros(len(v), bool), np.zeros(2)
+                if len(keys):
+                    key = v * width + w
+                    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                    found = (keys[at] == key) & (v >= 0) & (w >= 0)
+                    sums = lost[:, at[found]].sum(axis=1)
+                docs.append((row, doc_id, len(now) - 2, *sums.tolist()))
+                if not found.all():
+                    v, w, n = _distinct_pairs(v[~found], w[~found])
+                    rest.append((np.full(len(v), row), v, w, n))
+            if docs:
+                none = pa.nulls(len(docs), pa.int64())
+                row_, doc, n_words, l0, l1 = zip(*docs, strict=True)
+                columns = [pa.array(row_, pa.int64()), pa.array(doc, pa.int64()), pa.array(n_words, pa.int64()), pa.array(l0), pa.array(l1), none, none, none]
+                yield pa.RecordBatch.from_arrays(columns, names)
+            if rest:
+                at, v, w, n = (pa.array(np.concatenate(c)) for c in zip(*rest, strict=True))
+                none, zero = pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.float64())
+                yield pa.RecordBatch.from_arrays([at, none, none, zero, zero, v, w, n], names)
+
+    names = ["row", "doc_id", "n_words", "l0", "l1", "v", "w", "n"]
+    schema = "row bigint, doc_id bigint, n_words bigint, l0 double, l1 double, v bigint, w bigint, n bigint"
+    asked = stored(map_batches(doc_texts(background), run, schema), "op9-asked")
+    rest = asked.filter("v IS NOT NULL").select("row", "v", "w", F.col("n").alias("k"))
+    rest = rest.join(losses, ["v", "w"]).groupBy("row").agg(*[F.sum(F.col("k") * F.col(f"l{m}")).alias(f"r{m}") for m in (0, 1)])
+    whole = asked.filter("v IS NULL").select("row", "doc_id", "n_words", "l0", "l1").join(rest, "row", "left")
+    mean = [((F.col(f"l{m}") + F.coalesce(f"r{m}", F.lit(0.0))) / (F.col("n_words") + 1)) for m in (0, 1)]
+    scored = whole.select("doc_id", "n_words", mean[0].alias("target_loss"), mean[1].alias("background_loss"))
+    return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))

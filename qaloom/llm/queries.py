@@ -73,8 +73,7 @@ def op8_language(spark: SparkSession, sf: str) -> DataFrame:
 
 def op9_cross_entropy(spark: SparkSession, sf: str) -> DataFrame:
     """Cross-entropy difference of every document: conversations are the target, documents the background."""
-    docs = read(spark, sf, "documents")
-    return lm_score.score(docs, lm_score.train(read(spark, sf, "conversations"), docs))
+    return lm_score.score_background(read(spark, sf, "conversations"), read(spark, sf, "documents"))
 
 
 def op10_pack(spark: SparkSession, sf: str) -> DataFrame:

@@ -304,3 +304,15 @@ def test_language_models_equal_a_plain_count(spark, edge_docs, no_docs):
     assert got == expected
     assert all(abs(r.score - (r.target_loss - r.background_loss)) < 1e-12 for r in rows)
     assert lm_score.score(no_docs, lm_score.train(target.limit(0), no_docs)).count() == 0
+
+
+@pytest.mark.parametrize("most_words,most_bigrams", [(0, 0), (3, 2), (1000, 5), (1000, 1000)])
+def test_no_word_or_bigram_is_dropped_by_what_is_broadcast(spark, edge_docs, no_docs, most_words, most_bigrams):
+    target = spark.createDataFrame([("the fox and the dog",), (None,), ("fox fox",)], "text string")
+    docs = edge_docs.filter("doc_id <> 6 or doc_id is null")
+    whole = lm_score.score(docs, lm_score.train(target, docs, 1 << 20, 1 << 20))
+    got = lm_score.score_background(target, docs, most_words, most_bigrams)
+    assert got.columns == whole.columns
+    rows = [Counter((r.doc_id, r.n_words, round(r.target_loss, 3), round(r.background_loss, 3)) for r in x.collect()) for x in (got, whole)]
+    assert rows[0] == rows[1]
+    assert lm_score.score_background(target, no_docs).count() == 0

@@ -238,15 +238,19 @@ def score_background(target: DataFrame, background: DataFrame, most_words: int =
     total = single.agg(F.count_if(F.col("v") != END), F.sum("c0"), F.sum("c1")).first()
     size = total[0] + FIRST
     unigram = [(F.col(f"c{m}") + PSEUDO) / F.lit((total[m + 1] or 0) + PSEUDO * size) for m in (0, 1)]
-    second = lookup(single.select(F.col("v").alias("w"), *[u.alias(f"u{m}") for m, u in enumerate(unigram)]), row_bytes=24)
-    losses = pairs.join(lookup(single, row_bytes=24), "v").join(second, "w")
+    second = single.select(F.col("v").alias("w"), *[u.alias(f"u{m}") for m, u in enumerate(unigram)])
+    # Of two known words the counts are looked up in a small table; only pairs with another word meet all words.
+    inside = F.col("v").between(0, vocab.size) & F.col("w").between(0, vocab.size)
+    small = [stored(x, "op9-known") for x in (single.filter("v >= 0"), second.filter("w >= 0"))]
+    losses = pairs.filter(inside).join(F.broadcast(small[0]), "v").join(F.broadcast(small[1]), "w")
+    losses = losses.unionByName(pairs.filter(~inside).join(lookup(single, row_bytes=24), "v").join(lookup(second, row_bytes=24), "w"))
     seen = [F.col(f"c{m}") > 0 for m in (0, 1)]
     p = [
         F.when(seen[m], WEIGHT * F.col(f"n{m}") / F.col(f"c{m}") + (1 - WEIGHT) * F.col(f"u{m}")).otherwise(F.col(f"u{m}")) for m in (0, 1)
     ]
     losses = losses.select("v", "w", (F.col("n0") + F.col("n1")).alias("n"), *[(-F.log(p[m])).alias(f"l{m}") for m in (0, 1)])
-    both = losses.filter("v >= 0 AND w >= 0")
-    least = int(_cutoff(pairs.filter("v >= 0 AND w >= 0").select((F.col("n0") + F.col("n1")).alias("n")), most_bigrams))
+    both = losses.filter(inside)
+    least = int(_cutoff(pairs.filter(inside).select((F.col("n0") + F.col("n1")).alias("n")), most_bigrams))
     held = both.filter(F.col("n") >= least).select((F.col("v") * vocab.size + F.col("w")).alias("key"), "l0", "l1").toArrow()
     order = np.argsort(held["key"].to_numpy())
     table = spark.sparkContext.broadcast((held["key"].to_numpy()[order], np.stack([held[c].to_numpy()[order] for c in ("l0", "l1")])))

@@ -242,16 +242,18 @@ def score_background(target: DataFrame, background: DataFrame, most_words: int =
     # Of two known words the counts are looked up in a small table; only pairs with another word meet all words.
     inside = F.col("v").between(0, vocab.size) & F.col("w").between(0, vocab.size)
     small = [stored(x, "op9-known") for x in (single.filter("v >= 0"), second.filter("w >= 0"))]
-    losses = pairs.filter(inside).join(F.broadcast(small[0]), "v").join(F.broadcast(small[1]), "w")
-    losses = losses.unionByName(pairs.filter(~inside).join(lookup(single, row_bytes=24), "v").join(lookup(second, row_bytes=24), "w"))
     seen = [F.col(f"c{m}") > 0 for m in (0, 1)]
     p = [
         F.when(seen[m], WEIGHT * F.col(f"n{m}") / F.col(f"c{m}") + (1 - WEIGHT) * F.col(f"u{m}")).otherwise(F.col(f"u{m}")) for m in (0, 1)
     ]
-    losses = losses.select("v", "w", (F.col("n0") + F.col("n1")).alias("n"), *[(-F.log(p[m])).alias(f"l{m}") for m in (0, 1)])
-    both = losses.filter(inside)
+    lost = [(-F.log(p[m])).alias(f"l{m}") for m in (0, 1)]
+
+    def looked_up(counted: DataFrame) -> DataFrame:
+        return counted.join(F.broadcast(small[0]), "v").join(F.broadcast(small[1]), "w")
+
     least = int(_cutoff(pairs.filter(inside).select((F.col("n0") + F.col("n1")).alias("n")), most_bigrams))
-    held = both.filter(F.col("n") >= least).select((F.col("v") * vocab.size + F.col("w")).alias("key"), "l0", "l1").toArrow()
+    often = looked_up(pairs.filter(inside & (F.col("n0") + F.col("n1") >= least)))
+    held = often.select((F.col("v") * vocab.size + F.col("w")).alias("key"), *lost).toArrow()
     order = np.argsort(held["key"].to_numpy())
     table = spark.sparkContext.broadcast((held["key"].to_numpy()[order], np.stack([held[c].to_numpy()[order] for c in ("l0", "l1")])))
 
@@ -290,7 +292,12 @@ def score_background(target: DataFrame, background: DataFrame, most_words: int =
     schema = "row bigint, doc_id bigint, n_words bigint, l0 double, l1 double, v bigint, w bigint, n bigint"
     asked = stored(map_batches(doc_texts(background), run, schema), "op9-asked")
     rest = asked.filter("v IS NOT NULL").select("row", "v", "w", F.col("n").alias("k"))
-    rest = rest.join(losses, ["v", "w"]).groupBy("row").agg(*[F.sum(F.col("k") * F.col(f"l{m}")).alias(f"r{m}") for m in (0, 1)])
+    # A pair of a text that is not among those met otherwise was met there alone.
+    more = pairs.filter(inside & (F.col("n0") + F.col("n1") < least) & ~((F.col("n0") == 0) & (F.col("n1") == 1)))
+    met = rest.filter(inside).join(more, ["v", "w"], "left").withColumns({"n0": F.coalesce("n0", F.lit(0)), "n1": F.coalesce("n1", F.lit(1))})
+    other = pairs.filter(~inside).join(lookup(single, row_bytes=24), "v").join(lookup(second, row_bytes=24), "w").select("v", "w", *lost)
+    rest = looked_up(met).select("row", "k", *lost).unionByName(rest.filter(~inside).join(other, ["v", "w"]).select("row", "k", "l0", "l1"))
+    rest = rest.groupBy("row").agg(*[F.sum(F.col("k") * F.col(f"l{m}")).alias(f"r{m}") for m in (0, 1)])
     whole = asked.filter("v IS NULL").select("row", "doc_id", "n_words", "l0", "l1").join(rest, "row", "left")
     mean = [((F.col(f"l{m}") + F.coalesce(f"r{m}", F.lit(0.0))) / (F.col("n_words") + 1)) for m in (0, 1)]
     scored = whole.select("doc_id", "n_words", mean[0].alias("target_loss"), mean[1].alias("background_loss"))

@@ -104,3 +104,13 @@ def test_equal_texts_are_one_row_of_a_fit(spark, kind):
     words = next(s for s in model.stages if type(s).__name__ == "CountVectorizerModel").vocabulary
     seen = df.where(F.col("prompt").contains("reply")).count()
     assert idf[words.index("reply")] == pytest.approx(math.log((df.count() + 1) / (seen + 1)))
+
+
+def test_repeated_prompts_are_fitted_and_scored_once(spark, monkeypatch):
+    rows = [(f, c) for c in ("time", "count") for f in ("a", "b")]
+    df = spark.createDataFrame([(i * 40 + j, f"{c} is {f} or not {j}", c, f) for i, (f, c) in enumerate(rows) for j in range(6 + i)], "id bigint, prompt string, category string, family string")
+    seen, found = [], models.predict
+    monkeypatch.setattr(models, "predict", lambda m, labels, part, *rest: seen.append(part.count()) or found(m, labels, part, *rest))
+    got = {(r.category, r.held_out): (r.n_test, r.accuracy) for r in models.family_out(df, "id", "category", "family", ["time", "count"], "bayes").collect()}
+    assert {k: v[0] for k, v in got.items()} == {("time", "a"): 6, ("time", "b"): 7, ("count", "a"): 8, ("count", "b"): 9}
+    assert all(v[1] in (0.0, 1.0) for v in got.values()) and seen == [1, 1, 1, 1]

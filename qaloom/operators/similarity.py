@@ -3,19 +3,21 @@
 Nothing here forms all pairs of a block. Identical vectors are collapsed first (a counted
 aggregate), so a group of copies is one row. The rest is cut into cells around pivot vectors: two
 unit vectors with cosine above t are closer than sqrt(2 - 2t), so a vector is repeated only in the
-cells whose bisecting plane is that close, and no qualifying pair is lost. Cells are cut into
-chunks, and each pair of chunks is one bounded task that compares by matrix product and emits only
-what qualifies.
+cells whose bisecting plane is that close, and no qualifying pair is lost; where that prunes nothing, a
+block is one cell. Cells are cut into chunks, and each pair of chunks is one bounded tile that compares by
+matrix product, a part at a time, and emits only what qualifies.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,10 +25,15 @@ from qaloom.functions import draws
 from qaloom.operators.ranking import join_on
 from qaloom.session import checkpoint, lookup, shared_folder
 
-CHUNK_ROWS = 1024
+CHUNK_ROWS = 8192
 CELL_ROWS = 8192
+PLACED_ROWS = 1024  # given their cells at once
+MATRIX = 1 << 21  # comparisons held at once
+SENT = 512  # comparisons that take as long as sending a row to one more task
+FIRST_ROWS = 1000  # of a block that the greedy rule settles at once; Spark cuts such a rank before its shuffle
 EDGES_PER_ROW = 64  # pairs that are listed for a vector on average, at most
 LOCAL_EDGES = 1_000_000  # of a block, settled by one task
+TILE = ("cell", "a", "b")
 _SLACK = 1e-6
 
 
@@ -47,88 +54,123 @@ def _pivots(rows: DataFrame, n: int) -> np.ndarray:
     return np.unique(np.array([r[0] for r in picked.collect()]), axis=0)
 
 
+def _vectors(column: pa.Array) -> np.ndarray:
+    """A column of vectors as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def _place(pivots: np.ndarray, reach: float):
-    """Task function: each row into its own cell, and into lower cells its partners may call home."""
+    """Task function: adds the cells of each row, its own first, then the lower ones its partners may call home."""
 
-    def place(batches):
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Distances between pivots, never too small: rounding may only add candidates.
         squared = (pivots**2).sum(axis=1)
         gaps = squared[:, None] + squared[None, :] - 2.0 * (pivots @ pivots.T)
         gaps = np.sqrt(np.maximum(gaps, 0.0)) + _SLACK
-        for batch in batches:
-            if batch.empty:
-                continue
-            vectors = np.stack(batch["vec"].to_numpy())
-            squares = 1.0 + squared[None, :] - 2.0 * (vectors @ pivots.T)
-            home = squares.argmin(axis=1)
-            best = squares[np.arange(len(home)), home]
-            excess = squares - best[:, None]
-            near = excess <= 2.0 * gaps[home] * (reach + _SLACK)
-            lower = np.arange(len(pivots))[None, :] < home[:, None]
-            near &= lower
-            near[np.arange(len(home)), home] = True
-            row, cell = np.nonzero(near)
-            kept = {c: batch[c].to_numpy()[row] for c in batch.columns}
-            out = pd.DataFrame({c: pd.Series(v, dtype=v.dtype) for c, v in kept.items()})
-            out["cell"] = cell
-            out["home"] = cell == home[row]
-            yield out
+        for whole in batches:
+            for at in range(0, whole.num_rows, PLACED_ROWS):
+                batch = whole.slice(at, PLACED_ROWS)
+                squares = 1.0 + squared[None, :] - 2.0 * (_vectors(batch.column("vec")) @ pivots.T)
+                home = squares.argmin(axis=1)
+                excess = squares - squares[np.arange(len(home)), home][:, None]
+                near = excess <= 2.0 * gaps[home] * (reach + _SLACK)
+                near &= np.arange(len(pivots))[None, :] < home[:, None]
+                cells = [np.append(h, np.flatnonzero(row)) for h, row in zip(home, near, strict=True)]
+                cells = pa.array(cells, pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, cells], [*batch.schema.names, "cells"])
 
     return place
 
 
-def _chunked(rows: DataFrame, by: list[str], threshold: float, cell_rows: int, chunk_rows: int) -> DataFrame:
-    """Rows repeated once per pair of chunks they take part in: adds cell, home, a, b, chunk."""
-    total = rows.count()
-    if total <= chunk_rows:
-        one = F.lit(0).cast("int")
-        return rows.withColumns(
-            {"cell": F.lit(0).cast("bigint"), "home": F.lit(True), "a": one, "b": one, "chunk": one}
-        )
+def _placed(rows: DataFrame, pivots: np.ndarray, threshold: float) -> DataFrame:
+    schema = T.StructType([*rows.schema.fields, T.StructField("cells", T.ArrayType(T.LongType()))])
+    return rows.mapInArrow(_place(pivots, math.sqrt(max(0.0, 2.0 - 2.0 * threshold))), schema)
+
+
+def _work(homes: Column, visitors: Column, chunk_rows: int) -> Column:
+    """Comparisons of a cell, and the rows sent to its tiles at the worth of ``SENT`` comparisons each."""
+    chunks, more = F.ceil(homes / chunk_rows), F.ceil(visitors / chunk_rows)
+    return homes * (homes / 2 + visitors) + SENT * (homes * (chunks + more) + visitors * chunks)
+
+
+def _cells(rows: DataFrame, by: list[str], threshold: float, total: int, cell_rows: int, chunk_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with cell and home, and the numbers of rows at home and visiting by cell.
+
+    Where vectors have no structure, nearly all rows visit nearly all cells, which prunes nothing: a block is one cell if
+    that is less work, by the counted sizes of all cells.
+    """
+    blocks = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("homes"), F.lit(0).cast("bigint").alias("visitors"))
+    blocks = checkpoint(blocks.withColumn("cell", F.lit(0).cast("bigint")))
     # Cells of fixed size while pivots are few; beyond, pivots and cells both grow with the root of the rows.
     n_pivots = min(math.ceil(total / cell_rows), math.ceil(math.sqrt(total) / 2))
     pivots = _pivots(rows, n_pivots) if n_pivots > 1 else np.empty((0, 0))
     if len(pivots) > 1:
-        schema = T.StructType(
-            [*rows.schema.fields, T.StructField("cell", T.LongType()), T.StructField("home", T.BooleanType())]
-        )
-        reach = math.sqrt(max(0.0, 2.0 - 2.0 * threshold))
-        rows = rows.mapInPandas(_place(pivots, reach), schema)
-    else:
-        rows = rows.withColumns({"cell": F.lit(0).cast("bigint"), "home": F.lit(True)})
-    sizes = rows.groupBy(*by, "cell").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(float(chunk_rows))).cast("int").alias("__chunks")
-    )
-    rows = join_on(rows, lookup(sizes), [*by, "cell"])
-    chunk = (draws.draw("chunk", F.col("id")) % F.col("__chunks")).cast("int")
-    rows = rows.withColumn("chunk", chunk)
-    partner = F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1)).alias("__other")
+        counted = _placed(rows.select(*by, "vec"), pivots, threshold).select(*by, F.posexplode("cells").alias("__at", "cell"))
+        at = F.col("__at")
+        sizes = counted.groupBy(*by, "cell").agg(F.count_if(at == 0).alias("homes"), F.count_if(at > 0).alias("visitors"))
+        sizes = checkpoint(sizes)
+        cost = F.sum(_work(F.col("homes"), F.col("visitors"), chunk_rows))
+        if sizes.agg(cost).first()[0] < blocks.agg(cost).first()[0]:
+            placed = _placed(rows, pivots, threshold).select(*rows.columns, F.posexplode("cells").alias("__at", "cell"))
+            return placed.withColumn("home", F.col("__at") == 0).drop("__at"), sizes
+    return rows.withColumns({"cell": F.lit(0).cast("bigint"), "home": F.lit(True)}), blocks
+
+
+def _tiled(rows: DataFrame, by: list[str], threshold: float, cell_rows: int, chunk_rows: int) -> DataFrame:
+    """Rows repeated once per pair of chunks (tile) they take part in: adds cell, a, b, chunk.
+
+    Rows at home are cut into the first chunks of their cell, visitors into the later ones, and no two chunks of
+    visitors meet.
+    """
+    total = rows.count()
+    if total <= chunk_rows:
+        one = F.lit(0).cast("int")
+        return rows.withColumns({"cell": F.lit(0).cast("bigint"), "a": one, "b": one, "chunk": one})
+    rows, sizes = _cells(rows, by, threshold, total, cell_rows, chunk_rows)
+    pieces = [F.ceil(F.col(c) / chunk_rows).cast("int").alias(f"__{c}") for c in ("homes", "visitors")]
+    rows = join_on(rows, lookup(sizes.where("homes > 0").select(*by, "cell", *pieces)), [*by, "cell"])
+    drawn, homes, visitors = draws.draw("chunk", F.col("id")), F.col("__homes"), F.col("__visitors")
+    chunk = F.when(F.col("home"), drawn % homes).otherwise(homes + drawn % F.greatest(visitors, F.lit(1))).cast("int")
+    partners = F.sequence(F.lit(0), F.when(F.col("home"), homes + visitors).otherwise(homes) - 1)
     return (
-        rows.select("*", partner)
+        rows.withColumn("chunk", chunk)
+        .select("*", F.explode(partners).alias("__other"))
         .withColumns({"a": F.least("chunk", "__other"), "b": F.greatest("chunk", "__other")})
-        .drop("__chunks", "__other")
+        .drop("__homes", "__visitors", "__other", "home")
     )
 
 
-def _qualifying(group: pd.DataFrame, threshold: float):
-    """Index pairs of one chunk pair that qualify, with their cosines; only one side may be a visitor."""
-    a, b = group["a"].iloc[0], group["b"].iloc[0]
-    left = group[group["chunk"] == a]
-    right = left if a == b else group[group["chunk"] == b]
-    if left.empty or right.empty:
-        return left, right, np.empty(0, int), np.empty(0, int), np.empty(0)
-    cosine = np.stack(left["vec"].to_numpy()) @ np.stack(right["vec"].to_numpy()).T
-    hit = cosine > threshold
-    hit &= left["home"].to_numpy()[:, None] | right["home"].to_numpy()[None, :]
-    if a == b:
-        hit &= np.tri(len(left), k=-1, dtype=bool).T
-    i, j = np.nonzero(hit)
-    return left, right, i, j, cosine[i, j]
+def _matches(group: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row pairs of one tile that qualify, with their cosines, of at most ``MATRIX`` compared at once."""
+    a, b, chunk = group["a"][0].as_py(), group["b"][0].as_py(), group["chunk"].to_numpy()
+    vectors = _vectors(group["vec"].chunk(0))
+    left = np.flatnonzero(chunk == a)
+    right = left if a == b else np.flatnonzero(chunk == b)
+    if not len(left) or not len(right):
+        return
+    across = vectors[right].T
+    step = max(1, MATRIX // len(right))
+    for at in range(0, len(left), step):
+        part = left[at : at + step]
+        cosine = vectors[part] @ across
+        hit = cosine > threshold
+        if a == b:
+            hit &= np.arange(len(right))[None, :] > np.arange(at, at + len(part))[:, None]
+        i, j = np.nonzero(hit)
+        yield part[i], right[j], cosine[i, j]
 
 
-def _block(group: pd.DataFrame, by: list[str], n: int) -> dict[str, pd.Series]:
-    """The group's block keys, n times, as plain objects (Spark wants unchunked text columns)."""
-    return {b: pd.Series([group[b].iloc[0]] * n, dtype=object) for b in by}
+def _in_tiles(tiles: DataFrame, keys: list[str], function: Callable[[pa.Table], Iterable[dict]], by: list[str], rest: str) -> DataFrame:
+    """Runs ``function`` on each group of ``keys``; what it yields are columns, with the row (``at``) each has its block from."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(batches).combine_chunks()
+        for out in function(group):
+            at = pa.array(out.pop("at"), pa.int64())
+            columns = [group[b].chunk(0).take(at) for b in by]
+            yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, out.values())], [*by, *out])
+
+    return tiles.groupBy(*keys).applyInArrow(run, _schema_of(tiles, by, rest))
 
 
 def _schema_of(df: DataFrame, by: list[str], rest: str) -> T.StructType:
@@ -153,17 +195,14 @@ def similar_pairs(
     """
     rows = checkpoint(distinct_vectors(df, key, vector, by))
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        left, right, i, j, cosine = _qualifying(group, threshold)
-        x, y = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-        out = _block(group, by, len(i))
-        out |= {"id_a": np.minimum(x, y), "id_b": np.maximum(x, y), "cosine": cosine}
-        out["n_pairs"] = left["copies"].to_numpy()[i] * right["copies"].to_numpy()[j]
-        return pd.DataFrame(out)
-
-    schema = _schema_of(rows, by, "id_a BIGINT, id_b BIGINT, cosine DOUBLE, n_pairs BIGINT")
-    chunks = _chunked(rows, by, threshold, cell_rows, chunk_rows)
-    found = chunks.groupBy(*by, "cell", "a", "b").applyInPandas(compare, schema)
+    def compare(group: pa.Table) -> Iterator[dict]:
+        ids, copies = group["id"].to_numpy(), group["copies"].to_numpy()
+        for i, j, cosine in _matches(group, threshold):
+            x, y = ids[i], ids[j]
+            yield {"at": i, "id_a": np.minimum(x, y), "id_b": np.maximum(x, y), "cosine": cosine, "n_pairs": copies[i] * copies[j]}
+
+    tiles = _tiled(rows, by, threshold, cell_rows, chunk_rows)
+    found = _in_tiles(tiles, [*by, *TILE], compare, by, "id_a BIGINT, id_b BIGINT, cosine DOUBLE, n_pairs BIGINT")
     n = F.col("copies")
     copies = rows.where(n > 1).select(
         *by,
@@ -186,7 +225,7 @@ def near_duplicate_counts(
 ) -> DataFrame:
     """Per block the row count, pair count, largest cosine and pairs above each threshold.
 
-    Counting happens inside the chunk tasks, so no pair is listed. A block whose largest cosine is
+    Counting happens inside the tiles, so no pair is listed. A block whose largest cosine is
     below every threshold is searched again with a lower one until its largest is known.
     """
     rows = checkpoint(distinct_vectors(df, key, vector, by))
@@ -194,18 +233,19 @@ def near_duplicate_counts(
     names = {t: f"above_{t:g}".replace(".", "_") for t in thresholds}
 
     def counter(floor: float):
-        def count(group: pd.DataFrame) -> pd.DataFrame:
-            left, right, i, j, cosine = _qualifying(group, floor)
-            weight = left["copies"].to_numpy()[i] * right["copies"].to_numpy()[j]
-            out = _block(group, by, 1)
-            out["max_cosine"] = [cosine.max() if len(cosine) else None]
-            out |= {names[t]: [int(weight[cosine > t].sum())] for t in levels}
-            return pd.DataFrame(out)
+        def count(group: pa.Table) -> Iterator[dict]:
+            copies, largest, above = group["copies"].to_numpy(), None, dict.fromkeys(levels, 0)
+            for i, j, cosine in _matches(group, floor):
+                if len(cosine):
+                    largest = max(cosine.max(), -math.inf if largest is None else largest)
+                weight = copies[i] * copies[j]
+                above = {t: n + int(weight[cosine > t].sum()) for t, n in above.items()}
+            out = {"at": [0], "max_cosine": pa.array([largest], pa.float64())}
+            yield out | {names[t]: pa.array([n], pa.int64()) for t, n in above.items()}
 
         return count
 
     fields = "max_cosine DOUBLE, " + ", ".join(f"{names[t]} BIGINT" for t in levels)
-    schema = _schema_of(rows, by, fields)
     n = F.col("copies")
     own_pairs = F.sum(F.expr("copies * (copies - 1) div 2"))
     own = rows.groupBy(*by).agg(
@@ -218,8 +258,8 @@ def near_duplicate_counts(
     out, todo = None, rows
     # Lower by small steps: a block's largest cosine is usually near, where most is still pruned.
     for floor in [levels[0] - step for step in (0.0, 0.05, 0.15, 0.35)] + [-1.1]:
-        counted = _chunked(todo, by, floor, cell_rows, chunk_rows)
-        counted = counted.groupBy(*by, "cell", "a", "b").applyInPandas(counter(floor), schema)
+        tiles = _tiled(todo, by, floor, cell_rows, chunk_rows)
+        counted = _in_tiles(tiles, [*by, *TILE], counter(floor), by, fields)
         counted = counted.groupBy(*by).agg(
             F.max("max_cosine").alias("max_cosine"), *[F.sum(names[t]).alias(names[t]) for t in levels]
         )
@@ -252,34 +292,35 @@ def near_duplicate_counts(
 def _flagged(rows: DataFrame, by: list[str], threshold: float, cell_rows: int, chunk_rows: int, rule: str) -> DataFrame:
     """Ids with qualifying partners, and how many (``n``): earlier ones ("earlier"), or kept ones ("kept")."""
 
-    def flag(group: pd.DataFrame) -> pd.DataFrame:
-        left, right, i, j, _ = _qualifying(group, threshold)
-        x, y = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-        if rule == "earlier":
-            hit = np.maximum(x, y)
-        else:
-            kept_x, kept_y = left["kept"].to_numpy()[i], right["kept"].to_numpy()[j]
-            hit = np.concatenate([y[kept_x & ~kept_y], x[kept_y & ~kept_x]])
-        hit, n = np.unique(hit, return_counts=True)
-        out = _block(group, by, len(hit))
-        return pd.DataFrame(out | {"id": hit, "n": n})
-
-    schema = _schema_of(rows, by, "id BIGINT, n BIGINT")
-    chunks = _chunked(rows, by, threshold, cell_rows, chunk_rows)
-    found = chunks.groupBy(*by, "cell", "a", "b").applyInPandas(flag, schema)
+    def flag(group: pa.Table) -> Iterator[dict]:
+        ids, n = group["id"].to_numpy(), np.zeros(len(group), np.int64)
+        kept = group["kept"].chunk(0).to_numpy(zero_copy_only=False) if rule == "kept" else None
+        for i, j, _ in _matches(group, threshold):
+            hit = np.where(ids[i] > ids[j], i, j) if kept is None else np.concatenate([j[kept[i] & ~kept[j]], i[kept[j] & ~kept[i]]])
+            n += np.bincount(hit, minlength=len(n))
+        at = np.flatnonzero(n)
+        yield {"at": at, "id": ids[at], "n": n[at]}
+
+    tiles = _tiled(rows, by, threshold, cell_rows, chunk_rows)
+    found = _in_tiles(tiles, [*by, *TILE], flag, by, "id BIGINT, n BIGINT")
     return found.groupBy(*by, "id").agg(F.sum("n").alias("n"))
 
 
 def _edges(rows: DataFrame, by: list[str], threshold: float, cell_rows: int, chunk_rows: int) -> DataFrame:
     """Pairs of distinct vectors above the threshold: (by, first, second), by key order. Vectors are compared once."""
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        left, right, i, j, _ = _qualifying(group, threshold)
-        x, y = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-        return pd.DataFrame(_block(group, by, len(i)) | {"first": np.minimum(x, y), "second": np.maximum(x, y)})
+    def compare(group: pa.Table) -> Iterator[dict]:
+        ids = group["id"].to_numpy()
+        for i, j, _ in _matches(group, threshold):
+            yield {"at": i, "first": np.minimum(ids[i], ids[j]), "second": np.maximum(ids[i], ids[j])}
+
+    tiles = _tiled(rows, by, threshold, cell_rows, chunk_rows)
+    return _in_tiles(tiles, [*by, *TILE], compare, by, "first BIGINT, second BIGINT")
 
-    chunks = _chunked(rows, by, threshold, cell_rows, chunk_rows)
-    return chunks.groupBy(*by, "cell", "a", "b").applyInPandas(compare, _schema_of(rows, by, "first BIGINT, second BIGINT"))
+
+def _block(group: pd.DataFrame, by: list[str], n: int) -> dict[str, pd.Series]:
+    """The group's block keys, n times, as plain objects (Spark wants unchunked text columns)."""
+    return {b: pd.Series([group[b].iloc[0]] * n, dtype=object) for b in by}
 
 
 def first_independent(edges: DataFrame, by: list[str], local_edges: int = LOCAL_EDGES) -> DataFrame:
@@ -331,6 +372,47 @@ def _without(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(renamed, same, "left_anti")
 
 
+def _first_kept(rows: DataFrame, by: list[str], threshold: float) -> DataFrame:
+    """The first ``FIRST_ROWS`` rows of each block, settled in one task: adds kept."""
+    order = Window.partitionBy(*by).orderBy("id")
+    first = rows.select(*by, "id").withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= FIRST_ROWS).drop("__r")
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(batches).sort_by("id").combine_chunks()
+        vectors = _vectors(group["vec"].chunk(0))
+        gone = np.zeros(len(vectors), bool)
+        for i in range(len(vectors)):
+            if not gone[i]:
+                gone[i + 1 :] |= vectors[i + 1 :] @ vectors[i] > threshold
+        yield from group.append_column("kept", pa.array(~gone)).to_batches()
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("kept", T.BooleanType())])
+    return checkpoint(join_on(rows, lookup(first), [*by, "id"], "left_semi").groupBy(*by).applyInArrow(settle, schema))
+
+
+def _beyond(rows: DataFrame, first: DataFrame, by: list[str], threshold: float, chunk_rows: int) -> DataFrame:
+    """The rows outside ``first`` that are not too similar to a kept one of it. Each row is sent once, to a chunk of its block."""
+    rest = _without(rows, first.select(*by, "id"), [*by, "id"])
+    sizes = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("__chunks"))
+    sizes = lookup(sizes)
+    rest = join_on(rest, sizes, by).withColumn("chunk", (draws.draw("chunk", F.col("id")) % F.col("__chunks")).cast("int"))
+    kept = join_on(first.where("kept").drop("kept"), sizes, by).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1)))
+    both = rest.withColumns({"a": F.lit(0), "b": F.lit(1), "__side": F.lit(1)}).unionByName(
+        kept.withColumns({"a": F.lit(0), "b": F.lit(1), "__side": F.lit(0)})
+    )
+    names, schema = rows.columns, rows.schema
+
+    def stay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(batches).combine_chunks()
+        side = group["__side"]
+        gone = side.to_numpy() == 0
+        for _, j, _ in _matches(group.drop(["chunk"]).append_column("chunk", side).combine_chunks(), threshold):
+            gone[j] = True
+        yield from group.select(names).filter(pa.array(~gone)).to_batches()
+
+    return checkpoint(both.drop("__chunks").groupBy(*by, "chunk").applyInArrow(stay, schema))
+
+
 def dedup_greedy(
     df: DataFrame,
     key: str,
@@ -343,7 +425,9 @@ def dedup_greedy(
 ) -> DataFrame:
     """Rows in key order are dropped iff an earlier *kept* row of the block is too similar.
 
-    Vectors are compared once and the pairs found become an edge table, on which the rule is settled. Pairs are counted
+    The first rows of each block are settled and the others compared with those of them that are kept, again and again while
+    that drops half of what is left: in a dense block, whose few kept rows reach most others, no pair is listed. Then
+    vectors are compared once and the pairs found become an edge table, on which the rule is settled. Pairs are counted
     before they are listed: while there are more than ``EDGES_PER_ROW`` for a vector, a round over the vectors goes first, which keeps
     those without an earlier neighbour and drops their neighbours, and so thins a dense group out without a pair
     table. Rows outside ``eligible`` are always kept.
@@ -353,11 +437,18 @@ def dedup_greedy(
     # Decided ids are appended to one table, so the plan of a round does not grow with the rounds before it.
     decided = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
     names = undecided.select(*by, "id").schema
+    n, halved = undecided.count(), True
     while True:
-        n = undecided.count()
         later = None
         # So few vectors cannot have more pairs than the bound; otherwise pairs are counted.
         if n * (n - 1) // 2 > max(EDGES_PER_ROW * n, LOCAL_EDGES):
+            if halved:
+                first = _first_kept(undecided, by, threshold)
+                first.where("kept").select(*by, "id").write.mode("append").parquet(decided)
+                undecided = _beyond(undecided, first, by, threshold, chunk_rows)
+                before, n = n, undecided.count()
+                halved = 2 * n <= before
+                continue
             later = checkpoint(_flagged(undecided, by, threshold, cell_rows, chunk_rows, "earlier"))
         if later is None or (later.agg(F.sum("n")).first()[0] or 0) <= EDGES_PER_ROW * n:
             dropped = first_independent(_edges(undecided, by, threshold, cell_rows, chunk_rows), by)
@@ -368,6 +459,7 @@ def dedup_greedy(
         marked.where("kept").select(*by, "id").write.mode("append").parquet(decided)
         gone = _flagged(marked, by, threshold, cell_rows, chunk_rows, "kept").drop("n")
         undecided = checkpoint(_without(marked.where(~F.col("kept")).drop("kept"), gone, [*by, "id"]))
+        n = undecided.count()
     kept = df.sparkSession.read.schema(names).parquet(decided).select(F.col("id").alias(key))
     survivors = pool.join(kept, key, "left_semi")
     if eligible is None:

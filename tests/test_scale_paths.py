@@ -127,6 +127,37 @@ def test_dense_groups_are_thinned_before_pairs_are_listed(spark, monkeypatch):
     assert kept == set(range(60)) - drops_of(edges)
 
 
+def unit_rows(spark, x):
+    rows = [(i, "a", (v / np.linalg.norm(v)).tolist(), 1) for i, v in enumerate(x)]
+    return spark.createDataFrame(rows, "id bigint, block string, vec array<double>, copies bigint")
+
+
+def test_vectors_without_structure_are_not_sent_to_every_cell(spark):
+    n, chunk = 400, 100
+    df = unit_rows(spark, np.random.default_rng(4).normal(size=(n, 16)))
+    assert similarity._tiled(df, ["block"], 0.3, 20, chunk).count() <= n * math.ceil(n / chunk)
+    centres = np.eye(16)[np.arange(n) % 4] + np.random.default_rng(4).normal(scale=0.01, size=(n, 16))
+    tiles = similarity._tiled(unit_rows(spark, centres), ["block"], 0.9, 20, chunk)
+    assert tiles.select("cell").distinct().count() > 1
+    assert tiles.count() < n * math.ceil(n / chunk)
+
+
+@pytest.mark.parametrize("first", [4, 25])
+def test_a_dense_block_is_settled_by_its_first_rows(spark, monkeypatch, first):
+    monkeypatch.setattr(similarity, "FIRST_ROWS", first)
+    monkeypatch.setattr(similarity, "EDGES_PER_ROW", 2)
+    monkeypatch.setattr(similarity, "LOCAL_EDGES", 100)
+    x = np.random.default_rng(9).normal(size=(300, 6))
+    rows = [(i, "ab"[i % 2], (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id bigint, block string, v array<double>").repartition(5)
+    called, flagged = [], similarity._flagged
+    monkeypatch.setattr(similarity, "_flagged", lambda *a: called.append(a[0].count()) or flagged(*a))
+    got = {r.id for r in similarity.dedup_greedy(df, "id", "v", ["block"], 0.3, cell_rows=40, chunk_rows=30).collect()}
+    assert got == greedy(rows, 0.3)
+    # No pair of a vector that the first rows settle is counted: never those of all rows.
+    assert max(called, default=0) < len(rows)
+
+
 def skewed(spark, n=3000):
     rows = [(i, "hot" if i % 3 else f"g{i % 7}", (i * 37) % 101 / 7.0 if i % 2 else 5.0) for i in range(n)]
     return rows, spark.createDataFrame(rows, "id bigint, g string, v double").repartition(6)

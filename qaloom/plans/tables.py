@@ -7,6 +7,8 @@ table keeps all of its input rows, so its size grows with the data.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from qaloom.schemas import CLASSES
 from qaloom.session import lookup
 
 TAG_VALUE = 150.0
+PROMPTS_PER_TASK = 50_000
 LANGS = ["de", "en", "es", "fr"]
 SYSTEMS = ["length", "words", "random", "constant"]
 MODELS = ["click", "error", "purchase", "signup", "view"]
@@ -38,6 +41,11 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
+def prompt_tasks(seeds: DataFrame) -> int:
+    """Tasks for the rules of prompts: their number grows with the rows, so no task does, however few splits the small seeds have."""
+    return max(seeds.sparkSession.sparkContext.defaultParallelism, math.ceil(seeds.count() / PROMPTS_PER_TASK))
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spread(table(spark, sf, "documents"), "doc_id")
 
@@ -83,7 +91,8 @@ def prompt_seeds(spark: SparkSession, sf: str) -> DataFrame:
 
 def prompt_table(spark: SparkSession, sf: str) -> DataFrame:
     """One clean prompt per order: id, conv_id and the prompt columns."""
-    return prompts.expand_templates(spread(prompt_seeds(spark, sf), "id"), "id")
+    seeds = prompt_seeds(spark, sf)
+    return prompts.expand_templates(seeds.repartition(prompt_tasks(seeds), "id"), "id")
 
 
 def noisy_prompts(spark: SparkSession, sf: str) -> DataFrame:
@@ -109,7 +118,9 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
     and a stored judge."""
     key = F.col("id")
     facts = lookup(conversation_features(spark, sf), row_bytes=256)
-    seeds = spread(prompt_seeds(spark, sf), "id").join(facts, "conv_id", "left")
+    seeds = prompt_seeds(spark, sf)
+    # Dealt out after the join: a shuffled one leaves as many tasks as there are cores, and hot customers in one of them.
+    seeds = seeds.join(facts, "conv_id", "left").repartition(prompt_tasks(seeds), "id")
     # A conversation without messages has no times, no tags and no notes.
     empty = {"channel": F.lit(""), "n_public": F.lit(0), "n_messages": F.lit(0), "has_notes": F.lit(False), "tags": F.array()}
     seeds = seeds.withColumns({c: F.coalesce(F.col(c), v.cast(seeds.schema[c].dataType)) for c, v in empty.items()})

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import random
 
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from qaloom.operators import bootstrap, curation, ranking, similarity
+from qaloom.plans import tables
 
 
 def vectors(spark, n=220, copies=60, seed=3):
@@ -269,3 +271,20 @@ def test_exact_dedup_keeps_the_first_row(spark):
         first.setdefault(r[1], r)
     assert got == sorted(first.values())
     assert curation.dedup_exact(curation.dedup_exact(df, "t", "id"), "t", "id").count() == 3
+
+
+def test_tasks_of_prompts_grow_with_their_number(spark, monkeypatch):
+    sf = os.environ.get("QALOOM_TEST_SF", "/root/testdata/sf0.001")
+    if not os.path.isdir(sf):
+        pytest.skip("test tables are not here")
+    n = tables.prompt_seeds(spark, sf).count()
+    monkeypatch.setattr(tables, "PROMPTS_PER_TASK", math.ceil(n / 20), raising=False)
+    # Facts of very many customers are not broadcast.
+    monkeypatch.setattr(tables, "lookup", lambda df, **_: df)
+    monkeypatch.setattr(tables.prompts, "expand_templates", lambda df, key: df)
+    monkeypatch.setattr(tables, "admitted", lambda df: df.select("id", F.lit("x").alias("category"), F.lit("{}").alias("params"), F.lit("p").alias("prompt")))
+    monkeypatch.setattr(tables.conv, "symbolic_answer", lambda *a: F.lit("yes"))
+    for made in (tables.prompt_table, tables.pairs):
+        sizes = made(spark, sf).groupBy(F.spark_partition_id()).count().agg(F.count("*"), F.max("count")).first()
+        assert sizes[0] > 10
+        assert sizes[1] < 3 * math.ceil(n / 20)

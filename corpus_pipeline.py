@@ -14,8 +14,8 @@ from qaloom.llm.common import read, stored
 
 # Only what has no letter, or hardly any n-gram in common with a language, is rejected.
 LEAST_LANGUAGE_SCORE = 0.05
-# After four stages an executor has less memory to spare than for packing alone.
-CACHED = 80_000
+# After four stages an executor has less memory to spare than for packing alone, and the next run's stages need what packing held.
+CACHED = 40_000
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents that are left, and their places in sequences."""
-    return packing.digest(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cached=CACHED))
+    return packing.digest(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cached=CACHED, kept=False))
 
 
 STAGES = [

@@ -251,12 +251,13 @@ def pack(
     prompt_tokens: str | None = None,
     end_id: int = END_ID,
     cached: int = CACHED,
+    kept: bool = True,
 ) -> DataFrame:
     """Pieces of all documents with their ids and their place in a sequence.
 
     ``tokenizer`` is the path of a tokenizer file with the rule of ``ChunkIds``. ``prompt_tokens`` names a column
     with the number of leading ids of a document that bear no loss (null: none). ``max_loss`` limits the others. ``cached``: entries of one
-    generation of a worker's caches, which cost memory and save time.
+    generation of a worker's caches, which cost memory and save time; ``kept``: whether they outlive a task.
     """
     limits = (max_tokens, max_segments, max_tokens if max_loss is None else max_loss)
     if min(limits) < 1:
@@ -267,7 +268,7 @@ def pack(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = chunk_ids(tokenizer, cached)
+        chunks = chunk_ids(tokenizer, cached) if kept else ChunkIds(tokenizer, cached)
         end = np.asarray([end_id], "<u4").tobytes()
         bins = Bins(TaskContext.get().partitionId() << 40, limits)
         for batch in batches:

@@ -316,3 +316,20 @@ def test_no_word_or_bigram_is_dropped_by_what_is_broadcast(spark, edge_docs, no_
     rows = [Counter((r.doc_id, r.n_words, round(r.target_loss, 3), round(r.background_loss, 3)) for r in x.collect()) for x in (got, whole)]
     assert rows[0] == rows[1]
     assert lm_score.score_background(target, no_docs).count() == 0
+
+
+def test_a_worker_holds_no_cache_that_is_not_kept(spark):
+    import pyarrow as pa
+
+    docs = spark.range(40).selectExpr("id AS doc_id", "concat('word ', id, ' again') AS text").repartition(4)
+    held, own = (packing.digest(packing.pack(docs, BPE, cached=777, kept=k)) for k in (True, False))
+    facts = ("doc_id", "length", "ids_crc32", "doc_tokens")
+
+    def left(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"entries": [entries for _, entries in packing._chunks] * batch.num_rows})
+
+    assert sorted(own.select(*facts).collect()) == sorted(packing.digest(packing.pack(docs, BPE)).select(*facts).collect())
+    entries = {r.entries for r in spark.range(40).repartition(4).mapInArrow(left, "entries bigint").collect()}
+    assert 777 not in entries
+    assert sorted(held.select(*facts).collect()) == sorted(own.select(*facts).collect())

@@ -187,37 +187,37 @@ class Bins:
     def pack(self, keep: int) -> None:
         """Fills sequences until at most ``keep`` pieces are open."""
         pieces = self.open
-        demand = np.array(
-            [(len(p[2]) // 4, 1, self.loss(p[1], len(p[2]) // 4, p[4])) for p in pieces], float
-        ).reshape(-1, 3)
+        tokens = np.array([len(p[2]) // 4 for p in pieces], float)
+        loss = np.array([self.loss(p[1], len(p[2]) // 4, p[4]) for p in pieces], float)
         waiting = np.ones(len(pieces), bool)
         left = len(pieces)
+        scale = 1 / self.limits**2
         while left > keep:
-            space, chosen = self.limits.copy(), []
-            while left and space[1] >= 1 and space[0] >= 1:
-                fits = waiting & (demand <= space).all(axis=1)
-                if fits.any():
-                    worth = np.where(fits, (demand / self.limits) @ (space / self.limits), -1.0)
-                    k = int(worth.argmax())
-                    size = int(demand[k, 0])
+            (space, segments, bearing), chosen = self.limits.tolist(), []
+            while left and segments >= 1 and space >= 1:
+                # Each piece is one segment, which adds the same to all products. What is placed demands infinitely much.
+                worth = tokens * (space * scale[0]) + loss * (bearing * scale[2])
+                worth[(tokens > space) | (loss > bearing)] = -1.0
+                k = int(worth.argmax())
+                if worth[k] >= 0:
+                    chosen.append((pieces[k], int(tokens[k])))
+                    space, segments, bearing = space - float(tokens[k]), segments - 1, bearing - float(loss[k])
+                    tokens[k] = np.inf
                     waiting[k] = False
                     left -= 1
-                else:
-                    if space[0] < LEAST_CUT:
-                        break
-                    k = int(np.where(waiting, demand[:, 0], -1.0).argmax())
-                    doc_id, start, ids, total, prompt = pieces[k]
-                    size = self.most(start, prompt, min(space[0], demand[k, 0] - 1), space[2])
-                    if size < 1:
-                        break
-                    pieces[k] = (doc_id, start + size, ids[4 * size :], total, prompt)
-                    chosen.append(((doc_id, start, ids, total, prompt), size))
-                    space -= (size, 1, self.loss(start, size, prompt))
-                    rest = int(demand[k, 0]) - size
-                    demand[k] = (rest, 1, self.loss(start + size, rest, prompt))
                     continue
-                chosen.append((pieces[k], size))
-                space -= demand[k]
+                if space < LEAST_CUT:
+                    break
+                k = int(np.where(waiting, tokens, -1.0).argmax())
+                doc_id, start, ids, total, prompt = pieces[k]
+                size = self.most(start, prompt, min(space, tokens[k] - 1), bearing)
+                if size < 1:
+                    break
+                pieces[k] = (doc_id, start + size, ids[4 * size :], total, prompt)
+                chosen.append(((doc_id, start, ids, total, prompt), size))
+                space, segments, bearing = space - size, segments - 1, bearing - self.loss(start, size, prompt)
+                rest = int(tokens[k]) - size
+                tokens[k], loss[k] = rest, self.loss(start + size, rest, prompt)
             self.close(chosen)
         self.open = [p for p, w in zip(pieces, waiting, strict=True) if w]
 

@@ -160,6 +160,45 @@ def test_packing_leaves_little_padding(spark):
     assert sum(r.length for r in rows) / (2048 * len({r.sequence_id for r in rows})) > 0.97
 
 
+@pytest.mark.parametrize("limits", [(64, 8, 64), (64, 3, 40)])
+def test_each_sequence_is_packed_by_the_plain_rule(limits):
+    rng = random.Random(5)
+    bins, rows = packing.Bins(0, limits), []
+    for i in range(300):
+        n, prompt = rng.randrange(1, 60), rng.randrange(30)
+        bins.add(i, bytes(4 * n), prompt)
+    plain = list(bins.open)
+    bins.rows, first = [], bins.next_id
+    bins.pack(0)
+    while plain:
+        space = list(limits)
+        while plain and min(space[:2]) >= 1:
+            demands = [(len(p[2]) // 4, 1, packing.Bins.loss(p[1], len(p[2]) // 4, p[4])) for p in plain]
+            fit = [k for k, d in enumerate(demands) if all(x <= y for x, y in zip(d, space, strict=True))]
+            if fit:
+                worth = [round(sum(x * y / z**2 for x, y, z in zip(demands[k], space, limits, strict=True)), 9) for k in fit]
+                got = bins.rows[len(rows)]
+                k = next(k for k in fit if plain[k][:2] == got[:2])
+                assert worth[fit.index(k)] == max(worth) and got[2] == demands[k][0]
+                size, rest = demands[k][0], []
+            else:
+                if space[0] < packing.LEAST_CUT:
+                    break
+                k = max(range(len(plain)), key=lambda k: demands[k][0])
+                doc_id, start, ids, total, prompt = plain[k]
+                size = bins.most(start, prompt, min(space[0], demands[k][0] - 1), space[2])
+                if size < 1:
+                    break
+                rest = [(doc_id, start + size, ids[4 * size :], total, prompt)]
+            got = bins.rows[len(rows)]
+            assert got[:3] == (*plain[k][:2], size) and got[5] == first and got[6] == limits[0] - space[0]
+            space = [space[0] - size, space[1] - 1, space[2] - got[7]]
+            plain[k : k + 1] = rest
+            rows.append(got)
+        first += 1
+    assert rows == bins.rows
+
+
 # ---- decontamination --------------------------------------------------------------------------
 
 

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -173,3 +174,33 @@ def test_terms_are_counted_as_often_as_their_rows(spark, monkeypatch, largest, m
     assert features.top_terms(df, "t", most, largest, "copies") == expected
     monkeypatch.setattr(features, "KNOWN", 1)
     assert features.top_terms(df, "t", most, largest, "copies") == expected
+
+
+def test_a_step_lays_out_no_product_of_entries_and_columns(spark):
+    rng = np.random.default_rng(2)
+    n, each, width, columns = 2000, 30, 5000, 60
+    index = np.concatenate([np.sort(rng.choice(width - 1, each, replace=False)) for _ in range(n)])
+    values, row = rng.normal(size=n * each), np.repeat(np.arange(n), each)
+    matrix, slopes = rng.normal(size=(width, columns)), rng.normal(size=(n, columns))
+    laid = np.zeros((n, width))
+    laid[row, index], laid[:, -1] = values, 1.0
+    x, slope = linear._Sparse(index, values, row, n, width), np.zeros_like(matrix)
+    tracemalloc.start()
+    scores = x.scores(matrix)
+    x.add(slope, slopes)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(scores, laid @ matrix) and np.allclose(slope, laid.T @ slopes)
+    assert most < n * each * columns * 8 / 4
+
+
+def test_a_step_returns_a_matrix_for_each_core_and_leaves_no_shuffle(spark, monkeypatch):
+    _, _, df = table(spark)
+    seen, step = [], linear._pass
+    monkeypatch.setattr(linear, "_pass", lambda rows, tasks, *rest: seen.append((tasks, rows.rdd.getNumPartitions())) or step(rows, tasks, *rest))
+    monkeypatch.setattr(linear, "MATRIX", 7 * 3 * 5)  # partial sums are merged by Spark
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    many = linear.fit_all(df.repartition(23), 6, 3, {"a": linear.Fit("svm")})["a"]
+    assert set(seen) == {(spark.sparkContext.defaultParallelism,) * 2} and spark.conf.get(name) == before
+    assert np.allclose(many.weights, linear.fit_all(df, 6, 3, {"a": linear.Fit("svm")})["a"].weights, atol=1e-6)

@@ -204,3 +204,17 @@ def test_a_step_returns_a_matrix_for_each_core_and_leaves_no_shuffle(spark, monk
     many = linear.fit_all(df.repartition(23), 6, 3, {"a": linear.Fit("svm")})["a"]
     assert set(seen) == {(spark.sparkContext.defaultParallelism,) * 2} and spark.conf.get(name) == before
     assert np.allclose(many.weights, linear.fit_all(df, 6, 3, {"a": linear.Fit("svm")})["a"].weights, atol=1e-6)
+
+
+def test_folds_alone_fit_no_whole_model(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, f"{'red' if i % 2 else 'blue'} {rng.choice(['tea', 'sea'])}", "ab"[i % 2], True, i % 4 == 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "id bigint, prompt string, kind string, train boolean, test boolean")
+    ready, n, labels = models.text_rows(df, df, "kind")
+    seen, fit_all = [], linear.fit_all
+    monkeypatch.setattr(linear, "fit_all", lambda rows, n, k, fits: seen.append(sorted(fits)) or fit_all(rows, n, k, fits))
+    folds = models.linear_grid(ready, n, labels, "id", "kind", {"a": ("logistic", 1.0)}, test=None).first()
+    whole = models.linear_grid(ready, n, labels, "id", "kind", {"a": ("logistic", 1.0)}).first()
+    assert seen == [[f"a#{i}" for i in range(5)], [*(f"a#{i}" for i in range(5)), "a#test"]]
+    assert folds.converged and folds.test_macro_f1 is None and whole.test_macro_f1 is not None
+    assert all(folds[c] == pytest.approx(whole[c]) for c in ("n_folds", "mean_macro_f1", "std_macro_f1"))

@@ -114,3 +114,21 @@ def test_repeated_prompts_are_fitted_and_scored_once(spark, monkeypatch):
     got = {(r.category, r.held_out): (r.n_test, r.accuracy) for r in models.family_out(df, "id", "category", "family", ["time", "count"], "bayes").collect()}
     assert {k: v[0] for k, v in got.items()} == {("time", "a"): 6, ("time", "b"): 7, ("count", "a"): 8, ("count", "b"): 9}
     assert all(v[1] in (0.0, 1.0) for v in got.values()) and seen == [1, 1, 1, 1]
+
+
+def test_folds_store_each_text_once_and_no_terms(spark, monkeypatch):
+    df = prompts(spark).unionByName(prompts(spark).withColumn("id", F.col("id") + 100))
+    stored, checkpoint = [], models.checkpoint
+    monkeypatch.setattr(models, "checkpoint", lambda rows: stored.append(checkpoint(rows)) or stored[-1])
+    got, labels = models.calibrated_by_folds(df, df.where("id < 12"), "id", "category", ["id", "category"])
+    assert got.count() == 12 and all(sum(r.probabilities) == pytest.approx(1.0) and labels[r.probabilities.index(max(r.probabilities))] == r.category for r in got.collect())
+    assert not any("array<string>" in t for rows in stored for _, t in rows.dtypes)
+    texts = [rows for rows in stored if "prompt" in rows.columns and "id" not in rows.columns]
+    assert len(texts) == 1 and texts[0].count() == 3 and texts[0].agg(F.sum(F.expr("__n0 + __n1 + __n2"))).first()[0] == df.count()
+
+
+def test_platt_counts_copies(spark):
+    _, df = probabilities(spark, 60)
+    df = df.withColumn("copies", F.col("id") % 3 + 1)
+    repeated = df.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies", "again")
+    assert sum(models.fit_platt(df, "t", ["a", "b"]), ()) == pytest.approx(sum(models.fit_platt(repeated, "t", ["a", "b"]), ()), abs=1e-4)

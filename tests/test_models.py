@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from qaloom.operators import features, models
+from qaloom.operators import features, models, perceptron
+from qaloom.plans import model_queries
 from qaloom.session import shared_folder
 
 
@@ -132,3 +133,36 @@ def test_platt_counts_copies(spark):
     df = df.withColumn("copies", F.col("id") % 3 + 1)
     repeated = df.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies", "again")
     assert sum(models.fit_platt(df, "t", ["a", "b"]), ()) == pytest.approx(sum(models.fit_platt(repeated, "t", ["a", "b"]), ()), abs=1e-4)
+
+
+def test_the_benchmark_has_the_ten_published_routers(spark):
+    routers = model_queries.ROUTERS
+    kinds = [(r["kind"], r.get("features", "text")) for r in routers.values()]
+    assert len(routers) == 10 and {("keyword", "text"), ("svm", "text"), ("boosted", "embedding"), ("perceptron", "embedding"), ("ensemble", "text")} <= set(kinds)
+    assert routers["embedding_boosted"]["trees"] == 200 and perceptron.MOST == 500
+    df = prompts(spark)
+    asked = df.where("id < 9").unionByName(spark.createDataFrame([(99, "more than 3 messages sent", "unheard")], df.schema))
+    few = routers | {"embedding_boosted": routers["embedding_boosted"] | {"trees": 2}}
+    out = {r.model: r for r in models.benchmark(df, {"test": df.where("id < 9")}, "id", "category", few).collect()}
+    assert out.keys() == routers.keys() and all(r.n == 9 for r in out.values())
+    assert all(r.accuracy == 1.0 for name, r in out.items() if name != "keyword") and out["keyword"].accuracy == 0.0
+    some = {r.model: r for r in models.benchmark(df, {"test": asked}, "id", "category", {k: few[k] for k in ("svm", "bayes", "embedding_logistic", "embedding_perceptron")}).collect()}
+    assert all(r.n == 10 and r.accuracy == pytest.approx(0.9) for r in some.values())
+
+
+def test_perceptron_counts_copies_and_stops_early(spark):
+    rng = random.Random(6)
+    rows = [([rng.gauss(2.0 * (i % 2), 0.3), rng.random()], i % 2, 1 + i % 3, int(i % 5 < 2)) for i in range(40)]
+    df = spark.createDataFrame(rows, "embedding array<double>, label int, copies bigint, held bigint")
+    repeated = df.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).withColumns({"copies": F.lit(1).cast("bigint"), "held": F.lit(0).cast("bigint")}).drop("again")
+    unheld = df.withColumn("held", F.lit(0).cast("bigint"))
+    once, again = (perceptron.fit(d, 2, 2, (4,), most=5) for d in (unheld, repeated))
+    assert all((a - b).max() < 1e-6 for a, b in zip(once, again, strict=True))
+    steps, step = [], perceptron._pass
+    perceptron._pass = lambda *a: steps.append(1) or step(*a)
+    try:
+        layers = perceptron.fit(df, 2, 2)
+    finally:
+        perceptron._pass = step
+    found = perceptron.predict(df, layers, ["0", "1"], ["label"]).where("prediction = cast(label AS string)").count()
+    assert found == 40 and len(steps) < 60
